@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, language, pii, secrets, toxicity
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .line_dedup import line_dedup
 from .mixing import mix_sources, quality_weights
 
@@ -35,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode_corpus(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -54,7 +59,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op5_toxicity, op7_byte_bpe, op8_language, op9_exact_dedup, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op5_toxicity, op6_jaccard_join, op7_byte_bpe, op8_language, op9_exact_dedup, op10_personal_data)}
 
 ORACLE_SQL = {
     "op2_mix_sources": r"""
