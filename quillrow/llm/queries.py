@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .line_dedup import line_dedup
 from .mixing import mix_sources, quality_weights
+from .neighbours import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -59,7 +64,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op5_toxicity, op6_jaccard_join, op7_byte_bpe, op8_language, op9_exact_dedup, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_neighbours, op5_toxicity, op6_jaccard_join, op7_byte_bpe, op8_language, op9_exact_dedup, op10_personal_data)}
 
 ORACLE_SQL = {
     "op2_mix_sources": r"""
