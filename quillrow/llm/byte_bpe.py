@@ -19,12 +19,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
+
 #: Code points of a chunk, and how far it reads into the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Matches at the end of a cut chunk that more text could change.
 UNSURE = 2
 #: Pre-tokens remembered in a worker.
-MEMORY = 400_000
+MEMORY = 300_000
+#: Bytes of a pre-token up to which pairs are scanned and not kept in a heap; above every rank.
+SHORT, NEVER = 48, 1 << 60
 
 # Code points that the installed regex module takes for letters or
 # numbers and the tokenizer library, with its older Unicode tables, does not.
@@ -62,6 +66,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    if len(piece) <= SHORT:
+        return merge_short(piece, ranks)
     end = len(piece)
     after, before = list(range(1, end + 1)), list(range(-1, end - 1))
     alive = [True] * end
@@ -90,6 +96,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : after[i]]] for i in range(end) if alive[i]]
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a short pre-token, by scanning its few pairs."""
+    known = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [known(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+    while pairs:
+        lowest = min(pairs)
+        if lowest == NEVER:
+            break
+        i = pairs.index(lowest)
+        parts[i] += parts.pop(i + 1)
+        pairs.pop(i)
+        if i < len(pairs):
+            pairs[i] = known(parts[i] + parts[i + 1], NEVER)
+        if i:
+            pairs[i - 1] = known(parts[i - 1] + parts[i], NEVER)
+    return [ranks[p] for p in parts]
+
+
 class Encoder(dict):
     """Pre-token -> little-endian ids; remembers up to MEMORY pre-tokens."""
 
@@ -202,7 +227,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = C
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -222,7 +247,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = C
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in sliced(batches, 16):
             rows = batch.to_pylist()
             for r in rows:
                 last = r["number"] * chunk + chunk + overlap >= r["size"]
@@ -254,7 +279,7 @@ def decode_corpus(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.value.splitlines())}
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
