@@ -8,6 +8,7 @@ before anything reads it, because data, errors and cost all do.
 from __future__ import annotations
 
 import asyncio
+import copy
 import time
 import uuid
 from functools import cached_property
@@ -204,8 +205,9 @@ class _Run:
                 self.frame = self._python_steps(self.frame, python)
             done.update(level)
             if manager:
-                self.frame = manager.save(run, fingerprint, number, sorted(done), self.frame)
-            elif any(s.external for s in python):
+                self.frame = manager.store(run, number, self.frame)
+            elif any(s.external or self.cache and s.cache for s in python):
+                # never persisted beside a cache: appending to the cache would make Spark recompute what was read from it
                 self.frame = stored(self.frame, f"{self.place}/level-{number}")
             elif python:
                 self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
@@ -213,11 +215,10 @@ class _Run:
                 self.frame = self._to_cache(self.frame, python)
             if self.config.on_error == "raise" and python:
                 self._raise_first(python)
+            if manager:
+                manager.finish(run, fingerprint, number, sorted(done), self.frame)
             self._level_events(todo, count, time.time() - began)
-        result = PipelineResult(self)
-        if manager:
-            result.data  # noqa: B018  the final plan reads the last level, which therefore stays until the next run
-        return result
+        return PipelineResult(self)
 
     def _prior(self, step: Any) -> dict[str, Column]:
         return {f: F.col(quoted(output(d), "values", f)) for d in step.depends_on for f in self.pipeline.get_step(d).fields}
@@ -274,6 +275,9 @@ class _Run:
         reads = step.reads if step.reads is not None else self.inputs
         prior = [(output(d), self.pipeline.get_step(d).fields) for d in step.depends_on]
         specs = {n: s.as_dict() for n, s in step.specs.items() if not n.startswith("__")}
+        if verdict:  # the worker gets the outcome; columns can't travel
+            step = copy.copy(step)
+            step.run_if = step.skip_if = None
         return frame, StepPlan(step, list(reads), prior, specs, verdict, hit, output(step.name), to_arrow_type(record_type(step)))
 
     def _key(self, frame: DataFrame, step: PythonStep) -> Column:

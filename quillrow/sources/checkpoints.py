@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..plans.storage import Files, stored
 
@@ -36,23 +38,23 @@ class CheckpointManager:
     def _manifest(self, run: str) -> str:
         return f"{self.root}/{run}/manifest.json"
 
-    def save(self, run: str, fingerprint: str, level: int, steps: list[str], frame: DataFrame) -> DataFrame:
-        """Store a level and name it as finished only once it is all there."""
-        result = stored(frame, f"{self.root}/{run}/level-{level}")
+    def store(self, run: str, level: int, frame: DataFrame) -> DataFrame:
+        """Store a level's frame; it doesn't count before ``finish`` names it."""
+        return stored(frame, f"{self.root}/{run}/level-{level}")
+
+    def finish(self, run: str, fingerprint: str, level: int, steps: list[str], frame: DataFrame) -> None:
+        """Name a stored level as the one to go on from."""
         self.files.write_json(
             self._manifest(run),
             {"fingerprint": fingerprint, "level": level, "completed_steps": steps, "complete": True, "timestamp": time.time(), "schema": frame.schema.json()},
         )
-        return result
 
     def load(self, run: str, fingerprint: str) -> tuple[CheckpointData, DataFrame] | None:
         """The last finished level, if its plan and input still match."""
-        from pyspark.sql.types import StructType
-
         found = self.files.read_json(self._manifest(run))
         if not found or not found.get("complete") or found.get("fingerprint") != fingerprint:
             return None
-        schema = StructType.fromJson(__import__("json").loads(found.pop("schema")))
+        schema = StructType.fromJson(json.loads(found.pop("schema")))
         data = CheckpointData(**{k: v for k, v in found.items() if k in CheckpointData.__dataclass_fields__})
         return data, self.spark.read.schema(schema).parquet(f"{self.root}/{run}/level-{data.level}")
 
