@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subwords import Remembered, buckets, in_fold, in_process, ngrams, sampled
+from .sampling import sampled
+from .subwords import Remembered, buckets, in_fold, in_process, ngrams
 
 #: Labelled rows that training collects at most, and the words it fits.
 MOST_ROWS, MOST_WORDS = 800, 120_000

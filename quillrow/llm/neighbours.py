@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hilbert import Curves
+from .sampling import sampled
 from .scratch import Scratch
 
 NEIGHBOURS = 20
@@ -102,7 +103,7 @@ def _exact(classes: DataFrame, probes: list[tuple[int, list[float]]], most: int)
 
 def _reach(placed: DataFrame, classes: DataFrame, queries: DataFrame, most: int, recall: float) -> int:
     """Ranks a window must reach to either side for the wanted share of the sampled queries' true neighbours."""
-    probes = [(r.id, r.vector) for r in queries.orderBy(F.xxhash64("id"), "id").limit(PROBES).collect()]
+    probes = [(r.id, r.vector) for r in sampled(queries.select("id", "vector"), PROBES)]
     if not probes:
         return 1
     names = [p[0] for p in probes]
@@ -138,7 +139,7 @@ def nearest(vectors: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, c
     classes = scratch.keep(ids.select(F.monotonically_increasing_id().alias("id"), "vector", "ids"), "classes")
     asked = good.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("id"), F.col("vec_id").alias("query_id"), "vector")
     queries = scratch.keep(asked, "queries")
-    sample = classes.orderBy(F.xxhash64("vector"), "id").limit(SAMPLE).select("vector").collect()
+    sample = sampled(classes.select("vector"), SAMPLE)
     fitted = Curves(_lift(np.array([r.vector for r in sample], np.float64), longest, False), curves, AXES, AXIS_BITS)
     placed = scratch.keep(_order(classes, queries, fitted, longest, scratch), "ranked")
     reach = _reach(placed, classes, queries, keep, recall)

@@ -52,8 +52,3 @@ def in_process(kind: str, weights: list[np.ndarray], build: Callable[[], object]
 def in_fold(doc_id: Column, folds: int, held_out: int) -> Column:
     """Whether crc32 of the id's text falls in the held-out fold; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == held_out
-
-
-def sampled(rows, bound: int) -> list:
-    """At most ``bound`` rows, those with the smallest hash of (doc_id, text): the same ones each time."""
-    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(bound).collect()
