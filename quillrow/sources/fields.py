@@ -49,12 +49,12 @@ class FieldManager:
         try:
             with open(path, newline="", encoding="utf-8-sig") as file:
                 reader = csv.DictReader(file, strict=True)
-                rows = list(reader)
+                names, rows = reader.fieldnames, list(reader)
         except (csv.Error, UnicodeDecodeError) as problem:
             raise FieldValidationError(f"{path} is not a readable CSV file: {problem}") from problem
-        if not reader.fieldnames:
+        if not names:
             raise FieldValidationError(f"{path} is empty")
-        if missing := [c for c in REQUIRED if c not in reader.fieldnames]:
+        if missing := [c for c in REQUIRED if c not in names]:
             raise FieldValidationError(f"{path} lacks the columns {', '.join(missing)}")
         self.categories: dict[str, dict[str, FieldSpec]] = {}
         for number, row in enumerate(rows, 2):
