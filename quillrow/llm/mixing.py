@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
         }
     ).withColumn("level", (F.col("budget") - F.col("spent")) / F.col("open"))
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    level = F.min(fits).over(everything)
+    level = F.max(fits).over(everything)  # levels rise up to the first that fits and fall after it
     return levels.withColumn("common", level).select(
         "source", "source_size", F.least("cap", F.coalesce("common", F.col("cap") / F.col("weight")) * F.col("weight")).alias("target")
     )

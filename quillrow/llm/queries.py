@@ -89,7 +89,7 @@ WITH sized AS (
     FROM ranked
 ), targets AS (
     SELECT source, source_size, CAST(least(2.0 * source_size, weight * coalesce(
-               min(CASE WHEN level <= 2.0 * source_size / weight THEN level END) OVER (), 2.0 * source_size / weight)) AS DOUBLE) AS target
+               max(CASE WHEN level <= 2.0 * source_size / weight THEN level END) OVER (), 2.0 * source_size / weight)) AS DOUBLE) AS target
     FROM levels
 ), budgets AS (
     SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets
