@@ -48,7 +48,7 @@ def _mod97(value: Column) -> Column:
     packed = F.replace(value, F.lit(" "), F.lit(""))
     turned = F.concat(F.substr(packed, F.lit(5)), F.left(packed, F.lit(4)))
     return F.aggregate(
-        F.split(turned, "(?!^)"),
+        F.filter(F.split(turned, ""), lambda c: c != ""),
         F.lit(0),
         lambda rest, c: F.when(c <= "9", (rest * 10 + F.ascii(c) - 48) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97),
     )
