@@ -65,7 +65,7 @@ VALID = {
 
 
 def _confirmed(kind: str, spans: Column) -> Column:
-    near = rf"(?i)(?:^|[^\p{{L}}])(?:{CONTEXT_WORDS[kind]})(?:$|[^\p{{L}}])"
+    near = rf"(?iu)(?:^|[^\p{{L}}])(?:{CONTEXT_WORDS[kind]})(?:$|[^\p{{L}}])"
     first = PROPOSED + (CHECKED if kind in CHECKSUMMED else 0.0)
     place = list(PATTERNS).index(kind)
     return F.transform(

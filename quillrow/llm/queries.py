@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, pii, secrets, toxicity
+from . import byte_bpe, language, pii, secrets, span_sql, toxicity
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .line_dedup import line_dedup
@@ -67,6 +67,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_neighbours, op5_toxicity, op6_jaccard_join, op7_byte_bpe, op8_language, op9_exact_dedup, op10_personal_data)}
 
 ORACLE_SQL = {
+    "op1_secret_scan": span_sql.secrets_sql(),
+    "op10_personal_data": span_sql.personal_sql(),
     "op2_mix_sources": r"""
 WITH sized AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
