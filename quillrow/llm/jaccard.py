@@ -14,7 +14,7 @@ still differ are then bounded and confirmed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,24 +206,51 @@ def _crossing(groups: DataFrame, bits: DataFrame, scratch: Scratch, percent: int
     right = placed.withColumnRenamed("tile", "with").join(meet.where("tile < with"), ["shingle", "with"]).withColumn("side", F.lit(1))
     columns = ["shingle", "tile", "with", "side", "id", "n", "label", "bits"]
 
-    def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        own = np.flatnonzero(side == 0)
-        other = np.flatnonzero(side == 1) if (side == 1).any() else own
-        a, b = [], []
-        for i in own:
-            near = other[(label[other] != label[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])) & ((other > i) | (side[other] == 1))]
+    both = left.join(bits, "id").select(columns).unionByName(right.join(bits, "id").select(columns))
+    tiles = both.repartition("shingle", "tile", "with").sortWithinPartitions("shingle", "tile", "with", "side", "id")
+    return tiles.mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
+
+
+def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Goes through rows sorted by tile; a tile cut by the end of a batch waits for the next one."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            starts = _tile_starts(table)
+            yield _pairs(table.slice(0, int(starts[-1])), starts, percent)
+            waiting = table.slice(int(starts[-1])).to_batches()
+        if waiting:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            yield _pairs(table, np.append(_tile_starts(table), table.num_rows), percent)
+
+    return compare
+
+
+def _tile_starts(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("shingle", "tile", "with")])
+    return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1])
+
+
+def _pairs(table: pa.Table, starts: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Pairs of whole tiles, which begin at ``starts`` (the last of them ends the table)."""
+    side, ids, n, label = (table.column(c).to_numpy() for c in ("side", "id", "n", "label"))
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low, high in zip(starts[:-1], starts[1:], strict=True):
+        across = side[high - 1] == 1
+        middle = low + int((side[low:high] == 0).sum())
+        for i in range(low, middle):
+            other = np.arange(middle if across else i + 1, high)
+            near = other[(label[other] != label[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
             if len(near):
                 differing = np.bitwise_count(bits[near] ^ bits[i]).sum(1).astype(np.int64)
                 near = near[similar(overlap_bound(n[near], n[i], differing), n[near], n[i], percent)]
                 a.append(np.minimum(ids[near], ids[i]))
                 b.append(np.maximum(ids[near], ids[i]))
-        return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
-
-    both = left.join(bits, "id").select(columns).unionByName(right.join(bits, "id").select(columns))
-    return both.groupBy("shingle", "tile", "with").applyInArrow(compare, "a long, b long").distinct()
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -258,7 +285,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     links = scratch.keep(_confirm(star, sets, percent), "links")
     labels = components(links, scratch, "first")
 
-    labelled = groups.join(labels, "id", "left").select("shingle", "id", "n", F.coalesce("label", "id").alias("label"))
+    # the first member has met all others of its group already
+    labelled = groups.where("id <> head.id").join(labels, "id", "left").select("shingle", "id", "n", F.coalesce("label", "id").alias("label"))
     labelled = scratch.keep(labelled, "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
     bits = sets.mapInArrow(_bits, "id long, bits binary")
