@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,9 @@ def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local session without it gets a temporary folder, a cluster its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.split("[")[0] == "local":
-        base = "file://" + tempfile.mkdtemp(prefix="quillrow-")
+        folder = tempfile.mkdtemp(prefix="quillrow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
