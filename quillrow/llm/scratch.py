@@ -8,19 +8,11 @@ session gets a temporary folder and a cluster session uses its warehouse.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder scratch tables go to."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.split("[")[0] == "local":
-        base = "file://" + tempfile.mkdtemp(prefix="quillrow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base or spark.conf.get("spark.sql.warehouse.dir")
+from ..plans.storage import Files, shared_root
 
 
 class Scratch:
@@ -28,7 +20,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_root(spark).rstrip('/')}/quillrow/{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark)}/quillrow/{label}-{uuid.uuid4().hex}"
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Write ``frame`` and return the stored rows, lineage cut."""
@@ -38,8 +30,6 @@ class Scratch:
 
     def discard(self, *names: str) -> None:
         """Delete tables that no lazy result reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        files = Files(self.spark)
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            files.delete(f"{self.root}/{name}")
