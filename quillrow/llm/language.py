@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sampling import sampled
 from .subwords import Remembered, buckets, in_fold, in_process, ngrams
@@ -227,7 +228,5 @@ def identify(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, c
             kept = batch.columns if carry else [c for i, c in enumerate(batch.columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
 
-    schema = rows.schema if carry else rows.drop("text").schema
-    for name, kind in zip(names[-2:], ("string", "double"), strict=True):
-        schema = schema.add(name, kind)
-    return rows.mapInArrow(label, schema)
+    own = [f for f in rows.schema.fields if carry or f.name != "text"]
+    return rows.mapInArrow(label, T.StructType([*own, T.StructField(names[-2], T.StringType()), T.StructField(names[-1], T.DoubleType())]))
