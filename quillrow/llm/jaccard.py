@@ -81,6 +81,11 @@ def first_ones(own: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     return own[:keep]
 
 
+def class_key(own: np.ndarray) -> bytes:
+    """What tells sets apart."""
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """A bitmap of a set; more shared shingles than shared bits can't be."""
     bits = np.zeros(BITS, np.uint8)
@@ -123,22 +128,22 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
-    """doc_id, n, class_key, firsts of every row; texts stay at the scan."""
+    """doc_id, n, class_key, firsts, bits of every row; texts stay at the scan."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             own = [shingles(t, size) for t in batch.column(1).to_pylist()]
             firsts = [first_ones(s, common.value, percent).view(np.int64) for s in own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["doc_id", "n", "class_key", "firsts"],
+                [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([class_key(s) for s in own], pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in own], pa.binary())],
+                ["doc_id", "n", "class_key", "firsts", "bits"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, "doc_id long, n long, class_key binary, firsts array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, "doc_id long, n long, class_key binary, firsts array<bigint>, bits binary")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, own: the sets of the wanted documents.  A filter of fixed size thins the scan; a join settles it."""
+    """id, own: the sets of the wanted documents, and of a few others that a filter of fixed size lets through."""
     spark = docs.sparkSession
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +164,13 @@ def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             at = _filter_place(ids)
             hit = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) == 1
             kept = batch.filter(pa.array(hit))
-            own = [shingles(t, size).tobytes() for t in kept.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(own, pa.binary())], ["id", "own"])
+            own = [shingles(t, size) for t in kept.column(1).to_pylist()]
+            columns = [kept.column(0), pa.array([class_key(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "class_key", "own"])
 
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(read, "id long, own binary").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("own").alias("own"))
+    found = texts.mapInArrow(read, "id long, class_key binary, own binary")
+    return found.groupBy("id").agg(F.min(F.struct("class_key", "own")).alias("one")).select("id", "one.own")
 
 
 def _filter_place(ids: np.ndarray) -> np.ndarray:
@@ -171,16 +178,32 @@ def _filter_place(ids: np.ndarray) -> np.ndarray:
         return (_mix(ids.astype(np.int64).view(np.uint64) * ODD[0]) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps can't rule out; ``pairs``: a, n_a, b, n_b."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in (1, 3)]
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
+            differing = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            open_ = pa.array(similar(overlap_bound(*sizes, differing), *sizes, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(open_) for c in (0, 2)], ["a", "b"])
+
+    left = bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"))
+    right = bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "n_a", "b", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(check, "a long, b long")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bounded by bitmaps, then counted exactly."""
+    """The pairs (a, b) that link, by exact intersection."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                differing = int(np.bitwise_count(signature(x) ^ signature(y)).sum())
-                linked.append(similar(overlap_bound(len(x), len(y), differing), len(x), len(y), percent) and similar(shared_count(x, y), len(x), len(y), percent))
+                linked.append(similar(shared_count(x, y), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
@@ -259,8 +282,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     Sets of equal texts are one class whose smallest doc_id stands for it.  A
     text without words has no shingle and links with nothing; null counts as
     such.  Rows that repeat an id with the same text repeat its result; an id
-    with different texts meets others under all of them and links by the
-    smallest of its sets (as bytes).  Rows without id keep their count, take part through equal sets only, and get
+    with different texts meets others under all of them and links by the one
+    with the smallest key.  Rows without id keep their count, take part through equal sets only, and get
     the component's smallest id, or null if none has one.  An empty table
     gives an empty result; other columns are ignored, whatever their names.
     """
@@ -279,22 +302,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     groups = scratch.keep(met.where("members > 1").select("shingle", "id", "n", "head"), "groups")
 
     close = (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent) & (F.col("id") != F.col("head.id"))
-    star = scratch.keep(groups.where(close).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    wanted = groups.select("id").distinct()
-    sets = scratch.keep(_members(texts, wanted, size), "members")
-    links = scratch.keep(_confirm(star, sets, percent), "links")
+    star = groups.where(close).select(F.col("head.id").alias("a"), F.col("head.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
+    bits = rows.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("class_key", "bits")).alias("one")).select("id", "one.bits")
+    star = scratch.keep(_bounded(star, bits, percent), "star")
+    links = scratch.keep(_linked(texts, star, size, percent, scratch, "members"), "links")
     labels = components(links, scratch, "first")
 
     # the first member has met all others of its group already
     labelled = groups.where("id <> head.id").join(labels, "id", "left").select("shingle", "id", "n", F.coalesce("label", "id").alias("label"))
     labelled = scratch.keep(labelled, "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    bits = sets.mapInArrow(_bits, "id long, bits binary")
     crossing = _crossing(labelled.join(mixed, "shingle", "left_semi"), bits, scratch, percent)
     crossing = scratch.keep(crossing.join(star, ["a", "b"], "left_anti"), "crossing")
-    more = scratch.keep(_confirm(crossing, sets, percent), "more")
+    more = scratch.keep(_linked(texts, crossing, size, percent, scratch, "more-members"), "more")
     final = components(links.unionByName(more), scratch, "final")
-    scratch.discard("groups", "star", "members", "links", "labelled", "placed", "crossing", "more")
+    scratch.discard("groups", "star", "members", "links", "labelled", "placed", "crossing", "more-members", "more")
 
     named = rows.where("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("id")).join(final, "id", "left").select("class_key", F.coalesce("label", "id").alias("component_id"))
     full = rows.where("n > 0").select("doc_id", "n", "class_key").join(named, "class_key", "left")
@@ -302,7 +324,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     return full.select("doc_id", "n", "component_id").unionByName(bare).withColumnRenamed("n", "n_shingles")
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = [signature(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["id", "bits"])
+def _linked(texts: DataFrame, pairs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link; only the sets of documents in a pair are made again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    return _confirm(pairs, scratch.keep(_members(texts, wanted, size), name), percent)
