@@ -3,7 +3,8 @@
 Normalised texts are dealt by sampled splitters over (leading bytes, digest,
 salt), sorted externally inside each range, and each text is compared in full
 with its neighbour.  The salt lets the splitters cut inside one huge group of
-copies; narrow per-run summaries then meet in a partial aggregate.
+copies; narrow summaries of its parts then meet, and go back to the rows part
+by part.
 """
 
 from __future__ import annotations
@@ -50,12 +51,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     runs = (
         keyed.repartitionByRange(*place)
         .withColumn("fresh", fresh)
-        .select("doc_id", "points", "row", "digest", F.sum("fresh").over(run).alias("variant"))
+        .select("doc_id", "points", "row", "digest", "salt", F.sum("fresh").over(run).alias("variant"))
     )
     rows = scratch.keep(runs, "runs")
     best = F.min(F.struct(-F.col("points"), F.isnull("doc_id").alias("no_id"), "doc_id", "row"))
-    groups = rows.groupBy("digest", "variant").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    return rows.join(groups, ["digest", "variant"]).select(
+    parts = rows.groupBy("digest", "variant", "salt").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
+    group = Window.partitionBy("digest", "variant")  # at most SALTS rows a group
+    groups = parts.select("digest", "variant", "salt", F.sum("n").over(group).alias("group_size"), F.min("best").over(group).alias("best"))
+    return rows.join(groups, ["digest", "variant", "salt"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
