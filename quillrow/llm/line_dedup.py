@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import sliced
 from .bloom import contains, filter_bits, twice_filter
 from .scratch import Scratch
+from .skew import spread_join
 
 #: Stripped at both ends of a line.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -51,7 +53,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFram
     bits = filter_bits(counted or 0)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [[xxhash.xxh3_64_intdigest(k) for k in document_keys(t, shortest)] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"keys": pa.array([np.array(x, np.uint64).view(np.int64) for x in found], pa.list_(pa.int64()))})
 
@@ -59,7 +61,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFram
     suspected = spark.sparkContext.broadcast(twice_filter(keys, bits, max(1, spark.sparkContext.defaultParallelism)))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own, out = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list(document_keys(text, shortest))
@@ -77,7 +79,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFram
         .where("first < last or (no_id and first is not null)")
         .select("line", "first")
     )
-    lost = lines.join(first, "line").where("doc_id is null or doc_id > first")
+    lost = spread_join(lines, first, "line", "doc_id").where("doc_id is null or doc_id > first")
     return lost.groupBy("doc_id").agg(F.collect_set("line").alias("drops"))
 
 
@@ -102,7 +104,7 @@ def line_dedup(docs: DataFrame, shortest: int = SHORTEST, carry: bool = False) -
     )
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             total, gone, kept = [], [], []
             for text, lost in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
