@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import spread_join
 from .spans import count_of, listed, overlaps, with_spans
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -84,7 +85,7 @@ def secret_scan(docs: DataFrame, repository_col: str = "doc_id", owner_col: str
     tokens = F.filter("tokens", lambda s: ~overlaps(s, F.col("base")))
     found = scratch.keep(found.select("doc_id", "repository", "owner", "row", F.concat("base", tokens).alias("spans")), "found")
     occurrences = found.where(F.size("spans") > 0).select("repository", "owner", "row", F.explode("spans").alias("span")).withColumn("hash", F.col("span.hash"))
-    judged = occurrences.join(ownership(occurrences), "hash").where("span.kind <> 'token' or verdict = 'live'")
+    judged = spread_join(occurrences, ownership(occurrences), "hash", "row").where("span.kind <> 'token' or verdict = 'live'")
     span = F.struct("span.start", "span.place", "span.end", "span.kind", "hash", "repositories", "owners", "verdict")
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("judged"))
     bare = found.where(F.size("spans") == 0).select("doc_id", F.lit(None).cast(by_row.schema["judged"].dataType).alias("judged"))
