@@ -197,6 +197,7 @@ class _Run:
             if not todo:
                 continue
             began = time.time()
+            self.spark.sparkContext.setJobDescription(f"level {number}: {', '.join(s.name for s in todo)}")
             for step in todo:
                 self.hooks.fire("on_step_start", StepStartEvent(step.name, count, number))
             self.frame = self._column_steps(self.frame, [s for s in todo if isinstance(s, ColumnStep)])
@@ -218,6 +219,7 @@ class _Run:
             if manager:
                 manager.finish(run, fingerprint, number, sorted(done), self.frame)
             self._level_events(todo, count, time.time() - began)
+        self.spark.sparkContext.setJobDescription(None)
         return PipelineResult(self)
 
     def _prior(self, step: Any) -> dict[str, Column]:
