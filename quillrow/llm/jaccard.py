@@ -32,8 +32,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Documents that a shingle order is fitted on at most, and how often a shingle must occur in them to count as common.
 ORDER_ROWS, COMMON_COUNT, COMMON_MOST = 8000, 4, 1 << 17
-#: Bits of a signature.
+#: Bits of a signature in tiles; bits of the fine one, a shingle and at most.
 BITS = 1024
+FINE_SHARE, FINE_BITS = 3, 1 << 16
 #: Members of a tile side.
 TILE = 512
 #: Bits of the filter that spares texts without candidates the second reading.
@@ -86,11 +87,24 @@ def class_key(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def signature(own: np.ndarray) -> np.ndarray:
+def signature(own: np.ndarray, size: int = BITS) -> np.ndarray:
     """A bitmap of a set; more shared shingles than shared bits can't be."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(own % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits)
+    bits = np.zeros(size, np.uint8)
+    bits[(own % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def fine_signature(own: np.ndarray) -> np.ndarray:
+    """A bitmap that grows with the set, a power of two of bits."""
+    return signature(own, min(FINE_BITS, max(BITS, 1 << (FINE_SHARE * max(1, len(own)) - 1).bit_length())))
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in which two fine signatures differ, the longer folded to the shorter's length."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    short = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, short)) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def overlap_bound(sizes_a, sizes_b, differing):
@@ -128,18 +142,18 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
-    """doc_id, n, class_key, firsts, bits of every row; texts stay at the scan."""
+    """doc_id, n, class_key, firsts, bits, fine of every row; texts stay at the scan."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             own = [shingles(t, size) for t in batch.column(1).to_pylist()]
             firsts = [first_ones(s, common.value, percent).view(np.int64) for s in own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([class_key(s) for s in own], pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in own], pa.binary())],
-                ["doc_id", "n", "class_key", "firsts", "bits"],
+                [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([class_key(s) for s in own], pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in own], pa.binary()), pa.array([fine_signature(s).tobytes() for s in own], pa.binary())],
+                ["doc_id", "n", "class_key", "firsts", "bits", "fine"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, "doc_id long, n long, class_key binary, firsts array<bigint>, bits binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, "doc_id long, n long, class_key binary, firsts array<bigint>, bits binary, fine binary")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -178,21 +192,21 @@ def _filter_place(ids: np.ndarray) -> np.ndarray:
         return (_mix(ids.astype(np.int64).view(np.uint64) * ODD[0]) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the bitmaps can't rule out; ``pairs``: a, n_a, b, n_b."""
+def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the fine bitmaps can't rule out."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [batch.column(c).to_numpy() for c in (1, 3)]
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
-            differing = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+        for batch in sliced(batches):
+            sizes = [batch.column(c).to_numpy() for c in (2, 3)]
+            both = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            differing = np.array([differing_bits(x, y) for x, y in both], np.int64)
             open_ = pa.array(similar(overlap_bound(*sizes, differing), *sizes, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(open_) for c in (0, 2)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(open_) for c in (0, 1)], ["a", "b"])
 
-    left = bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"))
-    right = bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "n_a", "b", "n_b", "bits_a", "bits_b")
-    return both.mapInArrow(check, "a long, b long")
+    known = rows.where("n > 0 and doc_id is not null")
+    left, right = (known.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -302,9 +316,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     groups = scratch.keep(met.where("members > 1").select("shingle", "id", "n", "head"), "groups")
 
     close = (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent) & (F.col("id") != F.col("head.id"))
-    star = groups.where(close).select(F.col("head.id").alias("a"), F.col("head.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
+    star = groups.where(close).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
     bits = rows.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("class_key", "bits")).alias("one")).select("id", "one.bits")
-    star = scratch.keep(_bounded(star, bits, percent), "star")
+    star = scratch.keep(_bounded(star, rows, percent), "star")
     links = scratch.keep(_linked(texts, star, size, percent, scratch, "members"), "links")
     labels = components(links, scratch, "first")
 
@@ -313,7 +327,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     labelled = scratch.keep(labelled, "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
     crossing = _crossing(labelled.join(mixed, "shingle", "left_semi"), bits, scratch, percent)
-    crossing = scratch.keep(crossing.join(star, ["a", "b"], "left_anti"), "crossing")
+    crossing = scratch.keep(_bounded(crossing.join(star, ["a", "b"], "left_anti"), rows, percent), "crossing")
     more = scratch.keep(_linked(texts, crossing, size, percent, scratch, "more-members"), "more")
     final = components(links.unionByName(more), scratch, "final")
     scratch.discard("groups", "star", "members", "links", "labelled", "placed", "crossing", "more-members", "more")
