@@ -6,10 +6,34 @@ from collections.abc import Callable
 from zlib import crc32
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What glues words into one token; marks belong to their letters.
+GLUE = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+
+
+def unglued(tokens: list[str], longest: int, piece: int, reach: int) -> list[str]:
+    """The tokens, those of more than ``longest`` characters cut into words, and such words into pieces.
+
+    A piece of ``piece`` characters reaches over into the next one, so that no n-gram of up to ``reach`` + 1 characters is lost.
+    """
+    if max(map(len, tokens), default=0) <= longest:
+        return tokens
+    out: list[str] = []
+    for token in tokens:
+        if len(token) <= longest:
+            out.append(token)
+            continue
+        for word in GLUE.split(token):
+            if len(word) <= longest:
+                out += [word] if word else []
+            else:
+                out += [word[i : i + piece + reach] for i in range(0, len(word) - reach, piece)]
+    return out
+
 
 def ngrams(word: str, shortest: int, longest: int) -> list[str]:
     """Character n-grams of a word with its bounds marked."""

@@ -10,18 +10,18 @@ n-grams with words that were seen.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import sliced
 from .sampling import sampled
-from .subwords import Remembered, buckets, in_fold, in_process, ngrams
+from .subwords import GLUE, Remembered, buckets, in_fold, in_process, ngrams, unglued
 
 #: Rows of either label that training collects at most.
 MOST_ROWS = 1000
@@ -34,20 +34,20 @@ HARDEST = 3
 #: Weight of all clean windows together; toxic ones weigh the rest.
 CLEAN_SHARE = 0.6
 THRESHOLD = 0.3
-LONGEST_WORD = 40
+#: Longer words are cut into pieces about as long as a usual word.
+LONGEST_WORD, PIECE = 40, 8
 MEMORY = 400_000
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+EDGES = regex.compile(rf"^{GLUE.pattern}|{GLUE.pattern}$")
 
 
 def words(text: str | None) -> list[str]:
-    return (text or "").split()
+    """Words at white space; glued and unspaced ones of any length come in pieces, each a word."""
+    return unglued((text or "").split(), LONGEST_WORD, PIECE, LONGEST - 1)
 
 
 def features(token: str) -> list[int]:
-    """Feature numbers of a token; one without letters or digits has none.  Long tokens count by their two ends."""
+    """Feature numbers of a token; one without letters or digits has none."""
     word = EDGES.sub("", token.lower())
-    if len(word) > LONGEST_WORD:
-        word = word[: LONGEST_WORD // 2] + word[-LONGEST_WORD // 2 :]
     return buckets([f"={word}", *ngrams(word, SHORTEST, LONGEST)], FEATURES) if word else []
 
 

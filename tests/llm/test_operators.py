@@ -21,6 +21,7 @@ from quillrow.llm.mixing import mix_sources, quality_weights
 from quillrow.llm.neighbours import nearest
 from quillrow.llm.queries import ORACLE_SQL, QUERIES
 from quillrow.llm.scratch import Scratch
+from quillrow.llm.subwords import unglued
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, body string, line string, key string, digest string, rank int, label string, id long"
 SHARED = "A passage that many of the documents hold in common"
@@ -210,6 +211,27 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.toxicity(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_reads_unspaced_text_whole():
+    rng = random.Random(5)
+    clean = ["lorem", "ipsum", "dolor", "amet", "elit", "sed", "magna", "aliqua"]
+    texts = [" ".join(rng.choice(clean) for _ in range(60)) + (" vileword nastyterm" if i % 2 else "") for i in range(60)]
+    model = toxicity.train(texts, [i % 2 for i in range(60)])
+    sides = [rng.choice(clean) for _ in range(40)]
+    passage = sides[:20] + ["vileword", "nastyterm"] + sides[20:]
+    for glue in "._/-":
+        assert model.score(model.values(glue.join(passage))) == pytest.approx(model.score(model.values(" ".join(passage))))
+    whole = "".join(sides[:20]) + "{}" + "".join(sides[20:])
+    assert model.score(model.values(whole.format("vilewordnastyterm"))) > 2 * model.score(model.values(whole.format("magnaaliqua")))
+
+
+def test_pieces_keep_every_ngram():
+    token = "".join(chr(0x4E00 + i) for i in range(333))
+    for size in (41, 44, 45, 80, 84, 85, 333):
+        pieces = unglued(["short", token[:size]], 40, 8, 4)
+        assert pieces[0] == "short" and all(any(token[i : i + 5] in p for p in pieces) for i in range(size - 4))
+    assert unglued(["a.b" * 20, "--"], 40, 8, 4) == ["a", *["ba"] * 19, "b", "--"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
