@@ -26,8 +26,8 @@ from .subwords import GLUE, Remembered, buckets, in_fold, in_process, ngrams, un
 #: Rows of either label that training collects at most.
 MOST_ROWS = 1000
 FEATURES, WIDTH, SHORTEST, LONGEST = 1 << 16, 4, 3, 5
-#: Words of a window, and the step between windows.
-WINDOW, STEP = 4, 2
+#: Words of a window; one starts at every word.
+WINDOW = 4
 ROUNDS, STEPS = 5, 60
 #: Windows of a clean document that one round fits.
 HARDEST = 3
@@ -51,18 +51,18 @@ def features(token: str) -> list[int]:
     return buckets([f"={word}", *ngrams(word, SHORTEST, LONGEST)], FEATURES) if word else []
 
 
-def windows(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the windows over so many words."""
-    starts = np.arange(0, max(1, count - WINDOW + STEP), STEP)
-    return starts, np.minimum(starts + WINDOW, count)
-
-
-def once(values: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The values, zero where a name occurred less than a window before: a repeated word counts once."""
-    again = np.zeros(len(names), bool)
-    for lag in range(1, min(WINDOW, len(names))):
-        again[lag:] |= names[lag:] == names[:-lag]
-    return np.where(again, 0.0, values)
+def windows(values: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Sums of the values of each window; a name that a window repeats counts once in it."""
+    width = min(WINDOW, len(names))
+    count = len(names) - width + 1
+    same = [names[lag:] == names[:-lag] for lag in range(1, width)]
+    total = values[:count].copy()
+    for at in range(1, width):
+        again = np.zeros(count, bool)
+        for lag in range(1, at + 1):
+            again |= same[lag - 1][at - lag : at - lag + count]
+        total += np.where(again, 0.0, values[at : at + count])
+    return total
 
 
 class Model:
@@ -85,9 +85,7 @@ class Model:
         """Probability of a text from its words' numbers."""
         logit = self.bias
         if len(values):
-            starts, ends = windows(len(values))
-            total = np.concatenate([[0.0], np.cumsum(once(values, values))])
-            logit += float(((total[ends] - total[starts]) / WINDOW).max())
+            logit += float(windows(values, values).max() / WINDOW)
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
@@ -160,10 +158,8 @@ def worst_windows(docs: list[np.ndarray], labels: np.ndarray, values: np.ndarray
     bags, want = [np.zeros(0, np.int32)] * empty, [0.0] * empty
     for d, label in zip(docs, labels, strict=True):
         if len(d):
-            starts, ends = windows(len(d))
-            total = np.concatenate([[0.0], np.cumsum(once(values[d], d))])
-            chosen = np.argsort(-(total[ends] - total[starts]), kind="stable")[: 1 if label else HARDEST]
-            bags += [np.unique(d[starts[i] : ends[i]]) for i in chosen]
+            chosen = np.argsort(-windows(values[d], d), kind="stable")[: 1 if label else HARDEST]
+            bags += [np.unique(d[i : i + WINDOW]) for i in chosen]
             want += [label] * len(chosen)
     return bags, np.array(want)
 

@@ -224,6 +224,19 @@ def test_toxicity_reads_unspaced_text_whole():
     assert model.score(model.values(whole.format("vilewordnastyterm"))) > 2 * model.score(model.values(whole.format("magnaaliqua")))
 
 
+def test_windows_start_at_every_word():
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 3, 4, 5, 6, 30):
+        names = rng.integers(0, 5, size)
+        values = names + 0.5
+        want = [sum(set(values[i : i + 4])) for i in range(max(1, size - 3))]
+        assert toxicity.windows(values, names) == pytest.approx(want)
+    model = toxicity.Model(np.zeros(toxicity.FEATURES), 0.0)
+    passage = [5.0, 4.0, 3.0, 2.0]
+    at = [model.score(np.array([0.0] * i + passage + [0.0] * (9 - i))) for i in range(10)]
+    assert at == pytest.approx([at[0]] * 10)
+
+
 def test_pieces_keep_every_ngram():
     token = "".join(chr(0x4E00 + i) for i in range(333))
     for size in (41, 44, 45, 80, 84, 85, 333):
