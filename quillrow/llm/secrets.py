@@ -3,8 +3,8 @@
 Patterns propose spans in every text.  The hash of each proposed value is then
 counted over the whole corpus, by distinct repositories and owners: a value
 that many owners carry is a copied example, one that a single owner holds in
-a few repositories looks live.  Generic tokens become spans only when they
-look live.
+a few repositories looks live.  Generic tokens become spans unless they are
+copied.
 """
 
 from __future__ import annotations
@@ -66,8 +66,8 @@ def secret_scan(docs: DataFrame, repository_col: str = "doc_id", owner_col: str
     """doc_id and spans: array of (start, place, end, kind, hash, repositories, owners, verdict), in order.
 
     Base spans (assign, access, hex) always stay; a token span is added where
-    it overlaps no base span and its value looks live.  Null text counts as
-    empty; a null owner or repository counts as one more; rows repeating a
+    it overlaps no base span and its value isn't copied, with its verdict.  Null
+    text counts as empty; a null owner or repository counts as one more; rows repeating a
     repository count it once.  One row per input row, none for an empty table;
     other columns are ignored, whatever their names.
     """
@@ -85,7 +85,7 @@ def secret_scan(docs: DataFrame, repository_col: str = "doc_id", owner_col: str
     tokens = F.filter("tokens", lambda s: ~overlaps(s, F.col("base")))
     found = scratch.keep(found.select("doc_id", "repository", "owner", "row", F.concat("base", tokens).alias("spans")), "found")
     occurrences = found.where(F.size("spans") > 0).select("repository", "owner", "row", F.explode("spans").alias("span")).withColumn("hash", F.col("span.hash"))
-    judged = spread_join(occurrences, ownership(occurrences), "hash", "row").where("span.kind <> 'token' or verdict = 'live'")
+    judged = spread_join(occurrences, ownership(occurrences), "hash", "row").where("span.kind <> 'token' or verdict <> 'copied'")
     span = F.struct("span.start", "span.place", "span.end", "span.kind", "hash", "repositories", "owners", "verdict")
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("judged"))
     bare = found.where(F.size("spans") == 0).select("doc_id", F.lit(None).cast(by_row.schema["judged"].dataType).alias("judged"))
@@ -95,8 +95,8 @@ def secret_scan(docs: DataFrame, repository_col: str = "doc_id", owner_col: str
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:
-    """The counts and digests that the query returns."""
-    spans = F.col("spans")
+    """The counts and digests that the query returns; as in its SQL, of the tokens only live ones."""
+    spans = F.filter("spans", lambda s: (s["kind"] != "token") | (s["verdict"] == "live"))
     base = F.filter(spans, lambda s: s["kind"] != "token")
     counts = [count_of(spans, "kind", k) for k in BASE]
     verdicts = [count_of(spans, "verdict", v) for v in ("live", "copied")]

@@ -472,6 +472,14 @@ def test_ownership_decides_added_tokens(spark):
     assert found == {1: "token:2:22", **{10 + i: "" for i in range(4)}}
 
 
+def test_tokens_of_one_owner_stay_whatever_the_documents(spark):
+    one, two, copied = "Ab3dEf6hIj9kLm2nOp5q", "Yy3dEf6hIj9kLm2nOp5q", "Zz3dEf6hIj9kLm2nOp5q"
+    rows = [(i, one, "one") for i in range(5)] + [(10 + i, two, f"owner{i}") for i in range(2)] + [(20 + i, copied, f"owner{i}") for i in range(3)]
+    found = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = {r.doc_id: [(s.kind, s.owners, s.repositories, s.verdict) for s in r.spans] for r in found}
+    assert got == {**{i: [("token", 1, 5, "unclear")] for i in range(5)}, **{10 + i: [("token", 2, 2, "unclear")] for i in range(2)}, **{20 + i: [] for i in range(3)}}
+
+
 def test_context_and_checksums_decide_added_spans(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00"), (2, "IBAN DE88 3704 0044 0532 0130 00"), (3, "tel 030 1234567 now"), (4, "nr 030 1234567 now")]
     found = {r.doc_id: r.spans for r in pii.digest_columns(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
