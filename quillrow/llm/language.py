@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import sampled
-from .subwords import Remembered, buckets, in_fold, in_process, ngrams
+from .subwords import Remembered, buckets, in_fold, in_process, ngrams, unglued
 
 #: Labelled rows that training collects at most, and the words it fits.
 MOST_ROWS, MOST_WORDS = 800, 120_000
@@ -31,7 +31,8 @@ MOVED = 0.15
 STEPS = 60
 #: A lexicon word occurs so often, in one language so mostly; so many a language.
 LEXICON_COUNT, LEXICON_SHARE, LEXICON_SIZE = 5, 0.8, 400
-LONGEST_WORD = 40
+#: Longer words are cut into pieces about as long as a usual word.
+LONGEST_WORD, PIECE = 40, 8
 MEMORY = 400_000
 #: Words whose posteriors are computed together.
 GROUP = 100_000
@@ -39,9 +40,13 @@ UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def tokens(text: str) -> list[str]:
+    """Words at white space; glued and unspaced ones of any length come in pieces, each a word."""
+    return unglued(text.split(), LONGEST_WORD, PIECE, 2)
+
+
 def letters(token: str) -> str:
-    word = NOT_LETTERS.sub("", token).lower()
-    return word if len(word) <= LONGEST_WORD else word[: LONGEST_WORD // 2] + word[-LONGEST_WORD // 2 :]
+    return NOT_LETTERS.sub("", token).lower()
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -104,9 +109,9 @@ class Model:
         group: list[np.ndarray] = []
         held = 0
         for text in texts:
-            tokens = text.split() if text and self.labels else []
-            group.append(np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens)))
-            held += len(tokens)
+            own = tokens(text) if text and self.labels else []
+            group.append(np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)))
+            held += len(own)
             if held >= GROUP:
                 out += self._posteriors(group)
                 group, held = [], 0
@@ -155,7 +160,7 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     if not labels:
         return Model([], {}, np.zeros((FEATURES, 0)), np.zeros((0, 0)))
     y = np.array([labels.index(x) for x in langs])
-    words = [[w for t in text.split() if (w := letters(t))] for text in texts]
+    words = [[w for t in tokens(text) if (w := letters(t))] for text in texts]
     lexicon = learn_lexicon(words, y, len(labels))
     rng = np.random.default_rng(seed)
     segments = [(w[i : i + SEGMENT], label) for w, label in zip(words, y, strict=True) for i in range(0, len(w) - SEGMENT + 1, SEGMENT)]

@@ -263,6 +263,17 @@ def test_language_of_awkward_rows(awkward, empty, spark):
     assert {r.lang_pred for r in language.identify(awkward, language.fit(empty)).collect()} == {"und"}
 
 
+def test_language_reads_unspaced_text_whole():
+    rng = random.Random(8)
+    words = {"xx": ["lorem", "ipsum", "dolor", "amet", "elit"], "yy": ["kwik", "zwart", "bjork", "hvad", "fjord"]}
+    texts = {k: [[rng.choice(v) for _ in range(40)] for _ in range(60)] for k, v in words.items()}
+    model = language.train([" ".join(t) for k in texts for t in texts[k]], [k for k in texts for _ in texts[k]])
+    few, many = texts["xx"][0][:6], texts["yy"][0] + texts["yy"][1]
+    for glue in ("", ".", "_"):
+        assert model.predict([" ".join(few) + " " + glue.join(many)])[0][0] == "yy"
+        assert model.predict([glue.join(few + many + few)])[0][0] == "yy"
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
