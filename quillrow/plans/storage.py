@@ -41,6 +41,11 @@ class Files:
         place, system = self._at(path)
         return system.delete(place, True)
 
+    def delete_on_exit(self, path: str) -> None:
+        """Has the driver's JVM delete a folder when it ends."""
+        place, system = self._at(path)
+        system.deleteOnExit(place)
+
     def names(self, path: str) -> list[str]:
         place, system = self._at(path)
         return sorted(x.getPath().getName() for x in system.listStatus(place)) if system.exists(place) else []
