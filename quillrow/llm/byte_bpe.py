@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import sliced
+from .held import LONGEST_KEY, held
 
 #: Code points of a chunk, and how far it reads into the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Matches at the end of a cut chunk that more text could change.
 UNSURE = 2
 #: Pre-tokens remembered in a worker.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Bytes of a pre-token up to which pairs are scanned and not kept in a heap; above every rank.
 SHORT, NEVER = 48, 1 << 60
 
@@ -125,7 +126,7 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= LONGEST_KEY:
             if len(self) >= MEMORY:
                 self.clear()
             self[piece] = ids
@@ -135,15 +136,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.splitter.pieces(text)))
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
-
-
 def encoder(vocabulary: bytes, pattern: str) -> Encoder:
-    """This process's encoder of a vocabulary."""
-    key = hash(vocabulary), pattern
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(vocabulary, pattern)
-    return _ENCODERS[key]
+    """This worker's encoder of a vocabulary."""
+    return held(("byte_bpe", hash(vocabulary), pattern), lambda: Encoder(vocabulary, pattern))
 
 
 def chunk_ends(pieces: list[str], start: int, last: bool) -> list[int]:

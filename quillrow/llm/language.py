@@ -8,21 +8,23 @@ A document's language is the label with the largest mean posterior.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import sampled
-from .subwords import Remembered, buckets, in_fold, in_process, ngrams, unglued
+from .batches import sliced
+from .held import Remembered
+from .sampling import sampled_by
+from .subwords import buckets, in_fold, in_process, ngrams, unglued
 
-#: Labelled rows that training collects at most, and the words it fits.
-MOST_ROWS, MOST_WORDS = 800, 120_000
+#: Labelled rows of each language that training collects at most, their length in code points, and the words it fits.
+MOST_ROWS, LONGEST_TEXT, MOST_WORDS = 200, 1 << 15, 120_000
 FEATURES = 1 << 15
 #: Words of a training segment, segments of a training chain, words of a chain at prediction.
 SEGMENT, SEGMENTS, CHAIN = 8, 4, 64
@@ -33,11 +35,13 @@ STEPS = 60
 LEXICON_COUNT, LEXICON_SHARE, LEXICON_SIZE = 5, 0.8, 400
 #: Longer words are cut into pieces about as long as a usual word.
 LONGEST_WORD, PIECE = 40, 8
-MEMORY = 400_000
-#: Words whose posteriors are computed together.
-GROUP = 100_000
+MEMORY = 200_000
+#: Words whose posteriors are computed together, and code points that are split into words at a time.
+GROUP, STRETCH = 50_000, 1 << 16
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are Unicode's category L; marks belong to the letter before them.
+LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
+WHITE = regex.compile(r"\s")
 
 
 def tokens(text: str) -> list[str]:
@@ -45,8 +49,19 @@ def tokens(text: str) -> list[str]:
     return unglued(text.split(), LONGEST_WORD, PIECE, 2)
 
 
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """A text in parts of about ``size`` code points, cut at white space; where none follows for as long again, inside the word."""
+    at = 0
+    while at < len(text):
+        gap = WHITE.search(text, at + size, at + 2 * size)
+        end = gap.start() if gap else min(len(text), at + 2 * size)
+        yield text[at:end]
+        at = end
+
+
 def letters(token: str) -> str:
-    return NOT_LETTERS.sub("", token).lower()
+    """A token's letters, empty if it has none."""
+    return NOT_LETTERS.sub("", token).lower() if LETTER.search(token) else ""
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -104,41 +119,44 @@ class Model:
         return self.used - 1
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and mean posterior of each text."""
-        out: list[tuple[str, float]] = []
+        """Language and mean posterior of each text; a text of any length is read in stretches, and only sums of its words are kept."""
+        total, size = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64)
         group: list[np.ndarray] = []
+        owners: list[int] = []
         held = 0
-        for text in texts:
-            own = tokens(text) if text and self.labels else []
-            group.append(np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)))
-            held += len(own)
-            if held >= GROUP:
-                out += self._posteriors(group)
-                group, held = [], 0
-                if len(self.known) > MEMORY:
-                    self.forget()
-        return out + self._posteriors(group)
-
-    def _posteriors(self, group: list[np.ndarray]) -> list[tuple[str, float]]:
-        group = [g[g >= 0] for g in group]
-        size = np.array([len(g) for g in group], np.int64)
-        if not size.sum():
-            return [(UNKNOWN, 0.0)] * len(group)
+        for number, text in enumerate(texts if self.labels else []):
+            for part in stretches(text or ""):
+                own = tokens(part)
+                rows = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+                group.append(rows[rows >= 0])
+                owners.append(number)
+                held += len(own)
+                if held >= GROUP:
+                    self._add(group, owners, total, size)
+                    group, owners, held = [], [], 0
+                    if len(self.known) > MEMORY:
+                        self.forget()
+        self._add(group, owners, total, size)
+        share = total / np.maximum(size, 1)[:, None]
+        return [(self.labels[share[i].argmax()], float(min(1.0, share[i].max()))) if n else (UNKNOWN, 0.0) for i, n in enumerate(size)]
+
+    def _add(self, group: list[np.ndarray], owners: list[int], total: np.ndarray, size: np.ndarray) -> None:
+        """Adds the posteriors of each stretch's words, chain by chain, to its owner's sums."""
+        words = np.array([len(g) for g in group], np.int64)
+        if not words.sum():
+            return
+        np.add.at(size, owners, words)
         flat = np.concatenate(group)
-        chains = -(-size // CHAIN)
-        owner = np.repeat(np.arange(len(group)), chains)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(chains) - chains, chains)
-        begin = np.repeat(np.cumsum(size) - size, chains) + number * CHAIN
-        lengths = np.minimum(CHAIN, size[owner] - number * CHAIN)
+        chains = -(-words // CHAIN)
+        part = np.repeat(np.arange(len(group)), chains)
+        number = np.arange(len(part)) - np.repeat(np.cumsum(chains) - chains, chains)
+        begin = np.repeat(np.cumsum(words) - words, chains) + number * CHAIN
+        lengths = np.minimum(CHAIN, words[part] - number * CHAIN)
         places = np.arange(min(CHAIN, int(lengths.max())))
         at = np.minimum(begin[:, None] + places, len(flat) - 1)
         posterior, _ = forward_backward(self.table[flat[at]], lengths, self.transitions)
         posterior *= (places < lengths[:, None])[:, :, None]
-        total = np.zeros((len(group), len(self.labels)))
-        np.add.at(total, owner, posterior.sum(1))
-        share = total / np.maximum(size, 1)[:, None]
-        best = share.argmax(1)
-        return [(self.labels[b], float(min(1.0, share[i, b]))) if size[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
+        np.add.at(total, np.array(owners)[part], posterior.sum(1))
 
 
 def learn_lexicon(words: list[list[str]], labels: np.ndarray, count: int) -> dict[str, int]:
@@ -203,9 +221,10 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
 
 
 def fit(docs: DataFrame, folds: int = 3, held_out: int = 1, most: int = MOST_ROWS) -> Model:
-    """Train on at most ``most`` rows with text and lang outside the held-out fold."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out))
-    found = sampled(rows, most)
+    """Train on at most ``most`` rows of each language, outside the held-out fold and of at most LONGEST_TEXT code points."""
+    usable = F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out)
+    rows = docs.select("doc_id", "text", "lang").where(usable & (F.length("text") <= LONGEST_TEXT))
+    found = sampled_by(rows, "lang", most)
     return train([r.text for r in found], [r.lang for r in found])
 
 
@@ -213,7 +232,9 @@ def identify(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, c
     """doc_id, held_out, lang_pred, score for every row of ``docs``.
 
     Texts that are null or hold no letter get ``und`` and score 0, as do all
-    texts if no labelled row was there to learn from.  Repeated rows get equal
+    texts if no labelled row was there to learn from; of equal mean posteriors
+    the first language by name counts.  A text of any length is read whole, in
+    stretches, so memory doesn't grow with it.  Repeated rows get equal
     answers; a null id hashes as empty text.  With ``carry`` all columns of
     ``docs`` come instead, then __lang and __score.  An empty table gives an
     empty result; without ``carry`` other columns are ignored.
@@ -228,7 +249,7 @@ def identify(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, c
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = shared.value
         own = in_process("language", [parts[2], parts[3]], lambda: Model(*parts))
-        for batch in batches:
+        for batch in sliced(batches):
             found = own.predict(batch.column(text_at).to_pylist())
             kept = batch.columns if carry else [c for i, c in enumerate(batch.columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)

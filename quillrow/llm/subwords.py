@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .held import held
+
 #: What glues words into one token; marks belong to their letters.
 GLUE = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
@@ -46,31 +48,9 @@ def buckets(features: list[str], size: int) -> list[int]:
     return [crc32(f.encode()) & (size - 1) for f in features]
 
 
-class Remembered(dict):
-    """What ``compute`` gives for a word; forgets all when ``most`` words are known."""
-
-    def __init__(self, compute: Callable[[str], object], most: int):
-        super().__init__()
-        self.compute, self.most = compute, most
-
-    def __missing__(self, word: str):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.compute(word)
-        return value
-
-
-_IN_PROCESS: dict[tuple[str, str], object] = {}
-
-
 def in_process(kind: str, weights: list[np.ndarray], build: Callable[[], object]) -> object:
-    """This worker's object for a model, made once; a newer model of the kind takes its place."""
-    mark = xxhash.xxh3_64_hexdigest(b"".join(np.ascontiguousarray(w).tobytes() for w in weights))
-    if (kind, mark) not in _IN_PROCESS:
-        for old in [k for k in _IN_PROCESS if k[0] == kind]:
-            del _IN_PROCESS[old]
-        _IN_PROCESS[kind, mark] = build()
-    return _IN_PROCESS[kind, mark]
+    """This worker's object for a model, made once."""
+    return held((kind, xxhash.xxh3_64_hexdigest(b"".join(np.ascontiguousarray(w).tobytes() for w in weights))), build)
 
 
 def in_fold(doc_id: Column, folds: int, held_out: int) -> Column:

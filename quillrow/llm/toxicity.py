@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import sliced
+from .held import Remembered
 from .sampling import sampled
-from .subwords import GLUE, Remembered, buckets, in_fold, in_process, ngrams, unglued
+from .subwords import GLUE, buckets, in_fold, in_process, ngrams, unglued
 
 #: Rows of either label that training collects at most.
 MOST_ROWS = 1000
@@ -36,7 +37,7 @@ CLEAN_SHARE = 0.6
 THRESHOLD = 0.3
 #: Longer words are cut into pieces about as long as a usual word.
 LONGEST_WORD, PIECE = 40, 8
-MEMORY = 400_000
+MEMORY = 200_000
 EDGES = regex.compile(rf"^{GLUE.pattern}|{GLUE.pattern}$")
 
 
