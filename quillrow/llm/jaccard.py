@@ -3,17 +3,21 @@
 Texts become sets of hashed word shingles; equal sets collapse to one class.
 In one global order of the shingles, rare before common, two sets that are
 similar enough share one of each other's first shingles, so classes meet only
-under those.  Under a shingle, members come in size-banded tiles: hashed
-bitmaps bound each pair's overlap from above, and what passes is confirmed by
-intersecting the exact sorted arrays.
-
-No group's pairs are emitted: first every member meets only the first member
-of its group, confirmed links join components, and only pairs whose components
-still differ are then bounded and confirmed.
+under those.  The order counts, over the whole corpus, every shingle whose hash
+falls in a fixed band; a set with enough shingles that nobody else has meets
+nobody.  Under a shingle, members come in size-banded tiles: hashed bitmaps
+that grow with the set bound each pair's overlap from above, and what passes
+is confirmed by intersecting the exact sorted arrays.
+
+No group's pairs are emitted: first every member meets only one other of its
+group, the same for all, confirmed links join components, and after two such
+turns only pairs whose components still differ are bounded and confirmed.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,22 +28,28 @@ from pyspark.sql import functions as F
 
 from .batches import sliced
 from .components import components
+from .held import Remembered, held
 from .scratch import Scratch
-from .subwords import Remembered
+from .skew import spread_join
 
 SHINGLE = 5
 #: Similarity in hundredths from which sets link.
 PERCENT = 80
-#: Documents that a shingle order is fitted on at most, and how often a shingle must occur in them to count as common.
+#: Documents that common shingles are fitted on at most, and how often a shingle must occur in them to count as common.
 ORDER_ROWS, COMMON_COUNT, COMMON_MOST = 8000, 4, 1 << 17
-#: Bits of a signature in tiles; bits of the fine one, a shingle and at most.
-BITS = 1024
-FINE_SHARE, FINE_BITS = 3, 1 << 16
-#: Members of a tile side.
-TILE = 512
-#: Bits of the filter that spares texts without candidates the second reading.
-FILTER_BITS = 1 << 24
-MEMORY = 300_000
+#: Share of the hash range whose shingles are counted; above the share of a set that its first shingles are.
+BAND = 0.3
+#: Classes of so many copies that they are told to the executors, at most; only one copy of these counts its shingles.
+HOT_CLASSES, FEW_COPIES = 1 << 16, 8
+#: Bits of a signature: so many a shingle, at least.
+BITS_SHARE, LEAST_BITS = 3, 256
+#: Times that every member meets one other of its group before what is left of the group is compared in tiles.
+STARS = 2
+#: Members of a tile, and shingles of all of them together that a tile holds about.
+TILE, TILE_SHINGLES = 512, 1 << 21
+#: Words remembered in a worker, and bytes of a text that are split into words at a time.
+MEMORY, STRETCH = 200_000, 1 << 20
+WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -49,37 +59,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-_WORDS = Remembered(xxhash.xxh3_64_intdigest, MEMORY)
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a UTF-8 text at ASCII white space, A-Z lower-cased; read in stretches."""
+    known = held("words", lambda: Remembered(xxhash.xxh3_64_intdigest, MEMORY))
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        gap = WHITE.search(text, at + STRETCH)
+        end = gap.start() if gap else len(text)
+        words = text[at:end].lower().split()
+        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out)
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes of a UTF-8 text; bytes split at ASCII white space and lower-case A-Z only."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashed = word_hashes(text or b"")
+    if not len(hashed):
+        return hashed
     with np.errstate(over="ignore"):
-        if len(words) < size:
-            total = np.uint64(len(words))
+        if len(hashed) < size:
+            total = np.uint64(len(hashed))
             for h in hashed:
                 total = _mix(total + h) * ODD[0]
             return np.array([total], np.uint64)
-        count = len(words) - size + 1
+        count = len(hashed) - size + 1
         total = np.zeros(count, np.uint64)
         for i in range(size):
             total = _mix(total + hashed[i : i + count]) * ODD[i % len(ODD)]
     return np.unique(_mix(total))
 
 
-def first_ones(own: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a set under which every similar set can be met: in order, rare ones first."""
-    need = -(-percent * len(own) // 100)
-    keep = len(own) - need + 1
+def needed(count, percent: int):
+    """How many first shingles of a set of ``count`` every similar set must meet one of."""
+    return count + (-percent * count) // 100 + 1
+
+
+def banded(own: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set that are counted, and those that follow them in order as far as they are needed.
+
+    Counted ones stand first, in the order of their counts; then come those
+    outside the band and last the common ones, both by hash.
+    """
+    late = np.zeros(len(own), bool)
     if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        late = common[at] == own
-        return np.concatenate([own[~late], own[late]])[:keep]
-    return own[:keep]
+        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+    counted = ~late & (own < np.uint64(int(BAND * 2.0**64)))
+    lacking = max(0, needed(len(own), percent) - int(counted.sum()))
+    return own[counted], np.concatenate([own[~late & ~counted], own[late]])[:lacking]
 
 
 def class_key(own: np.ndarray) -> bytes:
@@ -87,24 +114,23 @@ def class_key(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def signature(own: np.ndarray, size: int = BITS) -> np.ndarray:
-    """A bitmap of a set; more shared shingles than shared bits can't be."""
+def signature(own: np.ndarray) -> np.ndarray:
+    """A bitmap of a set; more shared shingles than shared bits can't be.  It grows with the set, a power of two of bits."""
+    size = max(LEAST_BITS, 1 << (BITS_SHARE * max(1, len(own)) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(own % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
 
 
-def fine_signature(own: np.ndarray) -> np.ndarray:
-    """A bitmap that grows with the set, a power of two of bits."""
-    return signature(own, min(FINE_BITS, max(BITS, 1 << (FINE_SHARE * max(1, len(own)) - 1).bit_length())))
+def folded(bits: bytes, words: int) -> np.ndarray:
+    """A signature as so many 64-bit words, longer ones folded."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, words))
 
 
 def differing_bits(x: bytes, y: bytes) -> int:
-    """Bits in which two fine signatures differ, the longer folded to the shorter's length."""
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    short = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(z.reshape(-1, short)) for z in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+    """Bits in which two signatures differ, the longer folded to the shorter's length."""
+    short = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(folded(x, short) ^ folded(y, short)).sum())
 
 
 def overlap_bound(sizes_a, sizes_b, differing):
@@ -142,58 +168,81 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
-    """doc_id, n, class_key, firsts, bits, fine of every row; texts stay at the scan."""
+    """row, row_key, doc_id, n, class_key, code, counted, follow, bits of every row; texts stay at the scan."""
+    ddl = "row long, row_key long, doc_id long, n long, class_key binary, code long, counted array<bigint>, follow array<bigint>, bits binary"
+    names = [x.split()[0] for x in ddl.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            own = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            firsts = [first_ones(s, common.value, percent).view(np.int64) for s in own]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([class_key(s) for s in own], pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in own], pa.binary()), pa.array([fine_signature(s).tobytes() for s in own], pa.binary())],
-                ["doc_id", "n", "class_key", "firsts", "bits", "fine"],
-            )
+            own = [shingles(t, size) for t in batch.column(3).to_pylist()]
+            keys = [class_key(s) for s in own]
+            parts = [banded(s, common.value, percent) for s in own]
+            made = [
+                pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.binary()), pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()),
+                *(pa.array([p[i].view(np.int64) for p in parts], pa.list_(pa.int64())) for i in (0, 1)), pa.array([signature(s).tobytes() for s in own], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, "doc_id long, n long, class_key binary, firsts array<bigint>, bits binary, fine binary")
+    return docs.select(F.monotonically_increasing_id().alias("row"), _row_key(), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, ddl)
 
 
-def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, own: the sets of the wanted documents, and of a few others that a filter of fixed size lets through."""
-    spark = docs.sparkSession
+def _row_key():
+    """What finds a class's row again in another reading of the table; rows that share it by chance are told apart by their class."""
+    return F.xxhash64("doc_id", "text").alias("row_key")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_filter_place(batch.column(0).to_numpy())] = True
-        if bits.any():
-            yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    marked = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in wanted.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(mark, "bits binary").toLocalIterator():
-        marked |= np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(marked)
+def _classes(rows: DataFrame) -> DataFrame:
+    """id, class_key, code, n, n_counted, copies, row_key (of one row), doc_id (the smallest), bits of every set."""
+    one = rows.where("n > 0").groupBy("class_key").agg(
+        F.first("code").alias("code"), F.first("n").alias("n"), F.first(F.size("counted")).alias("n_counted"),
+        F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"),
+        F.first("bits").alias("bits"),
+    )
+    return one.select(F.monotonically_increasing_id().alias("id"), "*")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            ids = batch.column(0).fill_null(0).to_numpy()
-            at = _filter_place(ids)
-            hit = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) == 1
-            kept = batch.filter(pa.array(hit))
-            own = [shingles(t, size) for t in kept.column(1).to_pylist()]
-            columns = [kept.column(0), pa.array([class_key(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "class_key", "own"])
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
-    found = texts.mapInArrow(read, "id long, class_key binary, own binary")
-    return found.groupBy("id").agg(F.min(F.struct("class_key", "own")).alias("one")).select("id", "one.own")
+def _first_ones(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """id, n, cap, shingle: the first shingles of every class that some other class may share.
 
+    A counted shingle that one class alone holds can't be met, but takes its
+    place among the first ones: a class with enough of these drops out, and
+    the others share at most ``cap`` shingles with anybody.  Copies
+    count too; of a class with very many only one row does, so that no shingle
+    gathers the rows of a huge group of copies.
+    """
+    copies = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = classes.where(F.col("copies") > max(FEW_COPIES, copies // HOT_CLASSES)).select("class_key", F.col("row_key").alias("stands"))
+    single = rows.where("n > 0").join(F.broadcast(hot), "class_key", "left").where("stands is null or stands = row_key")  # HOT_CLASSES rows at most
+
+    met = single.select("code", F.explode("counted").alias("shingle"))
+    group = Window.partitionBy("shingle")
+    met = met.withColumns({"count": F.count(F.lit(1)).over(group), "low": F.min("code").over(group), "high": F.max("code").over(group)})
+    shared = met.where("low < high").select("code", "shingle", "count").repartition("code").groupBy("code", "shingle").agg(F.min("count").alias("count"))
+    known = classes.select("code", "id", "n", "n_counted", (F.col("n") + F.floor(F.col("n") * -percent / 100) + 1).alias("need"))
+    own = Window.partitionBy("code", "id")
+    alone = F.col("n_counted") - F.count(F.lit(1)).over(own)
+    placed = shared.join(known, "code").withColumns({"alone": alone, "place": F.row_number().over(own.orderBy("count", "shingle"))})
+    first = placed.where(F.col("place") + F.col("alone") <= F.col("need")).select("id", "n", (F.col("n") - F.col("alone")).alias("cap"), "shingle")
+    follow = single.where(F.size("follow") > 0).select("class_key", F.explode("follow").alias("shingle")).distinct()
+    return first.unionByName(follow.join(classes.select("class_key", "id", "n"), "class_key").select("id", "n", F.col("n").alias("cap"), "shingle"))
 
-def _filter_place(ids: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (_mix(ids.astype(np.int64).view(np.uint64) * ODD[0]) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
+def _members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id, own: the sets of the wanted classes, made again from one row of each."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            own = [shingles(t, size) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["class_key", "own"])
 
-def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the fine bitmaps can't rule out."""
+    asked = classes.join(wanted.distinct(), "id", "left_semi").select("id", "class_key", "row_key")
+    texts = docs.select(_row_key(), F.col("text").cast("binary").alias("text")).join(asked.select("row_key").distinct(), "row_key", "left_semi")
+    found = texts.select("text").mapInArrow(read, "class_key binary, own binary").groupBy("class_key").agg(F.first("own").alias("own"))
+    return found.join(asked.select("id", "class_key"), "class_key").select("id", "own")
+
+
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps can't rule out."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -203,10 +252,9 @@ def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             open_ = pa.array(similar(overlap_bound(*sizes, differing), *sizes, percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(open_) for c in (0, 1)], ["a", "b"])
 
-    known = rows.where("n > 0 and doc_id is not null")
-    left, right = (known.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    left, right = (bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    both = spread_join(pairs.join(right, "b"), left, "a", "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,30 +270,92 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
     right = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
+    return spread_join(pairs.join(right, "b"), left, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """The members of the shingles that two classes or more share; of shingles with the same members one stays.
+
+    A passage brings as many such shingles as it has words.  Member sets are
+    told apart by their size and two sums of hashes, so no list is gathered.
+    """
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"mark_{seed}") for seed in (1, 2)]
+    alike = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), *marks).where("members > 1")
+    kept = alike.groupBy("members", "mark_1", "mark_2").agg(F.min("shingle").alias("shingle")).select("shingle")
+    return spread_join(members, kept, "shingle", "id")
+
+
+def _head_order(turn: int):
+    return F.xxhash64("id", F.lit(turn))
 
 
-def _crossing(groups: DataFrame, bits: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``groups`` with each member's component; before there are links every class is one."""
+    if labels is None:
+        return groups.withColumn("label", F.col("id"))
+    return groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _star(groups: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each group's head with its members in other components that may link; another head each turn."""
+    rows = _labelled(groups, labels)
+    order = F.struct(_head_order(turn), "id", "n", "cap", "label")
+    heads = rows.groupBy("shingle").agg(F.min(order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "head")
+    met = spread_join(rows, heads, "shingle", "id")
+    shared = F.least("cap", "head.cap")
+    close = (F.col("label") != F.col("head.label")) & (shared * 100 >= (F.col("n") + F.col("head.n") - shared) * percent)
+    return met.where(close).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+
+
+def _crossing(groups: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a group in different components that the bitmaps can't rule out.
 
-    ``groups``: shingle, id, n, label; ``bits``: id, bits.  A group is sorted by
-    size and cut into tiles; a tile meets itself and those later ones that its
-    sizes and components allow.
+    ``groups``: shingle, id, n, cap, label.  A group's heads have met all of
+    it.  A group of up to TILE members is one tile.  In a larger one a cell
+    has the members of one size band that lie in the group's largest
+    component, or those that don't; it is cut by hash into tiles, and a tile
+    meets itself and those of cells whose sizes and components allow links.
     """
-    by_size = Window.partitionBy("shingle").orderBy("n", "id")
-    placed = scratch.keep(groups.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / TILE).cast("int")), "placed")
-    bands = placed.groupBy("shingle", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"))
-    later = bands.select("shingle", F.col("tile").alias("with"), F.col("low").alias("with_low"), F.col("first").alias("with_first"), F.col("last").alias("with_last"))
-    reach = F.col("high") * 100 >= F.col("with_low") * percent
-    mixed = (F.least("first", "with_first") != F.greatest("last", "with_last"))
-    meet = bands.join(later, "shingle").where((F.col("tile") <= F.col("with")) & reach & mixed).select("shingle", "tile", "with")
-    left = placed.join(meet, ["shingle", "tile"]).withColumn("side", F.lit(0))
-    right = placed.withColumnRenamed("tile", "with").join(meet.where("tile < with"), ["shingle", "with"]).withColumn("side", F.lit(1))
-    columns = ["shingle", "tile", "with", "side", "id", "n", "label", "bits"]
-
-    both = left.join(bits, "id").select(columns).unionByName(right.join(bits, "id").select(columns))
-    tiles = both.repartition("shingle", "tile", "with").sortWithinPartitions("shingle", "tile", "with", "side", "id")
-    return tiles.mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
+    heads = [F.min(F.struct(_head_order(turn), "id")).alias(f"head_{turn}") for turn in range(STARS)]
+    mixed = groups.groupBy("shingle").agg(*heads, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", F.array(*(f"head_{turn}.id" for turn in range(STARS))).alias("heads"))
+    groups = spread_join(groups, mixed, "shingle", "id").where(~F.array_contains("heads", F.col("id"))).drop("heads")
+    mixed = groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    fits = (F.col("members") <= TILE) & (F.col("all") <= TILE_SHINGLES)
+    columns = ["tile", "side", "id", "cap", "label"]
+    small = groups.join(mixed.where(fits).select("shingle"), "shingle").select(F.col("shingle").alias("tile"), F.lit(0).alias("side"), "id", "cap", "label")
+    large = _dealt(spread_join(groups, mixed.where(~fits).select("shingle"), "shingle", "id"), percent).select(columns)
+    tiles = small.unionByName(large).join(bits, "id").repartition("tile").sortWithinPartitions("tile", "side", "id")
+    return tiles.select(*columns, "n", "bits").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
+
+
+def _dealt(groups: DataFrame, percent: int) -> DataFrame:
+    """tile, side, id, cap, label: the members of large groups in all tiles where they meet others."""
+    sizes = groups.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("most")).select("shingle", F.col("most.label").alias("main"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(100 / percent, 1.01))) + 1e-9).cast("int")  # similar sets lie in one band or in neighbours
+    cell = (band * 2 + (F.col("label") != F.col("main")).cast("int")).alias("own")
+    celled = spread_join(groups, largest, "shingle", "id").select("shingle", "id", "n", "cap", "label", cell)
+    holds = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("n"))))
+    cells = celled.groupBy("shingle", F.col("own").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / holds).cast("int").alias("tiles"))
+    beside = cells.select("shingle", F.col("cell").alias("with_cell"), F.col("tiles").alias("with_tiles"))
+    apart = F.floor(F.col("with_cell") / 2) - F.floor(F.col("cell") / 2)
+    mixed = (F.col("cell") % 2 == 1) | (F.col("with_cell") % 2 == 1)
+    meet = cells.join(beside, "shingle").where(apart.between(0, 1) & (F.col("cell") <= F.col("with_cell")) & mixed)
+    # each cell's few meetings, as either side; in a cell's meeting with itself a pair of tiles is taken once
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("cell").alias("own"), F.col("tiles").alias("own_tiles"), F.col("with_tiles").alias("other_tiles")),
+                              F.struct(F.lit(1).alias("side"), F.col("with_cell").alias("own"), F.col("with_tiles").alias("own_tiles"), F.col("tiles").alias("other_tiles"))))
+    meets = meet.select("shingle", "cell", "with_cell", sides.alias("s")).select("shingle", "s.own", F.struct("s.*", "cell", "with_cell").alias("meet"))
+    meets = meets.groupBy("shingle", "own").agg(F.collect_list("meet").alias("meets"))
+    rows = spread_join(celled, meets, ["shingle", "own"], "id").withColumn("meet", F.explode("meets"))
+    own = F.pmod(F.xxhash64("id"), F.col("meet.own_tiles")).cast("int")
+    same = F.col("meet.cell") == F.col("meet.with_cell")
+    first = F.when(same & (F.col("meet.side") == 0), own).otherwise(0)
+    last = F.when(same & (F.col("meet.side") == 1), own - 1).otherwise(F.col("meet.other_tiles") - 1)
+    others = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
+    rows = rows.select("shingle", "id", "cap", "label", "meet", own.alias("tile_no"), F.explode(others).alias("other_no"))
+    places = F.when(F.col("meet.side") == 0, F.struct(F.col("tile_no").alias("x"), F.col("other_no").alias("y"))).otherwise(F.struct(F.col("other_no").alias("x"), F.col("tile_no").alias("y")))
+    tile = F.xxhash64("shingle", "meet.cell", "meet.with_cell", places["x"], places["y"])
+    return rows.select(tile.alias("tile"), F.col("meet.side").alias("side"), "id", "cap", "label")
 
 
 def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -253,92 +363,89 @@ def _tile_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            waiting.append(batch)
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            starts = _tile_starts(table)
-            yield _pairs(table.slice(0, int(starts[-1])), starts, percent)
-            waiting = table.slice(int(starts[-1])).to_batches()
+        now = None
+        for batch in sliced(batches, 1 << 14, 1 << 25):
+            key = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for low, high in itertools.pairwise(cuts):
+                if waiting and key[low] != now:
+                    yield _pairs(pa.Table.from_batches(waiting), percent)
+                    waiting = []
+                waiting.append(batch.slice(low, high - low))
+                now = key[low]
         if waiting:
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            yield _pairs(table, np.append(_tile_starts(table), table.num_rows), percent)
+            yield _pairs(pa.Table.from_batches(waiting), percent)
 
     return compare
 
 
-def _tile_starts(table: pa.Table) -> np.ndarray:
-    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("shingle", "tile", "with")])
-    return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1])
-
-
-def _pairs(table: pa.Table, starts: np.ndarray, percent: int) -> pa.RecordBatch:
-    """Pairs of whole tiles, which begin at ``starts`` (the last of them ends the table)."""
-    side, ids, n, label = (table.column(c).to_numpy() for c in ("side", "id", "n", "label"))
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
+def _pairs(tile: pa.Table, percent: int) -> pa.RecordBatch:
+    """The open pairs of one tile: its two sides, or its one side with itself."""
+    side, ids, n, cap, label = (tile.column(c).to_numpy() for c in ("side", "id", "n", "cap", "label"))
+    raw = tile.column("bits").to_pylist()
+    words = min(map(len, raw)) // 8
+    bits = np.stack([folded(x, words) for x in raw])
+    middle = int((side == 0).sum())
+    across = middle < len(side)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for low, high in zip(starts[:-1], starts[1:], strict=True):
-        across = side[high - 1] == 1
-        middle = low + int((side[low:high] == 0).sum())
-        for i in range(low, middle):
-            other = np.arange(middle if across else i + 1, high)
-            near = other[(label[other] != label[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-            if len(near):
-                differing = np.bitwise_count(bits[near] ^ bits[i]).sum(1).astype(np.int64)
-                near = near[similar(overlap_bound(n[near], n[i], differing), n[near], n[i], percent)]
-                a.append(np.minimum(ids[near], ids[i]))
-                b.append(np.maximum(ids[near], ids[i]))
+    for i in range(middle):
+        other = np.arange(middle if across else i + 1, len(side))
+        near = other[(label[other] != label[i]) & similar(np.minimum(cap[other], cap[i]), n[other], n[i], percent)]
+        if len(near):
+            differing = np.bitwise_count(bits[near] ^ bits[i]).sum(1).astype(np.int64)
+            near = near[similar(overlap_bound(n[near], n[i], differing), n[near], n[i], percent)]
+            a.append(np.minimum(ids[near], ids[i]))
+            b.append(np.maximum(ids[near], ids[i]))
     return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
-    Sets of equal texts are one class whose smallest doc_id stands for it.  A
-    text without words has no shingle and links with nothing; null counts as
-    such.  Rows that repeat an id with the same text repeat its result; an id
-    with different texts meets others under all of them and links by the one
-    with the smallest key.  Rows without id keep their count, take part through equal sets only, and get
-    the component's smallest id, or null if none has one.  An empty table
-    gives an empty result; other columns are ignored, whatever their names.
+    Equal sets are one class.  A text without words has no shingle and links
+    with nothing; null counts as such.  Every row stands for itself: rows that
+    repeat an id with different texts each get their own text's result, and
+    rows without id take part like all others.  The component's smallest id
+    names it; a component without any id gets null.  A text of any length is
+    read whole, in stretches.  An empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     common = spark.sparkContext.broadcast(_common(texts, size))
     rows = scratch.keep(_sets(texts, common, size, percent), "sets")
-    classes = (
-        rows.where("n > 0 and doc_id is not null").groupBy("class_key")
-        .agg(F.min(F.struct("doc_id", "n", "firsts")).alias("one"))
-    )
-    met = classes.select(F.col("one.doc_id").alias("id"), F.col("one.n").alias("n"), F.explode("one.firsts").alias("shingle"))
-    group = Window.partitionBy("shingle")
-    met = met.withColumn("members", F.count(F.lit(1)).over(group)).withColumn("head", F.min(F.struct("id", "n")).over(group))
-    groups = scratch.keep(met.where("members > 1").select("shingle", "id", "n", "head"), "groups")
-
-    close = (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent) & (F.col("id") != F.col("head.id"))
-    star = groups.where(close).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-    bits = rows.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("class_key", "bits")).alias("one")).select("id", "one.bits")
-    star = scratch.keep(_bounded(star, rows, percent), "star")
-    links = scratch.keep(_linked(texts, star, size, percent, scratch, "members"), "links")
-    labels = components(links, scratch, "first")
-
-    # the first member has met all others of its group already
-    labelled = groups.where("id <> head.id").join(labels, "id", "left").select("shingle", "id", "n", F.coalesce("label", "id").alias("label"))
-    labelled = scratch.keep(labelled, "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    crossing = _crossing(labelled.join(mixed, "shingle", "left_semi"), bits, scratch, percent)
-    crossing = scratch.keep(_bounded(crossing.join(star, ["a", "b"], "left_anti"), rows, percent), "crossing")
-    more = scratch.keep(_linked(texts, crossing, size, percent, scratch, "more-members"), "more")
+    classes = scratch.keep(_classes(rows), "classes")
+    members = scratch.keep(_first_ones(rows, classes, percent), "members")
+    groups = scratch.keep(_groups(members), "groups")
+    bits = classes.join(groups.select("id").distinct(), "id", "left_semi").select("id", "n", "bits")
+
+    links = tried = labels = None
+    for turn in range(STARS):
+        star = _star(groups, labels, turn, percent)
+        star = scratch.keep(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"star-{turn}")
+        near = scratch.keep(_bounded(star, bits, percent), f"near-{turn}")
+        new = scratch.keep(_linked(texts, classes, near, size, percent, scratch, f"near-sets-{turn}"), f"links-{turn}")
+        tried, links = (star, new) if tried is None else (tried.unionByName(star), links.unionByName(new))
+        labels = components(links, scratch, f"labels-{turn}")
+
+    crossing = _crossing(_labelled(groups, labels), bits, percent)
+    crossing = scratch.keep(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
+    more = scratch.keep(_linked(texts, classes, crossing, size, percent, scratch, "crossing-sets"), "more")
     final = components(links.unionByName(more), scratch, "final")
-    scratch.discard("groups", "star", "members", "links", "labelled", "placed", "crossing", "more-members", "more")
 
-    named = rows.where("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("id")).join(final, "id", "left").select("class_key", F.coalesce("label", "id").alias("component_id"))
-    full = rows.where("n > 0").select("doc_id", "n", "class_key").join(named, "class_key", "left")
-    bare = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    ids = final.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = final.join(ids, "label").select("id", "component_id")
+    named = classes.join(linked.withColumn("linked", F.lit(True)), "id", "left")
+    named = scratch.keep(named.select("class_key", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "named")
+    narrow = scratch.keep(rows.select("row", "doc_id", "n", "class_key"), "rows")
+    scratch.discard_but("named", "rows")
+    full = spread_join(narrow.where("n > 0"), named, "class_key", "row")
+    bare = narrow.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "component_id").unionByName(bare).withColumnRenamed("n", "n_shingles")
 
 
-def _linked(texts: DataFrame, pairs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link; only the sets of documents in a pair are made again."""
+def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link; only the sets of classes in a pair are made again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return _confirm(pairs, scratch.keep(_members(texts, wanted, size), name), percent)
+    return _confirm(pairs, scratch.keep(_members(texts, classes, wanted, size), name), percent)

@@ -16,16 +16,20 @@ from ..plans.storage import Files, shared_root
 
 
 class Scratch:
-    """Writes frames below one fresh folder and reads them back."""
+    """Writes frames below one fresh folder and reads them back; the folder goes when the application ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/quillrow/{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Write ``frame`` and return the stored rows, lineage cut."""
         path = f"{self.root}/{name}"
         frame.write.mode("overwrite").parquet(path)
+        if not self.names:
+            Files(self.spark).delete_on_exit(self.root)
+        self.names.append(name)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def discard(self, *names: str) -> None:
@@ -33,3 +37,8 @@ class Scratch:
         files = Files(self.spark)
         for name in names:
             files.delete(f"{self.root}/{name}")
+            self.names.remove(name)
+
+    def discard_but(self, *names: str) -> None:
+        """Delete all tables but those that a result still reads."""
+        self.discard(*(n for n in dict.fromkeys(self.names) if n not in names))

@@ -15,7 +15,8 @@ from quillrow.llm import byte_bpe, language, pii, secrets, toxicity
 from quillrow.llm.components import components
 from quillrow.llm.exact_dedup import exact_dedup
 from quillrow.llm.hilbert import curve_keys
-from quillrow.llm.jaccard import first_ones, jaccard_components, shared_count, shingles
+from quillrow.llm import jaccard
+from quillrow.llm.jaccard import banded, jaccard_components, needed, shared_count, shingles
 from quillrow.llm.line_dedup import line_dedup
 from quillrow.llm.mixing import mix_sources, quality_weights
 from quillrow.llm.neighbours import nearest
@@ -274,6 +275,78 @@ def test_language_reads_unspaced_text_whole():
         assert model.predict([glue.join(few + many + few)])[0][0] == "yy"
 
 
+def test_languages_need_unicode_letters():
+    model = language.train(["lorem ipsum dolor"] * 9 + ["kwik zwart bjork"] * 9, ["xx"] * 9 + ["yy"] * 9)
+    texts = ["½ ② Ⅷ", "²", "٣٤", "_ - 1a"[:-1], "\u0301", "ªlorem", None, ""]
+    assert [x for x, _ in model.predict(texts)] == ["und"] * 5 + ["xx", "und", "und"]
+
+
+def test_language_of_a_very_long_text_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = {"xx": ["lorem", "ipsum", "dolor", "amet", "elit"], "yy": ["kwik", "zwart", "bjork", "hvad", "fjord"]}
+    model = language.train([" ".join(v * 8) for v in words.values() for _ in range(20)], [k for k in words for _ in range(20)])
+    part = " ".join(rng.choice(words["xx"]) for _ in range(2000)) + " " + " ".join(rng.choice(words["yy"]) for _ in range(3000)) + " "
+    text = part * 1000  # five million words, most of them in the second language
+    tracemalloc.start()
+    found = model.predict([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][0] == "yy" and found[0][1] == pytest.approx(0.6, abs=0.05) and peak < 100e6
+    assert model.predict(["x" * 300_000])[0][0] in ("xx", "yy")
+
+
+def brute_posteriors(model, text):
+    """Sums over stretches and chains of each word's posterior, word by word in plain Python."""
+    total, count = [0.0] * len(model.labels), 0
+    for part in language.stretches(text):
+        scores = [model.weights[language.features(w, model.lexicon)].sum(0) for t in language.tokens(part) if (w := language.letters(t))]
+        for at in range(0, len(scores), language.CHAIN):
+            chain = scores[at : at + language.CHAIN]
+            step = np.exp(model.transitions)
+            forward = [np.exp(chain[0])]
+            for s in chain[1:]:
+                forward.append(sum(forward[-1][a] * step[a] for a in range(len(total))) * np.exp(s))
+                forward[-1] = forward[-1] / forward[-1].sum()
+            backward = [np.ones(len(total))]
+            for s in chain[:0:-1]:
+                new = np.array([sum(step[a, b] * np.exp(s[b]) * backward[0][b] for b in range(len(total))) for a in range(len(total))])
+                backward.insert(0, new / new.sum())
+            for f, b in zip(forward, backward, strict=True):
+                total = [t + x for t, x in zip(total, f * b / (f * b).sum(), strict=True)]
+                count += 1
+    if not count:
+        return "und", 0.0
+    best = max(range(len(total)), key=lambda k: total[k])
+    return model.labels[best], min(1.0, total[best] / count)
+
+
+def test_every_language_score_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.fit(docs)
+    found = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    for i, text in plain(docs):
+        label, score = brute_posteriors(model, text or "")
+        assert found[i].lang_pred == label and found[i].score == pytest.approx(score, abs=1e-5)
+
+
+def test_every_toxicity_score_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    found = {r.doc_id: r for r in toxicity.toxicity(docs, model).collect()}
+    for i, text in plain(docs):
+        own = toxicity.words(text)
+        number = {}
+        for w in own:
+            f = toxicity.features(w)
+            number[w] = sum(model.feature_scores[x] for x in f) / len(f) if f else 0.0
+        width = min(4, len(own))
+        best = max((sum({number[w] for w in own[k : k + width]}) for k in range(len(own) - width + 1)), default=0.0)
+        want = 1 / (1 + np.exp(-(model.bias + best / 4)))
+        assert found[i].score == pytest.approx(want, abs=1e-6) and found[i].predicted == int(found[i].score >= 0.3)
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
@@ -313,8 +386,6 @@ def brute_jaccard(docs):
     for a in range(len(docs)):
         for b in range(a):
             shared = len(sets[a] & sets[b])
-            if (docs[a][0] is None or docs[b][0] is None) and sets[a] != sets[b]:
-                continue  # rows without id take part through equal sets only
             if sets[a] and sets[b] and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
                 root[find(a)] = find(b)
     least = {}
@@ -349,17 +420,84 @@ def test_jaccard_near_copies_and_chains(spark):
     assert table_rows(jaccard_components(frame)) == brute_jaccard(docs)
 
 
+def test_rows_without_or_with_repeated_ids_link_by_their_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], f"edit{k}", *words[k + 1 :]]) for k in (2, 20, 40, 57)]
+    docs = [(5, near[0]), (None, near[1]), (None, "alone without id one two"), (7, near[2]), (7, "seven has another text too here"), (9, "seven has another text too here"), (None, near[3]), (None, near[3])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert table_rows(jaccard_components(frame)) == brute_jaccard(docs)
+
+
+@pytest.mark.parametrize("tile, few", [(512, 8), (8, 0)])
+def test_jaccard_of_thousands_under_one_shingle(spark, monkeypatch, tile, few):
+    """Over 2,000 texts that hold the same common passage, near copies of several kinds among them, in many tiles and bands."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "FEW_COPIES", few)
+    rng = random.Random(12)
+    passage = [f"common{i}" for i in range(40)]
+    docs = []
+    for i in range(2100):
+        kind = i % 7
+        if kind == 0:  # own words in number
+            own = [f"own{i}x{k}" for k in range(rng.randrange(1, 40))]
+        elif kind == 1:  # nothing but the passage and an ending of few forms: every shingle is shared by many
+            own = [f"form{rng.randrange(6)}y{k}" for k in range(rng.randrange(0, 9))]
+        else:  # near copies of sixty texts of different lengths
+            base = rng.randrange(60)
+            own = [f"base{base}z{k}" for k in range(4 + base)]
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+        at = rng.randrange(2)
+        docs.append((i, " ".join(passage + own if at else own + passage)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(frame).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 100 * small >= 80 * large and find(a) != find(b):
+                shared = len(sets[a] & sets[b])
+                if 100 * shared >= 80 * (small + large - shared):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i, _ in docs}
+
+
 def test_similar_sets_share_a_first_shingle():
     rng = np.random.default_rng(3)
-    common = np.sort(rng.choice(500, 60, replace=False).astype(np.uint64))
+    scale = np.uint64(2**64 // 500)
+    common = np.sort(rng.choice(500, 60, replace=False).astype(np.uint64)) * scale
+    counts = dict(zip((np.arange(500, dtype=np.uint64) * scale).tolist(), rng.integers(1, 9, 500).tolist(), strict=True))
+
+    def first(own):
+        counted, follow = banded(own, common, 80)
+        return [*sorted(counted.tolist(), key=lambda x: (counts[x], x)), *follow.tolist()][: needed(len(own), 80)]
+
     for _ in range(500):
         base = rng.choice(500, rng.integers(2, 60), replace=False)
         other = np.concatenate([base[rng.random(len(base)) > 0.1], rng.choice(500, 3)])
-        a, b = np.unique(base.astype(np.uint64)), np.unique(other.astype(np.uint64))
+        a, b = (np.unique(x.astype(np.uint64)) * scale for x in (base, other))
         shared = len(np.intersect1d(a, b))
-        assert shared_count(a, b) == shared
+        assert shared_count(a, b) == shared and len(first(a)) == needed(len(a), 80)
         if 100 * shared >= 80 * (len(a) + len(b) - shared):
-            assert len(np.intersect1d(first_ones(a, common, 80), first_ones(b, common, 80)))
+            assert set(first(a)) & set(first(b))
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)
+        other = np.concatenate([base[rng.random(len(base)) > rng.random() * 0.3], rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)])
+        a, b = np.unique(base), np.unique(other)
+        differing = jaccard.differing_bits(jaccard.signature(a).tobytes(), jaccard.signature(b).tobytes())
+        assert jaccard.overlap_bound(len(a), len(b), differing) >= shared_count(a, b)
 
 
 def test_shingles_count():
