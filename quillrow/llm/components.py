@@ -34,4 +34,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if mark == before:
             break
         before = mark
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+    found = edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+    found = scratch.keep(found, name)
+    scratch.discard(f"{name}-{turn}")
+    return found

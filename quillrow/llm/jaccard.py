@@ -296,9 +296,8 @@ def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _star(groups: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+def _star(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b) of each group's head with its members in other components that may link; another head each turn."""
-    rows = _labelled(groups, labels)
     order = F.struct(_head_order(turn), "id", "n", "cap", "label")
     heads = rows.groupBy("shingle").agg(F.min(order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "head")
     met = spread_join(rows, heads, "shingle", "id")
@@ -307,7 +306,7 @@ def _star(groups: DataFrame, labels: DataFrame | None, turn: int, percent: int)
     return met.where(close).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
 
 
-def _crossing(groups: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def _crossing(groups: DataFrame, bits: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of a group in different components that the bitmaps can't rule out.
 
     ``groups``: shingle, id, n, cap, label.  A group's heads have met all of
@@ -318,23 +317,25 @@ def _crossing(groups: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """
     heads = [F.min(F.struct(_head_order(turn), "id")).alias(f"head_{turn}") for turn in range(STARS)]
     mixed = groups.groupBy("shingle").agg(*heads, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", F.array(*(f"head_{turn}.id" for turn in range(STARS))).alias("heads"))
-    groups = spread_join(groups, mixed, "shingle", "id").where(~F.array_contains("heads", F.col("id"))).drop("heads")
+    groups = scratch.keep(spread_join(groups, mixed, "shingle", "id").where(~F.array_contains("heads", F.col("id"))).drop("heads"), "open")
     mixed = groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    mixed = scratch.keep(mixed, "mixed")
     fits = (F.col("members") <= TILE) & (F.col("all") <= TILE_SHINGLES)
     columns = ["tile", "side", "id", "cap", "label"]
     small = groups.join(mixed.where(fits).select("shingle"), "shingle").select(F.col("shingle").alias("tile"), F.lit(0).alias("side"), "id", "cap", "label")
-    large = _dealt(spread_join(groups, mixed.where(~fits).select("shingle"), "shingle", "id"), percent).select(columns)
+    large = scratch.keep(spread_join(groups, mixed.where(~fits).select("shingle"), "shingle", "id"), "large")
+    large = _dealt(large, percent, scratch).select(columns)
     tiles = small.unionByName(large).join(bits, "id").repartition("tile").sortWithinPartitions("tile", "side", "id")
     return tiles.select(*columns, "n", "bits").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
 
 
-def _dealt(groups: DataFrame, percent: int) -> DataFrame:
+def _dealt(groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """tile, side, id, cap, label: the members of large groups in all tiles where they meet others."""
     sizes = groups.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("most")).select("shingle", F.col("most.label").alias("main"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(100 / percent, 1.01))) + 1e-9).cast("int")  # similar sets lie in one band or in neighbours
     cell = (band * 2 + (F.col("label") != F.col("main")).cast("int")).alias("own")
-    celled = spread_join(groups, largest, "shingle", "id").select("shingle", "id", "n", "cap", "label", cell)
+    celled = scratch.keep(spread_join(groups, largest, "shingle", "id").select("shingle", "id", "n", "cap", "label", cell), "celled")
     holds = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("n"))))
     cells = celled.groupBy("shingle", F.col("own").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / holds).cast("int").alias("tiles"))
     beside = cells.select("shingle", F.col("cell").alias("with_cell"), F.col("tiles").alias("with_tiles"))
@@ -419,17 +420,18 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     members = scratch.keep(_first_ones(rows, classes, percent), "members")
     groups = scratch.keep(_groups(members), "groups")
     bits = classes.join(groups.select("id").distinct(), "id", "left_semi").select("id", "n", "bits")
+    bits = scratch.keep(bits, "bits")
 
     links = tried = labels = None
     for turn in range(STARS):
-        star = _star(groups, labels, turn, percent)
+        star = _star(scratch.keep(_labelled(groups, labels), f"labelled-{turn}"), turn, percent)
         star = scratch.keep(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"star-{turn}")
         near = scratch.keep(_bounded(star, bits, percent), f"near-{turn}")
         new = scratch.keep(_linked(texts, classes, near, size, percent, scratch, f"near-sets-{turn}"), f"links-{turn}")
         tried, links = (star, new) if tried is None else (tried.unionByName(star), links.unionByName(new))
         labels = components(links, scratch, f"labels-{turn}")
 
-    crossing = _crossing(_labelled(groups, labels), bits, percent)
+    crossing = _crossing(scratch.keep(_labelled(groups, labels), "labelled"), bits, percent, scratch)
     crossing = scratch.keep(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
     more = scratch.keep(_linked(texts, classes, crossing, size, percent, scratch, "crossing-sets"), "more")
     final = components(links.unionByName(more), scratch, "final")
