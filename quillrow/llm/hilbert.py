@@ -35,19 +35,28 @@ def curve_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Several orderings: each has its own projection and shift."""
+    """Several orderings, each with its own projection and shift.
+
+    A random rotation is cut into groups of axes, one group a curve, so that
+    the curves of one rotation see different parts of a vector and all of it
+    together; then comes the next rotation.
+    """
 
     def __init__(self, sample: np.ndarray, curves: int, axes: int, bits: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         width = sample.shape[1]
+        axes = min(axes, width)
         self.bits, self.projections, self.centres, self.scales, self.shifts = bits, [], [], [], []
-        for _ in range(curves):
-            basis = np.linalg.qr(rng.normal(size=(width, width)))[0][:, : min(axes, width)]
+        for number in range(curves):
+            group = number % (width // axes)
+            if group == 0:
+                rotation = np.linalg.qr(rng.normal(size=(width, width)))[0]
+            basis = rotation[:, group * axes : (group + 1) * axes]
             on = sample @ basis
             self.projections.append(basis)
             self.centres.append(on.mean(0))
             self.scales.append(np.maximum(on.std(0), 1e-12))
-            self.shifts.append(rng.random(basis.shape[1]))
+            self.shifts.append(rng.random(axes))
 
     def keys(self, vectors: np.ndarray) -> list[np.ndarray]:
         """One array of keys per curve.  Logistic scaling spreads the points over the cube's half, the shift places it."""

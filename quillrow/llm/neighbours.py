@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product (operator 4).
 
-Vectors are projected several times and ordered along shifted Hilbert curves;
-Spark's range partitioning sorts each curve, ranks cut it into blocks of equal
-size, and a query is scored against the blocks around its own place.  The
-windows of all curves merge and the best are scored again on the original
-vectors.  How far a window reaches is set by measuring a bounded sample of
-queries against all rows, so that the wanted recall is met on these data.
+Vectors are projected several times and ordered along shifted Hilbert curves.
+Spark's range partitioning sorts each curve, of which only ids take part; ranks
+cut it into blocks of equal size, blocks of queries meet the blocks of
+candidates around them, and each query is scored against the ranks inside its
+window.  The windows of all curves merge and are ranked by exact scores.  How
+far a window reaches is set by measuring a bounded sample of queries against
+all rows, so that the wanted recall is met on these data.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ from .sampling import sampled
 from .scratch import Scratch
 
 NEIGHBOURS = 20
-CURVES, AXES, AXIS_BITS = 12, 8, 7
-#: Rows of a block of a curve.
-BLOCK = 1024
+CURVES, AXES, AXIS_BITS = 32, 8, 7
+#: Rows of a block of a curve; a task holds so many queries and so many candidates at most.
+BLOCK = 4096
+#: Ranks that a window reaches to either side at least.
+LEAST_REACH = 512
+#: How far a fast score may lie from the exact one, for vectors of length 1.
+MARGIN = 1e-9
 #: Vectors the curves are fitted on, and queries the windows are measured with, at most.
 SAMPLE, PROBES = 4096, 96
 #: Share of true neighbours that some curve must hold inside the window.
@@ -53,31 +58,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def sequential(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, summed in the vectors' order: the same for the same two vectors, whatever stands beside them."""
+    total = np.zeros(len(left))
+    for x, y in zip(left.T, right.T, strict=True):
+        total += x * y
+    return total
+
+
 def _order(classes: DataFrame, queries: DataFrame, curves: Curves, longest: float, scratch: Scratch) -> DataFrame:
-    """curve, rank, role, id, vector: every class (role 0) and query (role 1) at its place on every curve."""
+    """curve, rank, role, id: every class (role 0) and query (role 1) at its place on every curve."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(curves)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             role = batch.column(0).to_numpy()
             vectors = _matrix(batch.column(2))
-            if not len(role):
-                continue
             lifted = np.where((role == 1)[:, None], _lift(vectors, longest, True), _lift(vectors, longest, False))
             for number, keys in enumerate(shared.value.keys(lifted)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number, np.int32)), pa.array(keys), *batch.columns], ["curve", "key", "role", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number, np.int32)), pa.array(keys), *batch.columns[:2]], ["curve", "key", "role", "id"])
 
     both = classes.select(F.lit(0).alias("role"), "id", "vector").unionByName(queries.select(F.lit(1).alias("role"), "id", "vector"))
-    kind = both.schema["vector"].dataType.simpleString()
-    keyed = both.mapInArrow(place, f"curve int, key long, role int, id long, vector {kind}")
+    keyed = both.mapInArrow(place, "curve int, key long, role int, id long")
     ordered = keyed.repartitionByRange("curve", "key", "id", "role").sortWithinPartitions("curve", "key", "id", "role")
-    placed = ordered.select("curve", "role", "id", "vector", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    placed = ordered.select("curve", "role", "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     placed = scratch.keep(placed, "placed")
     parts = placed.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("from"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("offset", ahead - F.col("from")).select("curve", "part", "offset")
-    return placed.join(parts, ["curve", "part"]).select("curve", (F.col("at") + F.col("offset")).alias("rank"), "role", "id", "vector")
+    return placed.join(parts, ["curve", "part"]).select("curve", (F.col("at") + F.col("offset")).alias("rank"), "role", "id")
 
 
 def _exact(classes: DataFrame, probes: list[tuple[int, list[float]]], most: int) -> DataFrame:
@@ -115,15 +127,58 @@ def _reach(placed: DataFrame, classes: DataFrame, queries: DataFrame, most: int,
     return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) if found else 1
 
 
+def _scored(placed: DataFrame, classes: DataFrame, queries: DataFrame, reach: int, keep: int) -> DataFrame:
+    """query, id, least, score: the best classes of each query inside its window on each curve.
+
+    A block of queries meets each block of candidates that some window reaches.
+    Fast products choose the candidates that may be among the best, exact ones
+    order them, ties by the smaller vec_id, so the cut is by the final order.
+    """
+    block = lambda x: F.floor(x / BLOCK).cast("int")
+    around = F.sequence(F.greatest(F.lit(0), block(F.col("rank") - reach)), block(F.col("rank") + reach))
+    vectors = classes.select("id", "vector", F.col("ids")[0].alias("least"))
+    offered = placed.where("role = 0").select("curve", "rank", "role", "id", F.explode(around).alias("own"), block(F.col("rank")).alias("block")).join(vectors, "id")
+    asking = placed.where("role = 1").select("curve", "rank", "role", "id", block(F.col("rank")).alias("own"), F.explode(around).alias("block"))
+    asking = asking.join(queries.select("id", "vector", F.col("query_id").alias("least")), "id")
+
+    def best(table: pa.Table) -> pa.Table:
+        role, rank, ids, least = (table.column(c).to_numpy() for c in ("role", "rank", "id", "least"))
+        vectors = _matrix(table.column("vector").combine_chunks())
+        offered, wanted = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        offered = offered[np.argsort(rank[offered], kind="stable")]
+        own, candidates = vectors[wanted], vectors[offered]
+        size = np.sqrt((candidates**2).sum(1).max(initial=0.0))
+        lows = np.searchsorted(rank[offered], rank[wanted] - reach)
+        highs = np.searchsorted(rank[offered], rank[wanted] + reach, "right")
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for number, (low, high) in enumerate(zip(lows, highs, strict=True)):
+            if high > low:
+                fast = candidates[low:high] @ own[number]
+                cut = np.partition(fast, high - low - keep)[high - low - keep] if high - low > keep else -np.inf
+                some = low + np.flatnonzero(fast >= cut - MARGIN * size * np.sqrt((own[number] ** 2).sum()))
+                pairs.append((np.full(len(some), number), some))
+        number, some = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        score = sequential(own[number], candidates[some])
+        order = np.lexsort((least[offered[some]], -score, number))
+        first = np.searchsorted(number[order], number[order])
+        order = order[np.arange(len(order)) - first < keep]
+        some, score, number = offered[some[order]], score[order], number[order]
+        return pa.table({"query": pa.array(ids[wanted[number]], pa.int64()), "id": pa.array(ids[some], pa.int64()), "least": pa.array(least[some], pa.int64()), "score": score})
+
+    rows = offered.unionByName(asking).select("curve", "own", "block", "role", "rank", "id", "least", "vector")
+    return rows.groupBy("curve", "own", "block").applyInArrow(best, "query long, id long, least long, score double")
+
+
 def nearest(vectors: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, curves: int = CURVES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of the rows whose vec_id is divisible by ``every``.
 
     Vectors that are null, zero, hold null or non-finite components, lack an
     id or differ in length from most others take no part.  Equal vectors are
     one class that carries its smallest ids, so copies cost nothing and ties
-    go to the smaller id.  A row repeated in full is one row; a query id with
-    several vectors gets several lists.  If fewer candidates exist, all come.
-    An empty table gives an empty result; other columns are ignored.
+    go to the smaller id, at every cut.  A row repeated in full is one row; a
+    query id with several vectors gets several lists.  If fewer candidates
+    exist, all come.  An empty table gives an empty result; other columns are
+    ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -143,38 +198,13 @@ def nearest(vectors: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS, c
     fitted = Curves(_lift(np.array([r.vector for r in sample], np.float64), longest, False), curves, AXES, AXIS_BITS)
     placed = scratch.keep(_order(classes, queries, fitted, longest, scratch), "ranked")
     reach = _reach(placed, classes, queries, keep, recall)
-    blocks = int(np.ceil(reach / BLOCK))
-    at = placed.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")).drop("rank")
-    around = F.explode(F.sequence(F.col("block") - blocks, F.col("block") + blocks))
-    asking = at.where("role = 1").withColumn("block", around)
 
-    def best(table: pa.Table) -> pa.Table:
-        role = table.column("role").to_numpy()
-        ids, own = table.column("id").to_numpy(), _matrix(table.column("vector").combine_chunks())
-        candidates, wanted = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        found, scores = [], []
-        for some in np.array_split(wanted, max(1, len(wanted) // 256)):
-            if len(some) and len(candidates):
-                each = own[some] @ own[candidates].T
-                top = np.argsort(-each, axis=1, kind="stable")[:, :keep]
-                found += list(ids[candidates][top])
-                scores += list(np.take_along_axis(each, top, 1))
-        asked_ids = ids[wanted] if len(candidates) else []
-        return pa.table({"id": pa.array(asked_ids, pa.int64()), "found": pa.array(found, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
-
-    def merge(table: pa.Table) -> pa.Table:
-        found = np.concatenate(table.column("found").to_pylist()).astype(np.int64)
-        scores = np.concatenate(table.column("scores").to_pylist())
-        found, first = np.unique(found, return_index=True)
-        top = np.argsort(-scores[first], kind="stable")[:keep]
-        return pa.table({"id": pa.array([table.column("id")[0].as_py()] * len(top), pa.int64()), "near": pa.array(found[top])})
-
-    tiles = at.where("role = 0").unionByName(asking).groupBy("curve", "block").applyInArrow(best, "id long, found array<bigint>, scores array<double>")
-    merged = tiles.groupBy("id").applyInArrow(merge, "id long, near long")
-    near = merged.join(queries.withColumnRenamed("vector", "query"), "id").join(classes.select(F.col("id").alias("near"), "vector", "ids"), "near")
-    product = F.aggregate(
-        F.zip_with("query", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
-    rows = near.select("id", "query_id", product.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    near = _scored(placed, classes, queries, max(reach, LEAST_REACH), keep).distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
+    near = near.select("query", "id", "score").join(classes.select("id", "ids"), "id").join(queries.select(F.col("id").alias("query"), "query_id"), "query")
+    rows = near.select("query", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    found = rows.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+    found = scratch.keep(found, "found")
+    scratch.discard_but("found")
+    return found

@@ -11,11 +11,11 @@ from compare import database, same
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from quillrow.llm import byte_bpe, language, pii, secrets, toxicity
+from quillrow.llm import byte_bpe, jaccard, language, neighbours, pii, secrets, toxicity
+from quillrow.llm import exact_dedup as exact
 from quillrow.llm.components import components
 from quillrow.llm.exact_dedup import exact_dedup
 from quillrow.llm.hilbert import curve_keys
-from quillrow.llm import jaccard
 from quillrow.llm.jaccard import banded, jaccard_components, needed, shared_count, shingles
 from quillrow.llm.line_dedup import line_dedup
 from quillrow.llm.mixing import mix_sources, quality_weights
@@ -95,6 +95,16 @@ def test_exact_dedup(awkward, empty):
     assert exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_compares_texts_and_not_digests(spark, awkward, monkeypatch):
+    """With one digest for all texts, and parts of frequent ones cut at two rows, groups are still those of equal texts."""
+    monkeypatch.setattr(exact, "_digest", lambda body: F.lit(b"same"))
+    monkeypatch.setattr(exact, "FREQUENT", 2)
+    head = "x" * 40  # longer than what the splitters see
+    rows = [(i, head + "  y" * (i % 5) + "z " * (i % 3)) for i in range(90)] + plain(awkward)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table_rows(exact_dedup(frame).drop("text_sha256")) == sorted([r[:-1] for r in brute_exact(rows)], key=str)
+
+
 def test_exact_dedup_splits_a_group_of_copies(spark):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
     found = exact_dedup(many).groupBy("keep_id", "group_size").agg(F.count_if("kept").alias("kept")).collect()
@@ -185,6 +195,60 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [21, 22]
 
 
+def brute_nearest(rows, count=20):
+    """Every query's list by exact sums in vector order, ties to the smaller id."""
+    good = {i: v for i, v in rows}
+    out = []
+    for q in good:
+        if q % 20 == 0:
+            scores = []
+            for i, v in good.items():
+                if i != q:
+                    total = 0.0
+                    for x, y in zip(good[q], v, strict=True):
+                        total += x * y
+                    scores.append((-total, i))
+            out += [(q, place + 1, i, -s) for place, (s, i) in enumerate(sorted(scores)[:count])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [4096, 37])
+def test_neighbours_ties_go_to_the_smaller_id(spark, monkeypatch, block):
+    """All of {-1, 1}^8: hundreds of ties at every cut, in one block and in many, with windows that hold all."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    ids = list(range(256))
+    random.Random(3).shuffle(ids)
+    rows = [(i, [1.0 if k >> bit & 1 else -1.0 for bit in range(8)]) for k, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, nearest(frame, curves=4, recall=1.0).collect()))
+    assert found == brute_nearest(rows)
+
+
+def test_neighbours_of_clusters_in_many_blocks(spark, monkeypatch):
+    """Windows that cover a small part of the table, on data with structure; each score is the exact sum."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "LEAST_REACH", 20)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 24))
+    rows = [(i, [float(x) for x in centres[i % 60] + rng.normal(size=24) * 0.15]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = {}
+    monkeypatch.setattr(neighbours, "_reach", lambda *a, old=neighbours._reach: seen.setdefault("reach", old(*a)))
+    found = nearest(frame).collect()
+    assert seen["reach"] < 300
+    want = {(q, v): s for q, _, v, s in brute_nearest(rows)}
+    hits = [(r.query_id, r.vec_id) for r in found if (r.query_id, r.vec_id) in want]
+    assert len(hits) >= 0.9 * len(want) and all(want[r.query_id, r.vec_id] == r.score for r in found if (r.query_id, r.vec_id) in want)
+
+
+def test_recall_on_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding]
+    want = {(q, v) for q, _, v, _ in brute_nearest(rows)}
+    got = {(r.query_id, r.vec_id) for r in nearest(table).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     walk = grid[np.argsort(curve_keys(grid, 3))]
