@@ -1,9 +1,10 @@
 """Lines repeated across documents (operator 3).
 
-A first pass folds line hashes into once-seen and twice-seen Bloom filters of
-bounded size.  A second pass lets only lines in the twice-seen filter shuffle,
-as 32-byte digests: a partial aggregate confirms which occur in two documents
-and picks the first.  Texts meet the lines they lose by document id.
+A first pass turns each document's lines into 16-byte digests, a narrow table
+that stands for the texts.  Its digests fold into once-seen and twice-seen
+Bloom filters, slice by slice of the hash range, and only those in a twice-seen
+filter shuffle: a partial aggregate confirms which occur in two documents and
+picks the first.  Texts meet the lines they lose by document.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import sliced
-from .bloom import contains, filter_bits, twice_filter
+from .bloom import KEY, contains, filter_shape, of_slice, positions, twice_filter
 from .scratch import Scratch
 from .skew import spread_join
 
@@ -42,45 +42,57 @@ def document_keys(text: bytes | None, shortest: int) -> set[bytes]:
 
 
 def digest(key: bytes) -> bytes:
-    return hashlib.sha256(key).digest()
+    return hashlib.sha256(key).digest()[:KEY]
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFrame:
-    """doc_id, drops: the digests of the lines that a document loses."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    counted = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
-    bits = filter_bits(counted or 0)
+def _owner(docs: DataFrame) -> list:
+    """What tells documents apart: doc_id, and of rows without id a hash of the text, so that these don't form one huge group."""
+    return [docs["doc_id"].alias("__id"), F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).otherwise(0).alias("__mark")]
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            found = [[xxhash.xxh3_64_intdigest(k) for k in document_keys(t, shortest)] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"keys": pa.array([np.array(x, np.uint64).view(np.int64) for x in found], pa.list_(pa.int64()))})
 
-    keys = texts.select("text").mapInArrow(hashes, "keys array<bigint>")
-    suspected = spark.sparkContext.broadcast(twice_filter(keys, bits, max(1, spark.sparkContext.defaultParallelism)))
+def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFrame:
+    """__id, __mark, drops: the digests of the lines that a document loses."""
+    spark = docs.sparkSession
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            own, out = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(document_keys(text, shortest))
-                if found:
-                    hashed = np.array([xxhash.xxh3_64_intdigest(k) for k in found], np.uint64)
-                    hit = [digest(k) for k, x in zip(found, contains(suspected.value, hashed, bits), strict=True) if x]
-                    out += hit
-                    own += [doc_id] * len(hit)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "line": pa.array(out, pa.binary())})
-
-    lines = scratch.keep(texts.mapInArrow(suspects, "doc_id long, line binary"), "suspects")
+            found = [b"".join(map(digest, document_keys(t, shortest))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["__id", "__mark", "lines"])
+
+    texts = docs.select(*_owner(docs), docs["text"].cast("binary").alias("text"))
+    lines = scratch.keep(texts.mapInArrow(digests, "__id long, __mark long, lines binary").where("length(lines) > 0"), "lines")
+    keys = lines.agg(F.sum(F.length("lines") / KEY).cast("long")).first()[0] or 0
+    bits, slices = filter_shape(keys)
+    suspects = scratch.keep(_suspects(lines, bits, 0, slices), "suspects-0")
+    for number in range(1, slices):
+        suspects = suspects.unionByName(scratch.keep(_suspects(lines, bits, number, slices), f"suspects-{number}"))
     first = (
-        lines.groupBy("line")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.isnull("doc_id")).alias("no_id"))
+        suspects.groupBy("line")
+        .agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.max(F.isnull("__id")).alias("no_id"))
         .where("first < last or (no_id and first is not null)")
         .select("line", "first")
     )
-    lost = spread_join(lines, first, "line", "doc_id").where("doc_id is null or doc_id > first")
-    return lost.groupBy("doc_id").agg(F.collect_set("line").alias("drops"))
+    dealt = suspects.withColumn("__deal", F.xxhash64("__id", "__mark"))
+    lost = spread_join(dealt, first, "line", "__deal").where("__id is null or __id > first")
+    return lost.groupBy("__id", "__mark").agg(F.collect_set("line").alias("drops"))
+
+
+def _suspects(lines: DataFrame, bits: int, number: int, slices: int) -> DataFrame:
+    """__id, __mark, line: the digests of one slice that its twice-seen filter may hold."""
+    shared = lines.sparkSession.sparkContext.broadcast(twice_filter(lines.select("lines"), bits, number, slices))  # MOST_BITS / 8 bytes at most
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            owner = np.repeat(np.arange(len(raw)), [len(x) // KEY for x in raw])
+            found = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2)
+            hit = np.flatnonzero(of_slice(found, number, slices))
+            hit = hit[contains(shared.value, positions(found[hit], bits))]
+            joined = found[hit].tobytes()
+            picked = pa.array([joined[i : i + KEY] for i in range(0, len(joined), KEY)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(owner[hit])) for c in batch.columns[:2]), picked], ["__id", "__mark", "line"])
+
+    return lines.mapInArrow(pick, "__id long, __mark long, line binary")
 
 
 def line_dedup(docs: DataFrame, shortest: int = SHORTEST, carry: bool = False) -> DataFrame:
@@ -91,15 +103,18 @@ def line_dedup(docs: DataFrame, shortest: int = SHORTEST, carry: bool = False) -
     Documents are told apart by doc_id, so rows repeating an id are one
     document and lose the same lines; rows without id are one document after
     all others.  Null or empty text is one empty line, and a null text that is
-    rewritten becomes empty.  With ``carry`` the other columns of ``docs``
-    follow.  An empty table gives an empty result.
+    rewritten becomes empty.  A text of any length is split whole.  With
+    ``carry`` the other columns of ``docs`` follow.  An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    drops = repeated_lines(docs.select("doc_id", "text"), scratch, shortest).select(F.col("doc_id").alias("__owner"), "drops")
+    drops = repeated_lines(docs.select("doc_id", "text"), scratch, shortest)
+    drops = drops.select(F.col("__id").alias("__owner"), F.col("__mark").alias("__owner_mark"), "drops")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    same = F.col("__id").eqNullSafe(F.col("__owner")) & (F.col("__mark") == F.col("__owner_mark"))
     fields = (
-        docs.select(docs["doc_id"].alias("__id"), docs["text"].cast("binary").alias("__text"), *(docs[c].alias(f"__rest_{i}") for i, c in enumerate(rest)))
-        .join(drops, F.col("__id").eqNullSafe(F.col("__owner")), "left")
+        docs.select(*_owner(docs), docs["text"].cast("binary").alias("__text"), *(docs[c].alias(f"__rest_{i}") for i, c in enumerate(rest)))
+        .join(drops, same, "left")
         .select("__id", "__text", "drops", *(F.col(f"__rest_{i}").alias(c) for i, c in enumerate(rest)))
     )
 

@@ -141,6 +141,34 @@ def test_line_dedup(awkward, empty):
     assert carried.count() == awkward.count()
 
 
+def test_bloom_filters_in_many_slices(spark, awkward, monkeypatch):
+    """Filters so small that the hash range takes many slices, and bits that nearly all are set: exact results all the same."""
+    from quillrow.llm import bloom
+
+    bits, slices = bloom.filter_shape(10**12)
+    assert bits == bloom.MOST_BITS and 8 * 10**12 <= bits * slices
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    want = brute_lines(plain(docs))
+    monkeypatch.setattr(bloom, "BLOCK", 1 << 6)
+    monkeypatch.setattr(bloom, "MOST_BITS", 1 << 11)
+    assert bloom.filter_shape(900)[1] > 3
+    assert table_rows(line_dedup(docs)) == want
+    monkeypatch.setattr(bloom, "BITS_PER_KEY", 1)
+    assert table_rows(line_dedup(docs)) == want
+
+
+def test_filters_hold_what_was_seen_twice():
+    from quillrow.llm import bloom
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, (500, 2)).astype(np.uint64)
+    packed = np.zeros(1 << 10, np.uint8)
+    at = bloom.positions(keys, 1 << 13)
+    bloom.insert(packed, at[:, :400])
+    assert bloom.contains(packed, at[:, :400]).all() and bloom.contains(packed, at[:, 400:]).mean() < 0.2
+    assert sum(bloom.of_slice(keys, i, 7) for i in range(7)).tolist() == [1] * 500
+
+
 # mixing
 
 
