@@ -9,9 +9,9 @@ nobody.  Under a shingle, members come in size-banded tiles: hashed bitmaps
 that grow with the set bound each pair's overlap from above, and what passes
 is confirmed by intersecting the exact sorted arrays.
 
-No group's pairs are emitted: first every member meets only one other of its
-group, the same for all, confirmed links join components, and after two such
-turns only pairs whose components still differ are bounded and confirmed.
+No group's pairs are emitted: first every member meets only a few others of
+its group, the same for all, confirmed links join components, and after two
+such turns only pairs whose components still differ are bounded and confirmed.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ BAND = 0.3
 #: Classes of so many copies that they are told to the executors, at most; only one copy of these counts its shingles.
 HOT_CLASSES, FEW_COPIES = 1 << 16, 8
 #: Bits of a signature: so many a shingle, at least.
-BITS_SHARE, LEAST_BITS = 3, 256
-#: Times that every member meets one other of its group before what is left of the group is compared in tiles.
-STARS = 2
+BITS_SHARE, LEAST_BITS = 8, 512
+#: Members of each group that all of it meets, turn by turn, before what is left of the group is compared in tiles.
+HEADS = (1, 16)
 #: Members of a tile, and shingles of all of them together that a tile holds about.
 TILE, TILE_SHINGLES = 512, 1 << 21
 #: Words remembered in a worker, and bytes of a text that are split into words at a time.
@@ -168,8 +168,8 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
-    """row, row_key, doc_id, n, class_key, code, counted, follow, bits of every row; texts stay at the scan."""
-    ddl = "row long, row_key long, doc_id long, n long, class_key binary, code long, counted array<bigint>, follow array<bigint>, bits binary"
+    """row, row_key, doc_id, n, class_key, code, counted, follow of every row; texts stay at the scan."""
+    ddl = "row long, row_key long, doc_id long, n long, class_key binary, code long, counted array<bigint>, follow array<bigint>"
     names = [x.split()[0] for x in ddl.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def _sets(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
             parts = [banded(s, common.value, percent) for s in own]
             made = [
                 pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.binary()), pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()),
-                *(pa.array([p[i].view(np.int64) for p in parts], pa.list_(pa.int64())) for i in (0, 1)), pa.array([signature(s).tobytes() for s in own], pa.binary()),
+                *(pa.array([p[i].view(np.int64) for p in parts], pa.list_(pa.int64())) for i in (0, 1)),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names)
 
@@ -192,11 +192,10 @@ def _row_key():
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """id, class_key, code, n, n_counted, copies, row_key (of one row), doc_id (the smallest), bits of every set."""
+    """id, class_key, code, n, n_counted, copies, row_key (of one row), doc_id (the smallest) of every set."""
     one = rows.where("n > 0").groupBy("class_key").agg(
         F.first("code").alias("code"), F.first("n").alias("n"), F.first(F.size("counted")).alias("n_counted"),
         F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"),
-        F.first("bits").alias("bits"),
     )
     return one.select(F.monotonically_increasing_id().alias("id"), "*")
 
@@ -228,17 +227,18 @@ def _first_ones(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, own: the sets of the wanted classes, made again from one row of each."""
+    """id, n, own, bits: the sets and bitmaps of the wanted classes, made again from one row of each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             own = [shingles(t, size) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["class_key", "own"])
+            made = [[class_key(s) for s in own], [s.tobytes() for s in own], [signature(s).tobytes() for s in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in made], ["class_key", "own", "bits"])
 
-    asked = classes.join(wanted.distinct(), "id", "left_semi").select("id", "class_key", "row_key")
+    asked = classes.join(wanted, "id", "left_semi").select("id", "n", "class_key", "row_key")
     texts = docs.select(_row_key(), F.col("text").cast("binary").alias("text")).join(asked.select("row_key").distinct(), "row_key", "left_semi")
-    found = texts.select("text").mapInArrow(read, "class_key binary, own binary").groupBy("class_key").agg(F.first("own").alias("own"))
-    return found.join(asked.select("id", "class_key"), "class_key").select("id", "own")
+    found = texts.select("text").mapInArrow(read, "class_key binary, own binary, bits binary").groupBy("class_key").agg(F.first("own").alias("own"), F.first("bits").alias("bits"))
+    return found.join(asked.select("id", "n", "class_key"), "class_key").select("id", "n", "own", "bits")
 
 
 def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -268,6 +268,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(similar(shared_count(x, y), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
+    sets = sets.select("id", "own").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
     right = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b"))
     return spread_join(pairs.join(right, "b"), left, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
@@ -285,8 +286,11 @@ def _groups(members: DataFrame) -> DataFrame:
     return spread_join(members, kept, "shingle", "id")
 
 
-def _head_order(turn: int):
-    return F.xxhash64("id", F.lit(turn))
+def _heads(groups: DataFrame, turn: int) -> DataFrame:
+    """shingle, heads: up to HEADS[turn] members of each group, the same ones each time."""
+    order = F.xxhash64("id", F.lit(turn))
+    one = groups.groupBy("shingle", F.pmod(order, F.lit(HEADS[turn])).alias("share")).agg(F.min(F.struct(order, "id", "n", "cap", "label")).alias("head"))
+    return one.groupBy("shingle").agg(F.collect_list("head").alias("heads"))
 
 
 def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -297,10 +301,9 @@ def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of each group's head with its members in other components that may link; another head each turn."""
-    order = F.struct(_head_order(turn), "id", "n", "cap", "label")
-    heads = rows.groupBy("shingle").agg(F.min(order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "head")
-    met = spread_join(rows, heads, "shingle", "id")
+    """Pairs (a, b) of each group's heads with its members in other components that may link; other heads each turn."""
+    mixed = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    met = spread_join(rows, _heads(rows, turn).join(mixed, "shingle"), "shingle", "id").withColumn("head", F.explode("heads"))
     shared = F.least("cap", "head.cap")
     close = (F.col("label") != F.col("head.label")) & (shared * 100 >= (F.col("n") + F.col("head.n") - shared) * percent)
     return met.where(close).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
@@ -315,9 +318,12 @@ def _crossing(groups: DataFrame, bits: DataFrame, percent: int, scratch: Scratch
     component, or those that don't; it is cut by hash into tiles, and a tile
     meets itself and those of cells whose sizes and components allow links.
     """
-    heads = [F.min(F.struct(_head_order(turn), "id")).alias(f"head_{turn}") for turn in range(STARS)]
-    mixed = groups.groupBy("shingle").agg(*heads, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", F.array(*(f"head_{turn}.id" for turn in range(STARS))).alias("heads"))
-    groups = scratch.keep(spread_join(groups, mixed, "shingle", "id").where(~F.array_contains("heads", F.col("id"))).drop("heads"), "open")
+    mixed = groups.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    for turn in range(len(HEADS)):
+        mixed = mixed.join(_heads(groups, turn).select("shingle", F.col("heads.id").alias(f"heads_{turn}")), "shingle")
+    met = F.concat(*(f"heads_{turn}" for turn in range(len(HEADS))))
+    groups = spread_join(groups, mixed.select("shingle", met.alias("heads")), "shingle", "id").where(~F.array_contains("heads", F.col("id"))).drop("heads")
+    groups = scratch.keep(groups, "open")
     mixed = groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     mixed = scratch.keep(mixed, "mixed")
     fits = (F.col("members") <= TILE) & (F.col("all") <= TILE_SHINGLES)
@@ -415,25 +421,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     common = spark.sparkContext.broadcast(_common(texts, size))
-    rows = scratch.keep(_sets(texts, common, size, percent), "sets")
+    rows = scratch.keep(_sets(texts, common, size, percent), "all-sets")
     classes = scratch.keep(_classes(rows), "classes")
     members = scratch.keep(_first_ones(rows, classes, percent), "members")
     groups = scratch.keep(_groups(members), "groups")
-    bits = classes.join(groups.select("id").distinct(), "id", "left_semi").select("id", "n", "bits")
-    bits = scratch.keep(bits, "bits")
+    sets = scratch.keep(_members(texts, classes, groups.select("id").distinct(), size), "sets")
+    bits = sets.select("id", "n", "bits")
 
     links = tried = labels = None
-    for turn in range(STARS):
+    for turn in range(len(HEADS)):
         star = _star(scratch.keep(_labelled(groups, labels), f"labelled-{turn}"), turn, percent)
         star = scratch.keep(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"star-{turn}")
         near = scratch.keep(_bounded(star, bits, percent), f"near-{turn}")
-        new = scratch.keep(_linked(texts, classes, near, size, percent, scratch, f"near-sets-{turn}"), f"links-{turn}")
+        new = scratch.keep(_confirm(near, sets, percent), f"links-{turn}")
         tried, links = (star, new) if tried is None else (tried.unionByName(star), links.unionByName(new))
         labels = components(links, scratch, f"labels-{turn}")
 
     crossing = _crossing(scratch.keep(_labelled(groups, labels), "labelled"), bits, percent, scratch)
     crossing = scratch.keep(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
-    more = scratch.keep(_linked(texts, classes, crossing, size, percent, scratch, "crossing-sets"), "more")
+    more = scratch.keep(_confirm(crossing, sets, percent), "more")
     final = components(links.unionByName(more), scratch, "final")
 
     ids = final.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -445,9 +451,3 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     full = spread_join(narrow.where("n > 0"), named, "class_key", "row")
     bare = narrow.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "component_id").unionByName(bare).withColumnRenamed("n", "n_shingles")
-
-
-def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link; only the sets of classes in a pair are made again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return _confirm(pairs, scratch.keep(_members(texts, classes, wanted, size), name), percent)
