@@ -7,7 +7,7 @@ from .operators.model import LLMStep
 from .operators.search import WEB_TYPES, web_search
 from .operators.steps import ColumnStep, FunctionStep
 from .plans.pipeline import Enricher, Pipeline, PipelineResult
-from .records import Citation, CostSummary, GroundingConfig, Step, StepContext, StepResult, StepUsage, UsageInfo
+from .records import Citation, CostSummary, EnrichmentResult, GroundingConfig, Step, StepContext, StepResult, StepUsage, UsageInfo
 from .sources.cache import CacheManager
 from .sources.checkpoints import CheckpointData, CheckpointManager
 from .sources.fields import FieldManager, load_fields
@@ -16,7 +16,7 @@ from .streaming import append_to, enrich_stream
 
 __all__ = [
     "WEB_TYPES", "CacheManager", "CheckpointData", "CheckpointManager", "Citation", "ColumnStep", "ConfigurationError", "CostSummary",
-    "Enricher", "EnrichmentConfig", "EnrichmentError", "EnrichmentHooks", "FieldManager", "FieldSpec", "FieldValidationError", "FunctionStep",
+    "Enricher", "EnrichmentConfig", "EnrichmentError", "EnrichmentHooks", "EnrichmentResult", "FieldManager", "FieldSpec", "FieldValidationError", "FunctionStep",
     "GroundingConfig", "LLMStep", "Pipeline", "PipelineEndEvent", "PipelineError", "PipelineResult", "PipelineStartEvent", "RowCompleteEvent",
     "RowError", "Step", "StepContext", "StepEndEvent", "StepError", "StepResult", "StepStartEvent", "StepUsage", "UsageInfo", "append_to",
     "enrich_stream", "load_fields", "web_search",

@@ -15,7 +15,7 @@ from . import ColumnStep, EnrichmentConfig, FunctionStep, LLMStep, Pipeline, loa
 from .functions.columns import cache_key, first_citations, list_cell, render, row_json, with_default
 from .functions.prompts import Prompt
 from .operators.search import WEB_TYPES
-from .plans.storage import shared_root
+from .plans.storage import shared_root, stored
 from .providers import RuleClient
 from .spec import to_specs
 
@@ -68,7 +68,7 @@ def function_step(spark, sf_dir):
         return {"loud": ctx.row["c_name"].upper(), "tier": "enterprise" if ctx.row["c_acctbal"] > 5000 else "smb", "dropped": 1}
 
     step = FunctionStep("classify", classify, ["loud", "tier"], reads=["c_name", "c_acctbal"])
-    return Pipeline([step]).run(table(spark, sf_dir, "customer")).data.select("c_custkey", "loud", "tier")
+    return Pipeline([step]).run(table(spark, sf_dir, "customer"), columns=["c_custkey"]).data
 
 
 @query("SELECT event_id, upper(event_type) AS kind FROM events")
@@ -77,7 +77,7 @@ def async_function_step(spark, sf_dir):
         return {"kind": ctx.row["event_type"].upper()}
 
     step = FunctionStep("shout", shout, ["kind"], reads=["event_type"])
-    return Pipeline([step]).run(table(spark, sf_dir, "events")).data.select("event_id", "kind")
+    return Pipeline([step]).run(table(spark, sf_dir, "events"), columns=["event_id"]).data
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity * 2 AS a, l_quantity * 2 + 1 AS b, (l_quantity * 2 + 1) * 3 AS c FROM lineitem")
@@ -98,7 +98,7 @@ def dag_diamond(spark, sf_dir):
         ColumnStep("c", {"c": lambda row, prior: prior["a"] + 100}, depends_on=["a"]),
         ColumnStep("d", {"d": lambda row, prior: prior["b"] + prior["c"]}, depends_on=["b", "c"]),
     ]
-    return Pipeline(steps).run(table(spark, sf_dir, "orders")).data.select("o_orderkey", "a", "b", "c", "d")
+    return Pipeline(steps).run(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), columns=["o_orderkey"]).data
 
 
 @query("SELECT o_orderkey, 'zeta' AS who, 'zeta after beta' AS last FROM orders")
@@ -137,13 +137,13 @@ def internal_fields(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owes ' || c_name END AS note FROM customer")
 def run_if_partial(spark, sf_dir):
     step = FunctionStep("note", lambda ctx: {"note": f"owes {ctx.row['c_name']}"}, ["note"], run_if=lambda row, prior: row["c_acctbal"] < 0, reads=["c_name", "c_acctbal"])
-    return Pipeline([step]).run(table(spark, sf_dir, "customer")).data.select("c_custkey", "note")
+    return Pipeline([step]).run(table(spark, sf_dir, "customer"), columns=["c_custkey"]).data
 
 
 @query("SELECT c_custkey, CASE WHEN NOT c_acctbal < 0 THEN 'has ' || c_name END AS note FROM customer")
 def skip_if_partial(spark, sf_dir):
     step = FunctionStep("note", lambda ctx: {"note": f"has {ctx.row['c_name']}"}, ["note"], skip_if=F.col("c_acctbal") < 0, reads=["c_name"])
-    return Pipeline([step]).run(table(spark, sf_dir, "customer")).data.select("c_custkey", "note")
+    return Pipeline([step]).run(table(spark, sf_dir, "customer"), columns=["c_custkey"]).data
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 7 <> 0 AND value > 50 THEN 'high' END AS on_high,
@@ -161,7 +161,7 @@ def run_if_null_predicate(spark, sf_dir):
 def skip_default(spark, sf_dir):
     fields = {"segment": {"prompt": "the market segment", "default": "Unknown"}}
     step = LLMStep("segment", fields, client=RuleClient(lambda row, prior: {"segment": row["c_mktsegment"]}), run_if=F.col("c_acctbal") > 0, reads=["c_mktsegment"])
-    return Pipeline([step]).run(table(spark, sf_dir, "customer")).data.select("c_custkey", "segment")
+    return Pipeline([step]).run(table(spark, sf_dir, "customer"), columns=["c_custkey"]).data
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'C' END AS first, CASE WHEN event_type = 'click' THEN 'saw C' ELSE 'saw nothing' END AS second FROM events")
@@ -206,7 +206,7 @@ def _failing() -> FunctionStep:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN 'good' END AS state FROM orders")
 def error_isolation(spark, sf_dir):
-    return Pipeline([_failing()]).run(table(spark, sf_dir, "orders")).data.select("o_orderkey", "state")
+    return Pipeline([_failing()]).run(table(spark, sf_dir, "orders"), columns=["o_orderkey"]).data
 
 
 @query("SELECT 'check' AS step_name, 'ValueError' AS error_type, 'bad order ' || o_orderkey AS message FROM orders WHERE o_orderkey % 9 = 0")
@@ -217,7 +217,7 @@ def error_frame(spark, sf_dir):
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN 'got:good' ELSE 'got:None' END AS echo FROM orders")
 def sentinel_propagates(spark, sf_dir):
     echo = FunctionStep("echo", lambda ctx: {"echo": f"got:{ctx.prior_results['state']}"}, ["echo"], ["check"], reads=[])
-    return Pipeline([_failing(), echo]).run(table(spark, sf_dir, "orders")).data.select("o_orderkey", "echo")
+    return Pipeline([_failing(), echo]).run(table(spark, sf_dir, "orders"), columns=["o_orderkey"]).data.select("o_orderkey", "echo")
 
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE o_orderkey % 9 = 0) AS BIGINT) AS n_errors,
@@ -257,7 +257,7 @@ def strict_validation(spark, sf_dir):
 
     fields = {"k": {"prompt": "k", "type": "Number"}, "flag": {"prompt": "flag", "type": "Boolean"}}
     step = LLMStep("strict", fields, client=RuleClient(answer), max_retries=0, reads=["event_id", "props"])
-    return Pipeline([step]).run(table(spark, sf_dir, "events")).data.select("event_id", "k", "flag")
+    return Pipeline([step]).run(table(spark, sf_dir, "events"), columns=["event_id"]).data
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment FROM customer")
@@ -265,7 +265,7 @@ def enum_validation(spark, sf_dir):
     fields = {"segment": {"prompt": "segment", "enum": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}}
     client = RuleClient(lambda row, prior: {"segment": row["c_mktsegment"] if row["c_custkey"] % 2 == 0 else row["c_mktsegment"].lower()})
     step = LLMStep("segment", fields, client=client, max_retries=0, reads=["c_custkey", "c_mktsegment"])
-    return Pipeline([step]).run(table(spark, sf_dir, "customer")).data.select("c_custkey", "segment")
+    return Pipeline([step]).run(table(spark, sf_dir, "customer"), columns=["c_custkey"]).data
 
 
 @query("SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS INT) AS n_words, string_split(p_name, ' ')[1] AS first_word FROM part")
@@ -339,7 +339,7 @@ def content_key(spark, sf_dir):
 
 def _cached_runs(spark, sf_dir, versions: list[str], ttl: int = 3600) -> list:
     config = EnrichmentConfig(enable_caching=True, cache_dir=fresh_folder(spark, "cache"), cache_ttl=ttl)
-    customers = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select("c_mktsegment", "c_nationkey", "c_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey", "c_custkey")
     runs = []
     for version in versions:
         step = FunctionStep("loud", lambda ctx: {"loud": ctx.row["c_mktsegment"].lower()}, ["loud"], cache_version=version, skip_if=lambda row, prior: row["c_custkey"] % 5 == 0)
@@ -355,7 +355,7 @@ def _counters(spark, runs: list) -> DataFrame:
 _SEEN = "count(*) FILTER (WHERE c_custkey % 5 <> 0)"
 _COUNTERS = """SELECT CAST(run AS INT) AS run, CAST(CASE WHEN fresh THEN 0 ELSE {n} END AS BIGINT) AS hits, CAST(CASE WHEN fresh THEN {n} ELSE 0 END AS BIGINT) AS misses,
        CAST(count(*) - {n} AS BIGINT) AS skipped, CAST({n} AS BIGINT) AS processed
-FROM customer, (VALUES {v}) AS r(run, fresh) WHERE c_custkey % 3 > 0 GROUP BY run, fresh"""
+FROM customer, (VALUES {v}) AS r(run, fresh) GROUP BY run, fresh"""
 
 
 @query(_COUNTERS.format(n=_SEEN, v="(0, true), (1, false)"))
@@ -368,21 +368,24 @@ def cache_version(spark, sf_dir):
     return _counters(spark, _cached_runs(spark, sf_dir, ["1", "2", "1"]))
 
 
-@query("SELECT 'fresh' AS value, CAST(NULL AS VARCHAR) AS late, CAST(1 AS BIGINT) AS removed")
+@query("SELECT c_custkey, c_name AS live, CAST(NULL AS VARCHAR) AS late, (SELECT count(*) FROM customer) AS removed FROM customer")
 def cache_ttl(spark, sf_dir):
     from .sources.cache import CacheManager
 
     cache = CacheManager(spark, fresh_folder(spark, "ttl"), ttl=10)
-    row = spark.createDataFrame([("k", "fresh")], "key string, value string")
-    cache.append("s", row, now=1000.0)
-    live, late = cache.entries("s", now=1010.0).first(), cache.entries("s", now=1011.0).first()
-    return spark.createDataFrame([(live.value, late.value if late else None, cache.cleanup_expired(now=1011.0))], "value string, late string, removed long")
+    customers = table(spark, sf_dir, "customer")
+    cache.append("s", customers.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value")), now=1000.0)
+    found = customers.select("c_custkey", F.col("c_custkey").cast("string").alias("key"))
+    for name, now in (("live", 1010.0), ("late", 1011.0)):
+        found = found.join(cache.entries("s", now=now).withColumnRenamed("value", name), "key", "left")
+    found = stored(found.select("c_custkey", "live", "late"), fresh_folder(spark, "ttl-found"))  # before the entries go
+    return found.withColumn("removed", F.lit(cache.cleanup_expired(now=1011.0)).cast("bigint"))
 
 
 @query("SELECT doc_id, length(text) AS n_points FROM documents")
 def dedupe_calls(spark, sf_dir):
     step = FunctionStep("size", lambda ctx: {"n_points": len(ctx.row["text"])}, ["n_points"], types={"n_points": "bigint"}, reads=["text"])
-    return Pipeline([step]).run(table(spark, sf_dir, "documents"), EnrichmentConfig(dedupe=True)).data.select("doc_id", "n_points")
+    return Pipeline([step]).run(table(spark, sf_dir, "documents"), EnrichmentConfig(dedupe=True), columns=["doc_id"]).data
 
 
 def _summaries(spark, sf_dir):
@@ -393,7 +396,7 @@ def _summaries(spark, sf_dir):
         LLMStep("language", {"answer": "language"}, client=client, reads=["lang", "n_chars"], model="m-1"),
         LLMStep("length", {"kind": "kind"}, client=other, reads=["lang", "n_chars"], model="m-2", run_if=F.col("lang") == "en"),
     ]
-    return Pipeline(steps).run(table(spark, sf_dir, "documents"), EnrichmentConfig(max_workers=16))
+    return Pipeline(steps).run(table(spark, sf_dir, "documents"), EnrichmentConfig(max_workers=16), columns=["doc_id"])
 
 
 @query("""SELECT 'language' AS step_name, CAST(4 * count(*) AS BIGINT) AS prompt_tokens, CAST(2 * count(*) AS BIGINT) AS completion_tokens,
@@ -451,10 +454,10 @@ def checkpoint_resume(spark, sf_dir):
     from .errors import StepError
 
     try:
-        Pipeline(steps(broken)).run(orders, config, data_identifier="orders")
+        Pipeline(steps(broken)).run(orders, config, data_identifier="orders", columns=["o_orderkey"])
     except StepError:
         pass
-    done = Pipeline(steps(lambda ctx: {"after": ctx.prior_results["doubled"] + 1})).run(orders, config.but(on_error="continue"), data_identifier="orders")
+    done = Pipeline(steps(lambda ctx: {"after": ctx.prior_results["doubled"] + 1})).run(orders, config.but(on_error="continue"), data_identifier="orders", columns=["o_orderkey"])
     return done.data.select("o_orderkey", "doubled", "after")
 
 

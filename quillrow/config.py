@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
 from .errors import ConfigurationError
@@ -12,7 +13,10 @@ class EnrichmentConfig:
     """Settings of one run.
 
     ``max_workers`` bounds the rows in flight over the whole cluster; it is
-    divided among the tasks that run at once.  Checkpoints need an explicit
+    divided among the tasks that run at once.  ``checkpoint_interval`` rows of
+    a level, 0 for all, are stored at a time when checkpoints are on.  A run
+    logs at ``log_level`` and draws its progress on a terminal if
+    ``enable_progress_bar`` says so.  Checkpoints need an explicit
     ``checkpoint_dir`` in a folder that all executors share, and so does the
     cache's ``cache_dir``.
     """
@@ -45,6 +49,7 @@ class EnrichmentConfig:
             ("cache_ttl must not be negative", self.cache_ttl < 0),
             ("checkpoint_interval must not be negative", self.checkpoint_interval < 0),
             ("on_error must be 'continue' or 'raise'", self.on_error not in ("continue", "raise")),
+            ("log_level must name a level", self.log_level not in logging.getLevelNamesMapping()),
             ("checkpointing needs checkpoint_dir", self.enable_checkpointing and not self.checkpoint_dir),
         ]
         for message, holds in wrong:

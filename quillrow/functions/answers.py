@@ -94,15 +94,31 @@ def is_refusal(value: Any) -> bool:
     return value is None or isinstance(value, str) and value.strip().lower() in {"", *REFUSALS}
 
 
-def parse(content: str, specs: dict[str, FieldSpec], strict: bool) -> dict[str, Any]:
+def checked_by(schema: Any, answer: dict[str, Any]) -> dict[str, Any]:
+    """The answer's values as a user's schema gives them; what it raises is a fault of the answer."""
+    if not isinstance(answer, dict):
+        raise FieldValidationError("the answer is not a JSON object")
+    try:
+        made = schema.model_validate(answer) if hasattr(schema, "model_validate") else schema(answer)
+    except Exception as problem:
+        raise FieldValidationError(f"{type(problem).__name__}: {problem}") from problem
+    if hasattr(made, "model_dump"):
+        made = made.model_dump()
+    return made if isinstance(made, dict) else answer
+
+
+def parse(content: str, specs: dict[str, FieldSpec], strict: bool, schema: Any = None) -> dict[str, Any]:
     """A model's text as values of the declared fields, defaults in place of refusals.
 
-    Loose parsing (no strict schema) keeps whatever fields are there; a field
-    that is missing stays so and gets no default.
+    Loose parsing (no strict format) keeps whatever declared fields are there,
+    after the user's schema if one is given; a field that is missing stays so
+    and gets no default.
     """
     answer = json.loads(content)
     if strict and specs:
         values = validate(answer, specs)
+    elif schema is not None:
+        values = {n: v for n, v in checked_by(schema, answer).items() if n in specs}
     elif isinstance(answer, dict):
         values = {n: v for n, v in answer.items() if n in specs}
     else:

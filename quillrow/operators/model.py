@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import asyncio
 import hashlib
-import json
 import random
 from collections.abc import Callable
 from typing import Any
@@ -35,7 +34,10 @@ class LLMStep(PythonStep):
 
     ``client`` is a client or a function that makes one; the latter is called
     once per worker and is the form to use for clients that hold connections.
-    An answer that can't be parsed goes back with the problem up to
+    ``schema`` checks the answer where no strict format does: a class with
+    ``model_validate``, whose ``model_dump`` gives the values, or a function of
+    the parsed answer that returns a dict of them (else they stay as they came).  An answer that
+    can't be parsed or checked goes back with the problem up to
     ``max_retries`` times; API failures are retried by the run's settings.
     Only the usage of the answer that was kept is counted.
     """
@@ -101,7 +103,8 @@ class LLMStep(PythonStep):
 
                 self._live = OpenAIClient(api_key=self.api_key, base_url=self.base_url)
             else:
-                self._live = self.client if hasattr(self.client, "complete") else self.client()
+                made = hasattr(self.client, "complete") and not isinstance(self.client, type)
+                self._live = self.client if made else self.client()
         return self._live
 
     async def run(self, ctx: StepContext) -> StepResult:
@@ -135,9 +138,7 @@ class LLMStep(PythonStep):
                     raise StepError(f"the client takes no tools: {failure}", self.name) from failure
                 raise
             try:
-                values = parse(response.content, self.specs, self.structured)
-                if self.schema is not None:
-                    self.schema(json.loads(response.content))
+                values = parse(response.content, self.specs, self.structured, None if self.structured else self.schema)
             except (ValueError, FieldValidationError) as failure:
                 problem = failure
                 messages += [{"role": "assistant", "content": response.content}, {"role": "user", "content": correction(str(failure), self.fields)}]

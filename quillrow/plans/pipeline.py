@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import asyncio
 import copy
+import logging
+import sys
 import time
 import uuid
+from dataclasses import replace
 from functools import cached_property
 from typing import Any
 
@@ -27,13 +30,17 @@ from ..hooks import EnrichmentHooks, PipelineEndEvent, PipelineStartEvent, RowCo
 from ..operators.steps import ColumnStep, PythonStep, as_column, to_step
 from ..records import CostSummary, StepUsage
 from ..sources.cache import CacheManager
-from ..sources.checkpoints import CheckpointManager
+from ..sources.checkpoints import CheckpointData, CheckpointManager
 from ..spec import canonical_json
 from .graph import last_writers, levels
+from .skew import spread_join
 from .storage import shared_root, stored
 from .worker import StepPlan, level_function
 
+log = logging.getLogger("quillrow")
 ROW = "__row_id"
+#: Parts that a level is saved in, at most.
+MOST_PARTS = 32
 ERROR = "struct<type:string,message:string>"
 USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,model:string>"
 
@@ -47,6 +54,13 @@ def quoted(*names: str) -> str:
     return ".".join("`" + n.replace("`", "``") + "`" for n in names)
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether values of a type can't be hashed as they are."""
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
 def record_type(step: PythonStep) -> T.StructType:
     """Type of a step's struct column."""
     values = ",".join(f"{quoted(f)}:{k}" for f, k in step.types.items())
@@ -87,17 +101,19 @@ class Pipeline:
 
     def run(
         self, data: Any, config: EnrichmentConfig | None = None, hooks: EnrichmentHooks | None = None, spark: SparkSession | None = None,
-        where: Column | None = None, select_fields: list[str] | None = None, data_identifier: str | None = None,
+        where: Column | None = None, select_fields: list[str] | None = None, data_identifier: str | None = None, columns: list[str] | None = None,
     ) -> PipelineResult:
         """Enrich a DataFrame, a pandas frame or a list of dicts; the result's data has the same form.
 
         ``where`` filters input rows before any step sees them; with
-        ``select_fields`` only the steps these fields need are run.  Lists are
-        always overwritten, frames as ``overwrite_fields`` says.
+        ``select_fields`` only the steps these fields need are run, and with
+        ``columns`` only these input columns are in the result: others that no
+        step reads are then neither stored nor read from the source.  Lists
+        are always overwritten, frames as ``overwrite_fields`` says.
         """
         config = config or EnrichmentConfig()
         if select_fields is not None:
-            return self.only(select_fields).run(data, config, hooks, spark, where, None, data_identifier)
+            return self.only(select_fields).run(data, config, hooks, spark, where, None, data_identifier, columns)
         frame, form = _as_frame(data, spark)
         if frame is None:
             return PipelineResult.empty(form)
@@ -105,7 +121,7 @@ class Pipeline:
             config = config.but(overwrite_fields=True)
         if where is not None:
             frame = frame.where(where)
-        return _Run(self, frame, config, hooks or EnrichmentHooks(), form, data_identifier).execute()
+        return _Run(self, frame, config, hooks or EnrichmentHooks(), form, data_identifier, columns).execute()
 
     async def run_async(self, data: Any, config: EnrichmentConfig | None = None, hooks: EnrichmentHooks | None = None, **more: Any) -> PipelineResult:
         return await asyncio.to_thread(self.run, data, config, hooks, **more)
@@ -152,19 +168,25 @@ def _as_frame(data: Any, spark: SparkSession | None) -> tuple[DataFrame | None,
 class _Run:
     """One execution of a pipeline."""
 
-    def __init__(self, pipeline: Pipeline, frame: DataFrame, config: EnrichmentConfig, hooks: EnrichmentHooks, form: str, identifier: str | None):
+    def __init__(self, pipeline: Pipeline, frame: DataFrame, config: EnrichmentConfig, hooks: EnrichmentHooks, form: str, identifier: str | None, columns: list[str] | None = None):
         self.pipeline, self.config, self.hooks, self.form = pipeline, config, hooks, form
         self.spark = frame.sparkSession
         self.inputs = [c for c in frame.columns if c != ROW]
+        if columns is not None and (unknown := [c for c in columns if c not in self.inputs]):
+            raise PipelineError(f"not among the input's columns: {', '.join(unknown)}")
+        self.shown = self.inputs if columns is None else [c for c in self.inputs if c in columns]
         self.frame = frame if ROW in frame.columns else frame.withColumn(ROW, F.monotonically_increasing_id())
         self.input_schema = frame.drop(ROW).schema
         self.identifier = identifier
         self.place = f"{shared_root(self.spark)}/quillrow/run-{uuid.uuid4().hex}"
         self.cache = CacheManager(self.spark, config.cache_dir, config.cache_ttl) if config.enable_caching else None
         self.watching = any(vars(hooks).values())
+        self.persisted: list[DataFrame] = []
 
     def execute(self) -> PipelineResult:
         began = time.time()
+        before = log.level
+        log.setLevel(self.config.log_level)
         names = self.pipeline.step_names
         count = self.frame.count() if self.watching or self.config.enable_checkpointing else -1
         self.hooks.fire("on_pipeline_start", PipelineStartEvent(names, count, self.config))
@@ -176,52 +198,135 @@ class _Run:
             failed = 1
             raise
         finally:
+            log.setLevel(before)
             if self.watching:
                 cost = result.cost if result else CostSummary()
                 errors = result.errors.count() if result else failed
                 self.hooks.fire("on_pipeline_end", PipelineEndEvent(count, errors, cost, time.time() - began))
 
+    def _marks(self) -> dict[str, str]:
+        """What each step's results depend on beside its input."""
+        marks = {}
+        for n in self.pipeline.step_names:
+            step = self.pipeline.get_step(n)
+            made = step.key_parts() if isinstance(step, PythonStep) else {f: str(c) for f, c in step.columns.items() if isinstance(c, Column)}
+            marks[n] = CheckpointManager.mark(n, list(step.fields), step.depends_on, made, self.config.temperature, self.config.max_tokens)
+        return marks
+
+    def _fingerprint(self, count: int) -> str:
+        """Of the input's schema and rows, whatever their order."""
+        rows = [F.to_json(F.struct(F.col(quoted(f.name)))) if _holds_map(f.dataType) else F.col(quoted(f.name)) for f in self.input_schema.fields]
+        sums = [F.sum(F.xxhash64(*rows, F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]
+        return CheckpointManager.mark(self.input_schema.json(), count, *map(str, self.frame.agg(*sums).first()))
+
     def _levels(self, count: int) -> PipelineResult:
-        manager = fingerprint = run = None
-        done: set[str] = set()
+        manager = run = None
+        done = CheckpointData("")
+        all_levels = self.pipeline.execution_levels
         if self.config.enable_checkpointing:
-            manager = CheckpointManager(self.spark, self.config.checkpoint_dir)
-            plan = canonical_json([[n, self.pipeline.get_step(n).fields] for n in self.pipeline.step_names])
-            fingerprint = manager.identifier(self.input_schema.json(), count, plan)
-            run = self.identifier or fingerprint
-            found = manager.load(run, fingerprint) if self.config.auto_resume else None
-            if found:
-                done, self.frame = set(found[0].completed_steps), found[1]
-        for number, level in enumerate(self.pipeline.execution_levels):
-            todo = [self.pipeline.get_step(n) for n in level if n not in done]
+            manager, marks = CheckpointManager(self.spark, self.config.checkpoint_dir), self._marks()
+            fingerprint = self._fingerprint(count)
+            run = self.identifier or manager.mark(fingerprint, sorted(marks))
+            found = manager.load(run, fingerprint, marks) if self.config.auto_resume else None
+            if found and found.level >= 0:
+                self.frame = manager.frame(run, found)
+            done = found or CheckpointData(fingerprint)
+        for number, level in enumerate(all_levels):
+            todo = [self.pipeline.get_step(n) for n in level if n not in done.steps]
             if not todo:
                 continue
             began = time.time()
+            self._progress(number, all_levels)
             self.spark.sparkContext.setJobDescription(f"level {number}: {', '.join(s.name for s in todo)}")
             for step in todo:
                 self.hooks.fire("on_step_start", StepStartEvent(step.name, count, number))
-            self.frame = self._column_steps(self.frame, [s for s in todo if isinstance(s, ColumnStep)])
             python = [s for s in todo if isinstance(s, PythonStep)]
-            if python:
-                self.frame = self._python_steps(self.frame, python)
-            done.update(level)
-            if manager:
-                self.frame = manager.store(run, number, self.frame)
-            elif any(s.external or self.cache and s.cache for s in python):
-                # never persisted beside a cache: appending to the cache would make Spark recompute what was read from it
-                self.frame = stored(self.frame, f"{self.place}/level-{number}")
-            elif python:
-                self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
-            if python and self.cache:
-                self.frame = self._to_cache(self.frame, python)
+            last = number == len(all_levels) - 1
+            if manager and python and self.config.checkpoint_interval:
+                done = self._in_parts(manager, run, number, todo, count, done)
+            else:
+                self.frame = self._pruned(self._level_frame(self.frame, todo), all_levels[number + 1 :])
+                if manager and not last:
+                    self.frame = manager.store(run, number, self.frame)
+                elif manager or any(s.external or self.cache and s.cache for s in python):
+                    # never persisted beside a cache: appending to the cache would make Spark recompute what was read from it
+                    self.frame = stored(self.frame, f"{self.place}/level-{number}")
+                elif python:
+                    self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
+                    self.persisted.append(self.frame)
+                if python and self.cache:
+                    self.frame = self._to_cache(self.frame, python)
             if self.config.on_error == "raise" and python:
                 self._raise_first(python)
-            if manager:
-                manager.finish(run, fingerprint, number, sorted(done), self.frame)
+            if manager and not last:
+                done = CheckpointData(done.fingerprint, done.steps | {n: marks[n] for n in level}, number, schema=self.frame.schema.json())
+                manager.save(run, done)
             self._level_events(todo, count, time.time() - began)
         self.spark.sparkContext.setJobDescription(None)
+        if manager:
+            if self.config.checkpoint_interval and python:  # the last level's frame lies among the checkpoints
+                self.frame = stored(self.frame, f"{self.place}/level-{number}")
+            manager.cleanup(run)
+        self._progress(len(all_levels), all_levels)
         return PipelineResult(self)
 
+    def _pruned(self, frame: DataFrame, later: list[list[str]]) -> DataFrame:
+        """Without the input columns that neither the result nor a later step wants; column steps may want any."""
+        keep = set(self.shown)
+        for step in (self.pipeline.get_step(n) for level in later for n in level):
+            anything = isinstance(step, ColumnStep) or step.reads is None or isinstance(step.run_if, Column) or isinstance(step.skip_if, Column)
+            keep |= set(self.inputs if anything else step.reads)
+        return frame.select(*(quoted(c) for c in frame.columns if c not in self.inputs or c in keep)) if len(keep) < len(self.inputs) else frame
+
+    def _level_frame(self, frame: DataFrame, todo: list[Any]) -> DataFrame:
+        frame = self._column_steps(frame, [s for s in todo if isinstance(s, ColumnStep)])
+        python = [s for s in todo if isinstance(s, PythonStep)]
+        return self._python_steps(frame, python) if python else frame
+
+    def _in_parts(self, manager: CheckpointManager, run: str, number: int, todo: list[Any], count: int, done: CheckpointData) -> CheckpointData:
+        """A level row part by row part, each stored and named when finished, so that a lost run repeats one part's calls at most.
+
+        A part has about ``checkpoint_interval`` rows, more if the level would
+        take over MOST_PARTS of them.  Rows are dealt by the hash of their id,
+        which is stored first.
+        """
+        python = [s for s in todo if isinstance(s, PythonStep)]
+        parts = done.part_count or min(MOST_PARTS, max(1, -(-count // self.config.checkpoint_interval)))
+        base = self.frame
+        if done.level < 0:
+            base = manager.parts(run, -1, 1, base.schema) if done.part_count else None
+            if base is None:
+                manager.store_part(run, -1, 0, self.frame)
+                base = manager.parts(run, -1, 1, self.frame.schema)
+        if not done.part_count:
+            manager.begin_parts(run, number)
+            done = replace(done, part_count=parts)
+            manager.save(run, done)
+        schema = None
+        for part in range(parts):
+            made = self._level_frame(base.where(F.pmod(F.xxhash64(ROW), F.lit(parts)) == part), todo)
+            schema = made.schema
+            if part in done.parts:
+                continue
+            manager.store_part(run, number, part, made)
+            if self.cache:
+                one = self.spark.read.schema(schema).parquet(f"{manager.path(run, number)}/part-{part}")
+                self._to_cache(one, python)
+            done = replace(done, parts=[*done.parts, part])
+            manager.save(run, done)
+            log.info("level %d: part %d of %d is stored", number, part + 1, parts)
+        self.frame = manager.parts(run, number, parts, schema).drop(*(f"__k_{s.name}" for s in python))
+        return done
+
+    def _progress(self, number: int, all_levels: list[list[str]]) -> None:
+        """Logs how far the run is, and draws a bar where someone looks."""
+        total = len(all_levels)
+        if number < total:
+            log.info("level %d of %d: %s", number + 1, total, ", ".join(all_levels[number]))
+        if self.config.enable_progress_bar and sys.stderr.isatty():
+            sys.stderr.write(f"\r[{'#' * number}{'.' * (total - number)}] {number}/{total} levels" + ("\n" if number == total else ""))
+            sys.stderr.flush()
+
     def _prior(self, step: Any) -> dict[str, Column]:
         return {f: F.col(quoted(output(d), "values", f)) for d in step.depends_on for f in self.pipeline.get_step(d).fields}
 
@@ -294,14 +399,18 @@ class _Run:
         return cache_key(static, row, earlier)
 
     def _mapped(self, frame: DataFrame, plans: list[StepPlan]) -> DataFrame:
-        schema = T.StructType([f for f in frame.schema.fields if f.name not in {p.verdict for p in plans} | {p.hit for p in plans}])
-        for p in plans:
-            schema = schema.add(p.output, record_type(p.step))
+        """Adds the outputs of a level by one Arrow function of the columns that its steps read; the others stay in the JVM."""
         slots = max(1, self.spark.sparkContext.defaultParallelism)
         if any(p.step.external for p in plans) and self.config.max_workers < slots:
-            frame = frame.coalesce(self.config.max_workers)
+            frame = frame.repartition(self.config.max_workers)  # a shuffle, so that what lies below keeps its tasks
         in_flight = max(1, self.config.max_workers // slots)
-        return frame.mapInArrow(level_function(plans, self.config, in_flight), schema)
+        helpers = [n for p in plans for n in (p.verdict, p.hit) if n]
+        needed = [*dict.fromkeys([*(c for p in plans for c in p.reads), *(n for p in plans for n, _ in p.prior)]), *helpers]
+        given = F.struct(*(F.col(quoted(c)) for c in needed)) if needed else F.struct(F.lit(True).alias("__none"))
+        kind = T.StructType([T.StructField(p.output, record_type(p.step)) for p in plans])
+        level = F.arrow_udf(level_function(plans, self.config, in_flight), kind).asNondeterministic()
+        kept = [F.col(quoted(c)) for c in frame.columns if c not in helpers]
+        return frame.select(*kept, level(given).alias("__level")).select(*kept, *(F.col(quoted("__level", p.output)).alias(p.output) for p in plans))
 
     def _deduplicated(self, frame: DataFrame, step: PythonStep) -> DataFrame:
         """One call for all rows that look alike to the step, the answer joined back."""
@@ -312,7 +421,7 @@ class _Run:
             one = one.drop(key)
         prepared, plan = self._prepare(one, step)
         answered = self._mapped(prepared, [plan]).select(key, output(step.name))
-        return keyed.join(answered, key)
+        return spread_join(keyed, answered, key, ROW)
 
     def _to_cache(self, frame: DataFrame, steps: list[PythonStep]) -> DataFrame:
         for s in steps:
@@ -396,13 +505,13 @@ class PipelineResult:
         more = {getattr(pipeline.get_step(n), "sources_field", None): n for n in pipeline.step_names}
         writers |= {f: n for f, n in more.items() if f}
         columns = []
-        for name in run.inputs:
+        for name in run.shown:
             if name in writers:
                 new = F.col(quoted(output(writers[name]), "values", name)).cast(old[name])
                 columns.append(merged(F.col(quoted(name)), old[name], new, run.config.overwrite_fields).alias(name))
             else:
                 columns.append(F.col(quoted(name)))
-        columns += [F.col(quoted(output(s), "values", f)).alias(f) for f, s in writers.items() if f not in old]
+        columns += [F.col(quoted(output(s), "values", f)).alias(f) for f, s in writers.items() if f not in run.shown]
         return run.frame.select(*columns, ROW)
 
     @cached_property
@@ -424,6 +533,11 @@ class PipelineResult:
             return SparkSession.active().createDataFrame([], "row_id long, step_name string, error_type string, message string")
         return errors_of(self._run.frame, self._run.pipeline.step_names)
 
+    def close(self) -> None:
+        """Frees what the run keeps in memory; the data must not be read any more."""
+        for frame in self._run.persisted if self._run else ():
+            frame.unpersist()
+
     def row_errors(self) -> list[RowError]:
         return [RowError(r.row_id, r.step_name, r.message, r.error_type) for r in self.errors.orderBy("row_id", "step_name").collect()]
 

@@ -1,4 +1,4 @@
-"""What runs in a Python worker: all Python steps of one level over Arrow batches."""
+"""What runs in a Python worker: all Python steps of one level, as one Arrow function of the columns they read."""
 
 from __future__ import annotations
 
@@ -81,16 +81,22 @@ def _waits(step: PythonStep) -> bool:
     return not plain or any(inspect.iscoroutinefunction(p) for p in (step.run_if, step.skip_if))
 
 
-def level_function(plans: list[StepPlan], config: Any, in_flight: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """All steps of a level in one pass, at most ``in_flight`` rows waiting at a time."""
+def level_function(plans: list[StepPlan], config: Any, in_flight: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """All steps of a level in one pass, at most ``in_flight`` rows waiting at a time.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Takes structs of the columns that the steps read and gives structs of their
+    outputs, so that other columns stay in the JVM.
+    """
+
+    def work(structs: Iterator[pa.Array]) -> Iterator[pa.Array]:
         waiting = [p for p in plans if _waits(p.step)]
         loop = asyncio.new_event_loop() if waiting else None
+        kind = pa.struct([pa.field(p.output, p.kind) for p in plans])
         try:
-            for whole in batches:
-                for start in range(0, whole.num_rows, ROWS):
-                    batch = whole.slice(start, ROWS)
+            for whole in structs:
+                done = []
+                for start in range(0, len(whole), ROWS):
+                    batch = pa.RecordBatch.from_struct_array(whole.slice(start, ROWS))
                     jobs = {p.output: list(_inputs(p, batch)) for p in plans}
                     found: dict[str, list] = {}
                     for p in plans:
@@ -98,9 +104,8 @@ def level_function(plans: list[StepPlan], config: Any, in_flight: int) -> Callab
                             found[p.output] = [_now(_one(p, *job, config)) for job in jobs[p.output]]
                     if waiting:
                         found |= loop.run_until_complete(_together(waiting, jobs, config, in_flight))
-                    arrays = [pa.array(found[p.output], p.kind) for p in plans]
-                    passed = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in {p.verdict for p in plans} | {p.hit for p in plans}]
-                    yield pa.RecordBatch.from_arrays([c for _, c in passed] + arrays, [n for n, _ in passed] + [p.output for p in plans])
+                    done.append(pa.StructArray.from_arrays([pa.array(found[p.output], p.kind) for p in plans], fields=list(kind)))
+                yield pa.concat_arrays(done) if done else pa.array([], kind)
         finally:
             if loop:
                 loop.close()

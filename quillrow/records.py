@@ -52,6 +52,22 @@ class Step(Protocol):
     async def run(self, ctx: StepContext) -> StepResult: ...
 
 
+class EnrichmentResult:
+    """The schema that takes any answer: an object's fields as attributes.  Base class for stricter ones."""
+
+    def __init__(self, **fields: Any):
+        self.__dict__.update(fields)
+
+    @classmethod
+    def model_validate(cls, answer: dict[str, Any]) -> EnrichmentResult:
+        if not isinstance(answer, dict):
+            raise ValueError("an answer is an object")
+        return cls(**answer)
+
+    def model_dump(self) -> dict[str, Any]:
+        return dict(vars(self))
+
+
 @dataclass(frozen=True)
 class StepUsage:
     prompt_tokens: int = 0

@@ -1,4 +1,4 @@
-"""Step checkpoints: each finished level is a stored frame named in a manifest."""
+"""Step checkpoints: each finished level, and each finished part of a level, is a stored frame named in a manifest."""
 
 from __future__ import annotations
 
@@ -6,23 +6,34 @@ import hashlib
 import json
 import time
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..plans.storage import Files, stored
+from ..spec import canonical_json
 
 
 @dataclass(frozen=True)
 class CheckpointData:
-    """What a manifest says; ``complete`` is false while a level is being written."""
+    """What a manifest says: the last finished level, the parts of the next one that are finished, and what they were made from.
+
+    ``steps`` holds a mark of each step that the stored frames contain.
+    """
 
     fingerprint: str
-    completed_steps: list[str] = field(default_factory=list)
+    steps: dict[str, str] = field(default_factory=dict)
     level: int = -1
-    complete: bool = True
+    parts: list[int] = field(default_factory=list)
+    part_count: int = 0
+    schema: str = ""
     timestamp: float = 0.0
 
+    @property
+    def completed_steps(self) -> list[str]:
+        return sorted(self.steps)
+
 
 class CheckpointManager:
     """Checkpoints of runs, by identifier, below one shared folder."""
@@ -31,32 +42,46 @@ class CheckpointManager:
         self.spark, self.root, self.files = spark, folder.rstrip("/"), Files(spark)
 
     @staticmethod
-    def identifier(schema_json: str, rows: int, plan: str) -> str:
-        """The same for the same input shape and plan, in any process."""
-        return hashlib.sha256(f"{schema_json}|{rows}|{plan}".encode()).hexdigest()[:32]
+    def mark(*parts: Any) -> str:
+        """The same for equal parts, in any process."""
+        return hashlib.sha256(canonical_json(list(parts)).encode()).hexdigest()[:32]
 
     def _manifest(self, run: str) -> str:
         return f"{self.root}/{run}/manifest.json"
 
+    def path(self, run: str, level: int) -> str:
+        return f"{self.root}/{run}/level-{level}"
+
     def store(self, run: str, level: int, frame: DataFrame) -> DataFrame:
-        """Store a level's frame; it doesn't count before ``finish`` names it."""
-        return stored(frame, f"{self.root}/{run}/level-{level}")
-
-    def finish(self, run: str, fingerprint: str, level: int, steps: list[str], frame: DataFrame) -> None:
-        """Name a stored level as the one to go on from."""
-        self.files.write_json(
-            self._manifest(run),
-            {"fingerprint": fingerprint, "level": level, "completed_steps": steps, "complete": True, "timestamp": time.time(), "schema": frame.schema.json()},
-        )
-
-    def load(self, run: str, fingerprint: str) -> tuple[CheckpointData, DataFrame] | None:
-        """The last finished level, if its plan and input still match."""
+        """Store a level's frame; it doesn't count before ``save`` names it."""
+        return stored(frame, self.path(run, level))
+
+    def store_part(self, run: str, level: int, part: int, frame: DataFrame) -> None:
+        frame.write.mode("overwrite").parquet(f"{self.path(run, level)}/part-{part}")
+
+    def begin_parts(self, run: str, level: int) -> None:
+        """Removes what an earlier run of another shape may have left."""
+        self.files.delete(self.path(run, level))
+
+    def parts(self, run: str, level: int, count: int, schema: StructType) -> DataFrame:
+        """The stored parts of a level as one frame."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.path(run, level)}/part-{i}" for i in range(count)))
+
+    def save(self, run: str, data: CheckpointData) -> None:
+        """Write the manifest: from now on the run goes on from there."""
+        self.files.write_json(self._manifest(run), {**vars(data), "timestamp": time.time()})
+
+    def load(self, run: str, fingerprint: str, steps: dict[str, str]) -> CheckpointData | None:
+        """What is finished, if it was made from the same input by the same steps."""
         found = self.files.read_json(self._manifest(run))
-        if not found or not found.get("complete") or found.get("fingerprint") != fingerprint:
+        if not found or found.get("fingerprint") != fingerprint:
             return None
-        schema = StructType.fromJson(json.loads(found.pop("schema")))
         data = CheckpointData(**{k: v for k, v in found.items() if k in CheckpointData.__dataclass_fields__})
-        return data, self.spark.read.schema(schema).parquet(f"{self.root}/{run}/level-{data.level}")
+        return data if all(steps.get(n) == m for n, m in data.steps.items()) else None
+
+    def frame(self, run: str, data: CheckpointData) -> DataFrame:
+        schema = StructType.fromJson(json.loads(data.schema))
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(self.path(run, data.level))
 
     def cleanup(self, run: str) -> None:
         self.files.delete(f"{self.root}/{run}")

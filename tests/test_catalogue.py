@@ -2,6 +2,7 @@ import pytest
 from compare import database, same
 from conftest import SMALL
 
+import quillrow.catalogue_parts  # noqa: F401
 from quillrow.catalogue import ORACLE_SQL, QUERIES
 
 

@@ -107,9 +107,22 @@ def test_prompt_names_only_used_keys():
     assert used_keys(to_specs({"a": "x"})) == set()
     assert used_keys(to_specs({"a": {"prompt": "x", "default": None}})) == {"default"}
     text = Prompt(to_specs({"a": {"prompt": "x", "enum": ["p", "q"]}}), header="Banks").build({"r": 1}, {"old": "y"})
-    assert "# Context\nBanks" in text and "<enum>p, q</enum>" in text and '{"old": "y"}' in text and "**format**" not in text
+    assert "## Background\nBanks" in text and "  <enum>p, q</enum>" in text and '<prior_results>\n{"old": "y"}\n</prior_results>' in text and "`format`" not in text
     own = Prompt(to_specs({"a": "x"}), system_prompt="Do it", header="Banks").build({})
-    assert own.startswith("Do it") and "Banks" not in own and "# Reminder" in own and "<prior_results>" not in own
+    assert own.startswith("Do it") and "Banks" not in own and own.endswith("keys a.") and "<prior_results>" not in own
+
+
+def test_prompt_parts_stand_in_order():
+    every = {"type": "Number", "format": "0.0", "enum": ["1.0", "2.0"], "examples": ["1.0"], "bad_examples": ["one", "two"], "default": None}
+    specs = to_specs({"plain": "the first", "full": {"prompt": "the second", **every}})
+    assert used_keys(specs) == set(every)
+    text = Prompt(specs).build({"r": None, "d": 1.5})
+    assert [text.index(x) for x in ("## Reading", "## Answer", "<row_data>", "<field_specifications>", "Now answer")] == sorted(text.index(x) for x in ("## Reading", "## Answer", "<row_data>", "<field_specifications>", "Now answer"))
+    assert '<row_data>\n{"r": null, "d": 1.5}\n</row_data>' in text
+    assert '<field name="plain">\n  <prompt>the first</prompt>\n</field>' in text
+    tags = ["prompt>the second", "type>Number", "format>0.0", "enum>1.0, 2.0", "example>1.0", "bad_example>one", "bad_example>two", "default>None"]
+    assert '<field name="full">\n' + "".join(f"  <{t}</{t.split('>')[0]}>\n" for t in tags) + "</field>" in text
+    assert "its `default`" in text and "its `default`" not in Prompt(to_specs({"a": "x"})).build({})
 
 
 def test_response_format_choice():

@@ -6,7 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillrow import CacheManager, ColumnStep, EnrichmentConfig, EnrichmentHooks, FunctionStep, LLMStep, Pipeline, StepContext, StepError, StepResult
+from quillrow import (
+    CacheManager, CheckpointManager, ColumnStep, EnrichmentConfig, EnrichmentHooks, EnrichmentResult, FunctionStep, LLMStep, Pipeline, PipelineError,
+    StepContext, StepError, StepResult,
+)
 from quillrow.clients.base import LLMAPIError, LLMResponse
 from quillrow.providers import RuleClient
 
@@ -182,15 +185,105 @@ def test_runner_overwrites_on_request(spark):
     assert {r.x for r in runner.run(numbers(spark, 3), overwrite_fields=True).collect()} == {9}
 
 
+def checkpointed(folder, **more):
+    return EnrichmentConfig(enable_checkpointing=True, checkpoint_dir=f"file://{folder}/ck", on_error="raise", **more)
+
+
+def broken():
+    def fails(ctx):
+        raise ValueError("not yet")
+
+    return fails
+
+
+def later(f=lambda ctx: {"z": ctx.prior_results["y"] + 1}, **more):
+    return FunctionStep("later", f, ["z"], ["double"], types={"z": "int"}, **more)
+
+
 def test_checkpoint_skips_finished_levels(spark, calls, tmp_path):
     f, count = calls
-    config = EnrichmentConfig(enable_checkpointing=True, checkpoint_dir=f"file://{tmp_path}/ck")
-    later = FunctionStep("later", lambda ctx: {"z": ctx.prior_results["y"] + 1}, ["z"], ["double"], types={"z": "int"})
-    for _ in range(2):
-        assert sorted(r.z for r in Pipeline([doubled(f), later]).run(numbers(spark), config).data.collect()) == [2 * i + 1 for i in range(10)]
+    config = checkpointed(tmp_path)
+    with pytest.raises(StepError):
+        Pipeline([doubled(f), later(broken())]).run(numbers(spark), config)
+    assert count() == 10
+    done = Pipeline([doubled(f), later()]).run(numbers(spark), config)
+    assert sorted(r.z for r in done.data.collect()) == [2 * i + 1 for i in range(10)]
     assert count() == 10
-    Pipeline([doubled(f), later]).run(numbers(spark, 11), config).data.collect()
-    assert count() == 21
+
+
+def test_checkpoint_goes_when_a_run_succeeds(spark, calls, tmp_path):
+    f, count = calls
+    config = checkpointed(tmp_path)
+    pipeline = Pipeline([doubled(f), later()])
+    for turn in (1, 2):
+        assert sorted(r.z for r in pipeline.run(numbers(spark), config).data.collect()) == [2 * i + 1 for i in range(10)]
+        assert count() == 10 * turn and CheckpointManager(spark, config.checkpoint_dir).list_checkpoints() == []
+
+
+@pytest.mark.parametrize("identifier", [None, "same"])
+def test_checkpoint_of_other_rows_is_left_alone(spark, calls, tmp_path, identifier):
+    f, count = calls
+    config = checkpointed(tmp_path)
+    with pytest.raises(StepError):
+        Pipeline([doubled(f), later(broken())]).run(numbers(spark), config, data_identifier=identifier)
+    other = numbers(spark).select((F.col("x") + 100).alias("x"))
+    done = Pipeline([doubled(f), later()]).run(other, config, data_identifier=identifier)
+    assert sorted(r.z for r in done.data.collect()) == [2 * i + 201 for i in range(10)] and count() == 20
+
+
+def test_checkpoint_of_another_version_is_left_alone(spark, calls, tmp_path):
+    f, count = calls
+    config = checkpointed(tmp_path)
+    with pytest.raises(StepError):
+        Pipeline([doubled(f, cache_version="1"), later(broken())]).run(numbers(spark), config, data_identifier="same")
+    Pipeline([doubled(f, cache_version="2"), later()]).run(numbers(spark), config, data_identifier="same").data.collect()
+    assert count() == 20
+    with pytest.raises(StepError):
+        Pipeline([doubled(f), later(broken())]).run(numbers(spark), config)
+    Pipeline([doubled(f), later()]).run(numbers(spark), config.but(auto_resume=False)).data.collect()
+    assert count() == 40
+
+
+@pytest.mark.parametrize("caching", [False, True])
+def test_a_lost_job_repeats_one_part(spark, calls, tmp_path, caching):
+    """A worker dies in the middle of a level; what was stored before is not called again."""
+    f, count = calls
+    config = checkpointed(tmp_path, checkpoint_interval=10, enable_caching=caching, cache_dir=f"file://{tmp_path}/cache")
+    many = numbers(spark, 100)
+
+    def dies(ctx):
+        if count() >= 40:
+            raise SystemExit  # takes the worker along, and with it the job
+        return f(ctx)
+
+    with pytest.raises(Exception, match="."):
+        Pipeline([doubled(dies)]).run(many, config)
+    before = count()
+    assert before >= 40
+    done = Pipeline([doubled(f)]).run(many, config)
+    assert sorted((r.x, r.y) for r in done.data.collect()) == [(i, 2 * i) for i in range(100)]
+    assert "__k_double" not in done.data.columns and 60 <= count() - before < 80  # 100 less whole parts stored
+    assert CheckpointManager(spark, config.checkpoint_dir).list_checkpoints() == []
+
+
+def test_parts_of_two_levels(spark, calls, tmp_path):
+    f, count = calls
+    config = checkpointed(tmp_path, checkpoint_interval=7)
+    done = Pipeline([doubled(f), later()]).run(numbers(spark, 50), config)
+    assert sorted((r.x, r.y, r.z) for r in done.data.collect()) == [(i, 2 * i, 2 * i + 1) for i in range(50)] and count() == 50
+
+
+def test_only_wanted_columns_are_read(spark, tmp_path):
+    wide = spark.range(20).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"), F.lit("x").alias("c"), F.lit("y").alias("d"))
+    wide.write.parquet(f"{tmp_path}/wide")
+    step = FunctionStep("s", lambda ctx: {"e": ctx.row["b"] + 1}, ["e"], types={"e": "bigint"}, reads=["b"])
+    result = Pipeline([step]).run(spark.read.parquet(f"{tmp_path}/wide"), columns=["a"])
+    plan = result.data._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<a:bigint,b:bigint>" in plan
+    assert sorted(map(tuple, result.data.collect())) == [(i, 2 * i + 1) for i in range(20)]
+    result.close()
+    with pytest.raises(PipelineError):
+        Pipeline([step]).run(wide, columns=["zz"])
 
 
 class Scripted:
@@ -226,6 +319,35 @@ def test_model_step_corrects_and_retries():
         run_step(LLMStep("s", {"a": "x"}, client=Scripted(["{}"]), grounding=True), quick)
 
 
+class Strict:
+    """Like a model class of a validation library."""
+
+    def __init__(self, a):
+        self.a = a
+
+    @classmethod
+    def model_validate(cls, answer):
+        if not isinstance(answer["a"], int):
+            raise ValueError("a is a whole number")
+        return cls(answer["a"] + 1)
+
+    def model_dump(self):
+        return {"a": self.a, "more": 1}
+
+
+def test_schemas_check_and_give_the_values():
+    quick = EnrichmentConfig(retry_base_delay=0, max_retries=0)
+    answers = [json.dumps({"a": "x"}), json.dumps({"a": 41})]
+    assert run_step(LLMStep("s", ["a"], client=Scripted(answers), schema=Strict), quick).values == {"a": 42}
+    assert run_step(LLMStep("s", ["a"], client=Scripted(answers), schema=lambda x: {"a": x["a"] * 2}), quick).values == {"a": "xx"}
+    assert run_step(LLMStep("s", ["a"], client=Scripted(answers), schema=lambda x: None), quick).values == {"a": "x"}
+    assert run_step(LLMStep("s", ["a"], client=Scripted(['{"a": 1, "b": 2}']), schema=EnrichmentResult), quick).values == {"a": 1}
+    with pytest.raises(StepError, match="no usable answer after 1"):
+        run_step(LLMStep("s", ["a"], client=Scripted(answers), schema=Strict, max_retries=0), quick)
+    refused = LLMStep("s", {"a": {"prompt": "a", "default": "none"}}, client=Scripted([json.dumps({"a": "N/A"})]), schema=EnrichmentResult)
+    assert run_step(refused, quick).values == {"a": "none"}
+
+
 def test_model_cost_counts_answers_kept(spark):
     step = LLMStep("s", {"y": "x"}, client=lambda: RuleClient(lambda row, prior: {"y": "a b"}), model="m")
     cost = Pipeline([step]).run(numbers(spark, 5)).cost
