@@ -2,21 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..plans.skew import PARTS, spread_join
 
-#: Parts that the rows of one key are dealt to.
-PARTS = 64
-
-
-def spread_join(rows: DataFrame, summary: DataFrame, key: str | list[str], by: str) -> DataFrame:
-    """``rows`` with their key's one row of ``summary`` (inner join on ``key``).
-
-    The rows of a key are dealt to PARTS by the hash of column ``by``.  Which
-    parts a key has is found by a partial aggregate; the summary goes to these,
-    PARTS rows a key at most, and the rows meet it part by part.
-    """
-    keys = [key] if isinstance(key, str) else key
-    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
-    placed = dealt.select(*keys, "__part").distinct().join(summary, keys)
-    return dealt.join(placed, [*keys, "__part"]).drop("__part")
+__all__ = ["PARTS", "spread_join"]
