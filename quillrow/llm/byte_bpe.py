@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 7).
 
-Texts up to CHUNK code points are pre-tokenised and encoded where they are
-read.  Longer ones become overlapping chunks that tasks pre-tokenise and
+Texts up to CHUNK code points are one chunk, pre-tokenised and encoded where
+they are read.  Longer ones become overlapping chunks that tasks pre-tokenise and
 encode apart; at each seam the chunk sequences are stitched at the first
 pre-token boundary both agree on, and where an overlap holds none the text
 between is pre-tokenised again.  Decoding concatenates the tokens' bytes.
@@ -154,9 +154,10 @@ def stitch(chunks: list[tuple[int, list[int], list[bytes]]], again: Callable[[in
     numbered chunk can see; its last value says whether it saw the text's end.
     """
     out: list[bytes] = []
-    at, number = 0, 0
+    at, number, skip = 0, 0, 1
     while number < len(chunks):
         start, ends, ids = chunks[number]
+        before = at
         begins = [start, *ends[:-1]] if ends else []
         place = {b: i for i, b in enumerate(begins)}.get(at)
         if place is None and ends and at < ends[-1] or not ends and at >= start:
@@ -179,7 +180,9 @@ def stitch(chunks: list[tuple[int, list[int], list[bytes]]], again: Callable[[in
                 at = e
                 if at in following:
                     break
-        number += 1
+        # one pre-token over many chunks is looked at again after twice as many each time, and always at the last
+        skip = 1 if at > before else 2 * skip
+        number = number + 1 if number == len(chunks) - 1 else min(number + skip, len(chunks) - 1)
     return b"".join(out)
 
 
@@ -211,7 +214,9 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = C
     ``vocabulary`` is a rank file, read once on the driver; a vocabulary's size
     doesn't grow with the corpus, so it is broadcast.  Null text counts as
     empty and has no ids.  Rows stay apart even if they repeat an id; ids may
-    be null.  An empty table gives an empty result; other columns are ignored.
+    be null.  Texts of more than ``chunk`` code points are cut and stitched, with
+    the same ids as those encoded whole.  An empty table gives an empty
+    result; other columns are ignored.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as file:

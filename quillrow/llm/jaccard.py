@@ -192,12 +192,12 @@ def _row_key():
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """id, class_key, code, n, n_counted, copies, row_key (of one row), doc_id (the smallest) of every set."""
+    """id, class_key, code, n, n_counted, copies and, of the row with the smallest id, no_id, doc_id, row_key of every set."""
     one = rows.where("n > 0").groupBy("class_key").agg(
         F.first("code").alias("code"), F.first("n").alias("n"), F.first(F.size("counted")).alias("n_counted"),
-        F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"),
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")).alias("first"),
     )
-    return one.select(F.monotonically_increasing_id().alias("id"), "*")
+    return one.select(F.monotonically_increasing_id().alias("id"), "class_key", "code", "n", "n_counted", "copies", "first.*")
 
 
 def _first_ones(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +236,8 @@ def _members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in made], ["class_key", "own", "bits"])
 
     asked = classes.join(wanted, "id", "left_semi").select("id", "n", "class_key", "row_key")
-    texts = docs.select(_row_key(), F.col("text").cast("binary").alias("text")).join(asked.select("row_key").distinct(), "row_key", "left_semi")
+    keys = asked.select("row_key").distinct().hint("shuffle_hash")  # the same plan at every size
+    texts = docs.select(_row_key(), F.col("text").cast("binary").alias("text")).join(keys, "row_key", "left_semi")
     found = texts.select("text").mapInArrow(read, "class_key binary, own binary, bits binary").groupBy("class_key").agg(F.first("own").alias("own"), F.first("bits").alias("bits"))
     return found.join(asked.select("id", "n", "class_key"), "class_key").select("id", "n", "own", "bits")
 
@@ -406,17 +407,8 @@ def _pairs(tile: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
-
-    Equal sets are one class.  A text without words has no shingle and links
-    with nothing; null counts as such.  Every row stands for itself: rows that
-    repeat an id with different texts each get their own text's result, and
-    rows without id take part like all others.  The component's smallest id
-    names it; a component without any id gets null.  A text of any length is
-    read whole, in stretches.  An empty table gives an empty result; other
-    columns are ignored, whatever their names.
-    """
+def _resolved(docs: DataFrame, size: int, percent: int) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
+    """The scratch tables, the rows, the classes, and id, label of the classes in a component with others."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
@@ -442,6 +434,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     more = scratch.keep(_confirm(crossing, sets, percent), "more")
     final = components(links.unionByName(more), scratch, "final")
 
+    return scratch, rows, classes, final
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``.
+
+    Equal sets are one class.  A text without words has no shingle and links
+    with nothing; null counts as such.  Every row stands for itself: rows that
+    repeat an id with different texts each get their own text's result, and
+    rows without id take part like all others.  The component's smallest id
+    names it; a component without any id gets null.  A text of any length is
+    read whole, in stretches.  An empty table gives an empty result; other
+    columns are ignored, whatever their names.
+    """
+    scratch, rows, classes, final = _resolved(docs, size, percent)
     ids = final.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = final.join(ids, "label").select("id", "component_id")
     named = classes.join(linked.withColumn("linked", F.lit(True)), "id", "left")
@@ -451,3 +458,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     full = spread_join(narrow.where("n > 0"), named, "class_key", "row")
     bare = narrow.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "component_id").unionByName(bare).withColumnRenamed("n", "n_shingles")
+
+
+def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, all columns as they are.
+
+    Of each component the row with the smallest id stays, a row without id only
+    where none has one; of rows repeated in full one stays.  Texts without
+    words stay, each row of them.  An empty table gives an empty result.
+    """
+    scratch, rows, classes, final = _resolved(docs, size, percent)
+    best = F.min(F.struct("no_id", "doc_id", "row_key")).alias("best")
+    stays = classes.join(final, "id", "left").groupBy(F.coalesce("label", "id")).agg(best).select("best.row_key")
+    often = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("__often"))
+    stays = scratch.keep(stays.distinct().join(often, "row_key").withColumnRenamed("row_key", "__key"), "stays")
+    scratch.discard_but("stays")
+    worded = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    bare = docs.where(~worded)
+    kept = docs.where(worded).withColumn("__key", F.xxhash64("doc_id", "text")).join(stays, "__key")
+    once = kept.where("__often = 1").select(docs.columns)
+    same = ["__key", F.col("doc_id").alias("__same_id"), F.xxhash64("text", F.lit(1)).alias("__same_text")]
+    many = kept.where("__often > 1").groupBy(*same).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(many).unionByName(bare)

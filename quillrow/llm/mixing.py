@@ -65,7 +65,7 @@ def source_targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: DataFrame, share: float = 1.5, most: float = 2.0, buckets: int = BUCKETS, carry: bool = False
+    docs: DataFrame, weights: DataFrame, share: float = 1.5, most: float = 2.0, buckets: int = BUCKETS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``.
 
@@ -73,9 +73,9 @@ def mix_sources(
     the whole document and ``taken`` the words of those copies.  A source's
     last selected document is the one that brings it nearest to its target.
     Null sources form one source that sorts last; null ids draw one common key
-    and weigh 1.  Repeated rows count each.  With ``carry`` all columns of
-    ``docs`` are kept beside ``copies`` (for a rewriting stage); otherwise
-    texts never leave the scan.  An empty table gives an empty result.
+    and weigh 1.  Repeated rows count each.  The columns named in ``carry`` follow;
+    texts never leave the scan.  All sources meet in one task, one row each.
+    An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.coalesce(docs["text"], F.lit(""))
@@ -87,11 +87,11 @@ def mix_sources(
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         uniform.alias("uniform"),
         F.monotonically_increasing_id().alias("row"),
-        *([F.struct(*docs.columns).alias("whole")] if carry else []),
+        *(docs[c].alias(f"__carry_{i}") for i, c in enumerate(carry)),
     )
+    weighed = narrow.where("doc_id is not null").join(weights, "doc_id", "left").unionByName(narrow.where("doc_id is null").withColumn("weight", F.lit(None).cast("double")))
     drawn = (
-        narrow.join(weights, "doc_id", "left")
-        .withColumn("key", -F.log("uniform") / F.coalesce("weight", F.lit(1.0)))
+        weighed.withColumn("key", -F.log("uniform") / F.coalesce("weight", F.lit(1.0)))
         .withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int"))
         .drop("weight", "uniform")
     )
@@ -116,6 +116,21 @@ def mix_sources(
         .withColumn("selected", ((F.col("rest") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest"))).cast("long"))
         .withColumn("copies", F.col("epochs") + F.col("selected"))
     )
-    if carry:
-        return taken.select("whole.*", F.col("copies").alias("__copies"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    carried = (F.col(f"__carry_{i}").alias(c) for i, c in enumerate(carry))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
+
+
+def mixed_corpus(docs: DataFrame, weights: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, all columns as they are.
+
+    Rows meet their count by two hashes of all their columns; rows repeated in
+    full share one total.  Null ids, texts and sources are as in ``mix_sources``.
+    """
+    marks = ["__mark_1", "__mark_2"]
+    marked = docs.withColumns({m: F.xxhash64(*docs.columns, F.lit(m)) for m in marks})
+    plan = mix_sources(marked, weights, share, most, carry=tuple(marks))
+    total = plan.groupBy(*marks).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    taken = marked.join(total, marks)
+    many = taken.where("__rows > 1").groupBy(*marks).agg(F.min(F.struct(*docs.columns)).alias("__row"), F.min("__copies").alias("__copies"))
+    each = taken.where("__rows = 1").select(*docs.columns, "__copies").unionByName(many.select("__row.*", "__copies"))
+    return each.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)

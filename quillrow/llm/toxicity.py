@@ -24,8 +24,8 @@ from .held import Remembered
 from .sampling import sampled
 from .subwords import GLUE, buckets, in_fold, in_process, ngrams, unglued
 
-#: Rows of either label that training collects at most.
-MOST_ROWS = 1000
+#: Rows of either label that training collects at most, and their length in code points.
+MOST_ROWS, LONGEST_TEXT = 1000, 1 << 15
 FEATURES, WIDTH, SHORTEST, LONGEST = 1 << 16, 4, 3, 5
 #: Words of a window; one starts at every word.
 WINDOW = 4
@@ -181,14 +181,15 @@ class Adam:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most: int = MOST_ROWS) -> Model:
     """Train on at most ``most`` labelled documents of either label outside the held-out fold.
 
-    The sample is drawn from the narrow labels; only its documents' texts move.
+    The sample is drawn from the narrow labels; only its documents' texts move,
+    and those of more than LONGEST_TEXT code points are not learnt from.
     """
     spark = docs.sparkSession
     usable = F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out)
     known = labels.where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [(r.doc_id, r.toxic) for label in (1, 0) for r in sampled(known.where(F.col("toxic") == label), most)]
     wanted = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))  # 2 * most rows at most
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_TEXT).join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: r.doc_id)
     return train([r.text for r in found], [r.toxic for r in found])
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,9 +17,9 @@ from quillrow.llm import exact_dedup as exact
 from quillrow.llm.components import components
 from quillrow.llm.exact_dedup import exact_dedup
 from quillrow.llm.hilbert import curve_keys
-from quillrow.llm.jaccard import banded, jaccard_components, needed, shared_count, shingles
+from quillrow.llm.jaccard import banded, jaccard_components, keep_one_of_each, needed, shared_count, shingles
 from quillrow.llm.line_dedup import line_dedup
-from quillrow.llm.mixing import mix_sources, quality_weights
+from quillrow.llm.mixing import mix_sources, mixed_corpus, quality_weights
 from quillrow.llm.neighbours import nearest
 from quillrow.llm.queries import ORACLE_SQL, QUERIES
 from quillrow.llm.scratch import Scratch
@@ -192,6 +193,18 @@ def test_mixing_comes_near_targets(spark):
     assert sum(r.target for r in rows) == pytest.approx(1.5 * sum(r.source_size for r in rows))
 
 
+def test_mixed_corpus_takes_each_row_as_often_as_planned(spark, awkward):
+    weights = quality_weights(spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int"))
+    twins = awkward.unionByName(awkward.where("doc_id is null or doc_id > 19"))
+    plan = Counter()
+    for r in mix_sources(twins, weights, carry=("text", "lang", "n_chars")).collect():
+        plan[(r.doc_id, r.source, r.text, r.lang, r.n_chars)] += r.copies
+    found = mixed_corpus(twins, weights)
+    assert found.schema == twins.schema
+    assert Counter((r.doc_id, r.source, r.text, r.lang, r.n_chars) for r in found.collect()) == +plan
+    assert mixed_corpus(twins.where("doc_id > 99"), weights).count() == 0
+
+
 # neighbours
 
 
@@ -520,6 +533,20 @@ def test_rows_without_or_with_repeated_ids_link_by_their_texts(spark):
     assert table_rows(jaccard_components(frame)) == brute_jaccard(docs)
 
 
+def test_one_row_of_each_component_stays(spark, awkward, empty):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], f"edit{k}", *words[k + 1 :]]) for k in (0, 1, 58, 59)]
+    rows = [(5, near[0]), (None, near[1]), (None, "alone without id one two"), (7, near[2]), (7, "seven has another text too here"), (9, "seven has another text too here"), (None, near[3]), (None, near[3])]
+    rows += [(30, "only copies without other"), (30, "only copies without other"), (None, None), (None, None), (31, " \t"), (None, "no id at all here x"), (None, "no id at all here x")]
+    frame = spark.createDataFrame([(*r, n % 2) for n, r in enumerate(rows)], "doc_id long, text string, __key int")
+    want = [rows[i] for i in (0, 2, 4, 8, 10, 11, 12, 13)]
+    kept = keep_one_of_each(frame.withColumnRenamed("__key", "row_key"))
+    assert kept.columns == ["doc_id", "text", "row_key"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert keep_one_of_each(empty).count() == 0
+    assert keep_one_of_each(awkward).columns == awkward.columns
+
+
 @pytest.mark.parametrize("tile, few", [(512, 8), (8, 0)])
 def test_jaccard_of_thousands_under_one_shingle(spark, monkeypatch, tile, few):
     """Over 2,000 texts that hold the same common passage, near copies of several kinds among them, in many tiles and bands."""
@@ -638,6 +665,31 @@ def test_bpe_stitches_any_chunks(tokenizer):
             assert byte_bpe.encode_long(text, model, chunk, overlap) == want
 
 
+@pytest.mark.parametrize("by", [-1, 0, 1])
+def test_bpe_at_the_chunk_bound(spark, tokenizer, by):
+    path, pattern, _, library = tokenizer
+    size = byte_bpe.CHUNK + by
+    texts = [("word don't 12 " * size)[:size], "x" * size, " " * size, ("é日 " * size)[:size], ("a" * 40_000 + " b ")[:size], "ab " + "x" * (size - 3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in byte_bpe.encode_corpus(frame, path, pattern).collect()}
+    assert got == {i: np.array(library.encode_ordinary(t), "<u4").tobytes() for i, t in enumerate(texts)}
+
+
+def test_bpe_reads_one_long_pre_token_a_few_times(tokenizer):
+    _, _, model, library = tokenizer
+    text = "go " + "x" * 6000 + " on then " + "y" * 3000
+    seen = []
+    starts = list(range(0, len(text), 50))
+    parts = [byte_bpe.cut_chunk(text[s : s + 60], s, s + 60 >= len(text), model) for s in starts]
+
+    def part(a, b):
+        seen.append(b - a)
+        return text[a:b]
+
+    ids = byte_bpe.stitch(parts, byte_bpe.retry(part, len(text), [s + 60 for s in starts], model))
+    assert ids == np.array(library.encode_ordinary(text), "<u4").tobytes() and sum(seen) < 6 * len(text)
+
+
 # secrets and personal data
 
 

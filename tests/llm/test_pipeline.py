@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 from conftest import SMALL
-from test_operators import brute_jaccard, brute_lines, plain, sha, tokenizer  # noqa: F401
+from test_operators import awkward, brute_jaccard, brute_lines, empty, plain, sha, tokenizer  # noqa: F401
 
 import corpus_pipeline
 from quillrow.llm import language
@@ -21,6 +21,41 @@ def test_stages_return_the_columns_of_documents(spark):
     assert len(corpus_pipeline.STAGES) in (4, 5)
 
 
+def test_stages_on_awkward_rows(spark, awkward, empty, monkeypatch):  # noqa: F811
+    """Null texts and ids, repeated rows, ties, an empty table, long texts and columns of clashing names."""
+    plain_docs = [(r.doc_id, r.text) for r in awkward.collect()]
+    languages, lines, groups, mixing, tokens = (stage for _, stage in corpus_pipeline.STAGES)
+    model = language.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    monkeypatch.setattr(language, "fit", lambda docs: model)
+    told = {t: language.Model.predict(model, [t])[0] for _, t in plain_docs}
+    stays = [(i, t) for i, t in plain_docs if told[t][0] != "und" and told[t][1] >= corpus_pipeline.LEAST_SCORE]
+    kept = languages(spark, awkward, SMALL)
+    assert kept.schema == awkward.schema and sorted(plain(kept), key=str) == sorted(stays, key=str) and None in [i for i, _ in stays]
+    cut = lines(spark, awkward, SMALL)
+    assert cut.columns == awkward.columns and sorted(plain(cut), key=str) == sorted(((i, t) for i, _, _, t in brute_lines(plain_docs)), key=str)
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
+    one = sorted(plain(groups(spark, awkward, SMALL)), key=str)
+    components = brute_jaccard(plain_docs)
+    assert len(one) == len({c for _, n, c in components if n}) + sum(n == 0 for _, n, _ in components) and (22, "dup text that comes twice") in one
+    mixed = mixing(spark, awkward, SMALL)
+    assert mixed.columns == awkward.columns and set(plain(mixed)) <= set(plain_docs)
+    coded = tokens(spark, awkward, SMALL).collect()
+    assert sorted((r.doc_id, r.decoded_sha256) for r in coded if r.doc_id is not None) == sorted((i, sha(t or "")) for i, t in plain_docs if i is not None)
+    for stage in (languages, lines, groups, mixing, tokens):
+        assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_run_keeps_only_its_last_table(spark):
+    import glob
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{root}/quillrow/pipeline-*"))
+    done = corpus_pipeline.run(spark, SMALL)
+    assert done.count() > 0
+    (folder,) = set(glob.glob(f"{root}/quillrow/pipeline-*")) - before
+    assert [x.rsplit("/", 1)[1] for x in glob.glob(f"{folder}/*")] == ["stage-4"]
+
+
 def test_pipeline_against_brute_force(spark, tokenizer):  # noqa: F811
     library = tokenizer[3]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
