@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrow.llm import byte_bpe, language
-from quillrow.llm.jaccard import jaccard_components
+from quillrow.llm.jaccard import keep_one_of_each
 from quillrow.llm.line_dedup import line_dedup
-from quillrow.llm.mixing import mix_sources, quality_weights
+from quillrow.llm.mixing import mixed_corpus, quality_weights
 from quillrow.llm.scratch import Scratch
 
 #: Mean posterior below which a document's language is not accepted.
@@ -24,37 +24,41 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in no language that was learnt."""
+    """Drops documents whose language can't be told: null, empty and letterless texts, and scores below LEAST_SCORE.
+
+    Every row is judged for itself, so repeated rows and rows without id fare
+    alike; without any labelled row all go.  Long texts are read whole.
+    """
     labelled = language.identify(docs, language.fit(docs), carry=True)
     accepted = (F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)
     return labelled.where(accepted).drop("__lang", "__score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds; n_chars follows the text."""
+    """Texts without the lines that an earlier document holds; n_chars follows the text.
+
+    No row goes.  Rows that repeat an id are one document, rows without id one
+    after all others; a null text becomes empty.
+    """
     kept = line_dedup(docs, carry=True).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the smallest doc_id stays, once; documents without id stay as they are."""
-    found = jaccard_components(docs)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    once = F.struct(*(F.col(c) for c in docs.columns))
-    named = docs.join(stays, F.col("doc_id") == F.col("__stays"), "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min(once).alias("__row")).select("__row.*")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of near duplicates the row with the smallest doc_id stays, one without id only where none has one.
+
+    Of rows repeated in full one stays; rows without words stay all.
+    """
+    return keep_one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    taken = mix_sources(docs, weights).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    repeated = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    """Each row as often as the mix takes it; null texts have no words, null sources are one source, null ids weigh 1."""
+    return mixed_corpus(docs, quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes, one row per document taken."""
+    """Token counts and digests of ids and decoded bytes, one row per row taken; a null text has no tokens."""
     path = public_tokenizers.path(VOCABULARY)
     return byte_bpe.digest_columns(byte_bpe.decode_corpus(byte_bpe.encode_corpus(docs, path, public_tokenizers.PATTERN), path))
 
@@ -77,4 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{number}")
+        scratch.discard_but(f"stage-{number}")
     return docs
