@@ -17,8 +17,8 @@ class EnrichmentConfig:
     a level, 0 for all, are stored at a time when checkpoints are on.  A run
     logs at ``log_level`` and draws its progress on a terminal if
     ``enable_progress_bar`` says so.  Checkpoints need an explicit
-    ``checkpoint_dir`` in a folder that all executors share, and so does the
-    cache's ``cache_dir``.
+    ``checkpoint_dir`` in a folder that all executors share; the cache has a
+    folder of its own below the shared one unless ``cache_dir`` names another.
     """
 
     max_tokens: int = 4000
@@ -35,7 +35,7 @@ class EnrichmentConfig:
     auto_resume: bool = True
     enable_caching: bool = False
     cache_ttl: int = 3600
-    cache_dir: str = ".quillrow"
+    cache_dir: str | None = None
     checkpoint_interval: int = 0
     dedupe: bool = False
 

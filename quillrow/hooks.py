@@ -56,7 +56,11 @@ class RowCompleteEvent:
 
 @dataclass
 class EnrichmentHooks:
-    """Plain or async callbacks; what they raise is logged and goes no further."""
+    """Plain or async callbacks; what they raise is logged and goes no further.
+
+    ``on_row_complete`` brings every row's values through the driver, partition
+    by partition: it is for tables that a person could look through.
+    """
 
     on_pipeline_start: Callable | None = None
     on_pipeline_end: Callable | None = None

@@ -129,7 +129,7 @@ class Pipeline:
     def runner(self, config: EnrichmentConfig | None = None, hooks: EnrichmentHooks | None = None) -> Enricher:
         return Enricher(self, config, hooks)
 
-    def clear_cache(self, spark: SparkSession, step: str | None = None, cache_dir: str = ".quillrow") -> int:
+    def clear_cache(self, spark: SparkSession, step: str | None = None, cache_dir: str | None = None) -> int:
         cache = CacheManager(spark, cache_dir)
         return cache.delete_all() if step is None else cache.delete_step(step)
 

@@ -12,16 +12,16 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import Files
+from ..plans.storage import Files, shared_root
 
 SCHEMA = "key string, value string, created_at double, expires_at double"
 
 
 class CacheManager:
-    """A cache in ``cache_dir``; ``ttl`` seconds, 0 for no expiry."""
+    """A cache in ``cache_dir``, by default below the folder that all executors share; ``ttl`` seconds, 0 for no expiry."""
 
-    def __init__(self, spark: SparkSession, cache_dir: str = ".quillrow", ttl: int = 3600):
-        self.spark, self.root, self.ttl = spark, cache_dir.rstrip("/"), ttl
+    def __init__(self, spark: SparkSession, cache_dir: str | None = None, ttl: int = 3600):
+        self.spark, self.root, self.ttl = spark, (cache_dir or f"{shared_root(spark)}/quillrow-cache").rstrip("/"), ttl
         self.files = Files(spark)
 
     def _path(self, step: str) -> str:
