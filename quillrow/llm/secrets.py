@@ -95,9 +95,9 @@ def secret_scan(docs: DataFrame, repository_col: str = "doc_id", owner_col: str
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:
-    """The counts and digests that the query returns; as in its SQL, of the tokens only live ones."""
-    spans = F.filter("spans", lambda s: (s["kind"] != "token") | (s["verdict"] == "live"))
+    """The counts and digests that the query returns, and how many of the spans have each verdict."""
+    spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != "token")
     counts = [count_of(spans, "kind", k) for k in BASE]
-    verdicts = [count_of(spans, "verdict", v) for v in ("live", "copied")]
+    verdicts = [count_of(spans, "verdict", v) for v in ("live", "unclear", "copied")]
     return scanned.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), *verdicts)
