@@ -32,6 +32,8 @@ WINDOW = 4
 ROUNDS, STEPS = 5, 60
 #: Windows of a clean document that one round fits.
 HARDEST = 3
+#: Documents' worth of the common rate that a feature's rates start from, and the share of clean texts that a toxic one's worst window has to surpass to be learnt from.
+PRIOR, DOUBT = 2.0, 0.9
 #: Weight of all clean windows together; toxic ones weigh the rest.
 CLEAN_SHARE = 0.6
 THRESHOLD = 0.3
@@ -147,19 +149,30 @@ def rarity(docs: list[np.ndarray], labels: np.ndarray, table: np.ndarray, first:
         own = np.unique(d)
         if len(own):
             seen[int(label), np.unique(np.concatenate([table[first[u] : first[u] + int(amount[u])] for u in own]))] += 1
-    share = (seen + 0.5) / (np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 1)
+    texts = np.array([[(labels == 0).sum()], [(labels == 1).sum()]])
+    share = (seen + PRIOR * (seen.sum(0) + 0.5) / (texts.sum() + 1)) / (texts + PRIOR)
     odds = np.log(share[1] / share[0])
     odds[FEATURES] = 0
     return odds
 
 
 def worst_windows(docs: list[np.ndarray], labels: np.ndarray, values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The windows to fit next: the worst of each toxic text, the HARDEST of each clean one, and empty windows as clean."""
+    """The windows to fit next: the worst of each toxic text, the HARDEST of each clean one, and empty windows as clean.
+
+    A toxic text whose worst window looks like that of most clean ones says
+    nothing yet about what is toxic, as where its label is wrong, and is left
+    out of the round.
+    """
+    found = [windows(values[d], d) if len(d) else np.zeros(1) for d in docs]
+    worst = np.array([f.max() for f in found])
+    telling = worst > np.quantile(worst[labels == 0], DOUBT)
+    if not telling[labels == 1].any():
+        telling[:] = True
     empty = 1 + len(docs) // 20
     bags, want = [np.zeros(0, np.int32)] * empty, [0.0] * empty
-    for d, label in zip(docs, labels, strict=True):
-        if len(d):
-            chosen = np.argsort(-windows(values[d], d), kind="stable")[: 1 if label else HARDEST]
+    for d, label, sums, tells in zip(docs, labels, found, telling, strict=True):
+        if len(d) and (not label or tells):
+            chosen = np.argsort(-sums, kind="stable")[: 1 if label else HARDEST]
             bags += [np.unique(d[i : i + WINDOW]) for i in chosen]
             want += [label] * len(chosen)
     return bags, np.array(want)
