@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import count_of, listed, overlaps, with_spans
+from .spans import clear_of, count_of, listed, with_spans
 
 #: Kinds in the order in which equal starts are listed.  Possessive forms match
 #: the same spans as the plain ones, without recursion or quadratic scanning.
@@ -89,7 +89,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     base = F.concat(*(_confirmed(k, F.col(f"spans_{k}")) for k in BASE))
     more = F.concat(*(_confirmed(k, F.col(f"spans_{k}")) for k in PATTERNS if k not in BASE))
     found = found.select("doc_id", base.alias("base"), more.alias("more"))
-    added = F.filter("more", lambda s: (s["score"] >= THRESHOLD) & ~overlaps(s, F.col("base")))
+    added = clear_of(F.filter("more", lambda s: s["score"] >= THRESHOLD), F.col("base"))
     return found.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
 
 

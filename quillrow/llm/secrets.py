@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .skew import spread_join
-from .spans import count_of, listed, overlaps, with_spans
+from .spans import clear_of, count_of, listed, with_spans
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in the order in which equal starts are listed; the last is added by ownership.
@@ -82,7 +82,7 @@ def secret_scan(docs: DataFrame, repository_col: str = "doc_id", owner_col: str
     found = with_spans(narrow, "text", PATTERNS)
     base = F.concat(*(_shaped(k, F.col(f"spans_{k}")) for k in BASE))
     found = found.select("doc_id", "repository", "owner", "row", base.alias("base"), _shaped("token", F.col("spans_token")).alias("tokens"))
-    tokens = F.filter("tokens", lambda s: ~overlaps(s, F.col("base")))
+    tokens = clear_of(F.col("tokens"), F.col("base"))
     found = scratch.keep(found.select("doc_id", "repository", "owner", "row", F.concat("base", tokens).alias("spans")), "found")
     occurrences = found.where(F.size("spans") > 0).select("repository", "owner", "row", F.explode("spans").alias("span")).withColumn("hash", F.col("span.hash"))
     judged = spread_join(occurrences, ownership(occurrences), "hash", "row").where("span.kind <> 'token' or verdict <> 'copied'")

@@ -79,8 +79,34 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others.
+
+    The others are sorted by start and cut into about as many blocks as a block
+    has members, so a span is compared with the blocks' bounds and with the
+    members of the few blocks that it touches.
+    """
+
+    def touching(span: Column, start: Column, end: Column) -> Column:
+        return (start < span["end"]) & (span["start"] < end)
+
+    def blocks(ordered: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(ordered).cast("double"))).cast("int")
+        numbers = F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / size).cast("int"))
+        parts = F.transform(numbers, lambda i: F.slice(ordered, i * size + 1, size))
+        return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.array_max(F.transform(p, lambda o: o["end"])).alias("end"), p.alias("members")))
+
+    def kept(cut: Column) -> Column:
+        hit = lambda s: F.exists(cut, lambda b: touching(s, b["start"], b["end"]) & F.exists(b["members"], lambda o: touching(s, o["start"], o["end"])))
+        return F.filter(spans, lambda s: ~hit(s))
+
+    none = (F.size(spans) == 0) | (F.size(others) == 0)
+    return F.when(none, spans).otherwise(_let(_let(F.array_sort(others), blocks), kept))
 
 
 def count_of(spans: Column, field: str, value: str) -> Column:

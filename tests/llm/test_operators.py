@@ -757,6 +757,34 @@ def test_spans_of_dense_texts(spark):
     check_spans(pii.digest_columns(pii.find_personal_data(frame)).collect(), docs, brute_personal, pii.BASE)
 
 
+def test_spans_clear_of_others(spark):
+    from quillrow.llm.spans import clear_of
+
+    rng = random.Random(7)
+    rows = []
+    for n in range(120):
+        both = [[(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60 * (1 + n % 9)) for _ in range(rng.randrange(0, 3 + n)))] for _ in "ab"]
+        rows.append((n, *both))
+    frame = spark.createDataFrame(rows, "n int, a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    found = {r.n: [tuple(x) for x in r.kept] for r in frame.select("n", clear_of(F.col("a"), F.col("b")).alias("kept")).collect()}
+    assert found == {n: [s for s in a if not any(o[0] < s[1] and s[0] < o[1] for o in b)] for n, a, b in rows}
+
+
+def test_many_secrets_in_one_text(spark):
+    """Thousands of spans of every kind in one text, against the same by sets."""
+    rng = random.Random(8)
+    mixed = "ABCdefGHIjkl0123456789"
+    parts = [rng.choice([f"token={''.join(rng.choice(mixed) for _ in range(30))}", "".join(rng.choice(mixed) for _ in range(24)) + "aB3", "0f" * 20, "plain words here"]) for _ in range(6000)]
+    text = " ".join(parts)
+    (row,) = secrets.digest_columns(secrets.secret_scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"))).collect()
+    base = {(a, b) for a, _, b, _ in brute_secrets(text)}
+    covered = [False] * len(text)
+    for a, b in base:
+        covered[a:b] = [True] * (b - a)
+    want = listed(brute_secrets(text) + [(m.start(), 3, m.end(), "token") for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]")) and not any(covered[m.start() : m.end()])])
+    assert row.spans == want and len(want.split(",")) > 3000
+
+
 def test_ownership_decides_added_tokens(spark):
     token = "Ab3dEf6hIj9kLm2nOp5q"
     copied = "Zz3dEf6hIj9kLm2nOp5q"
