@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .held import tidy
+
 #: Bytes of a key, and of a filter block that is merged at a time.
 KEY, BLOCK = 16, 1 << 16
 HASHES = 4
@@ -84,7 +86,7 @@ def twice_filter(keys: DataFrame, bits: int, number: int, slices: int) -> np.nda
 
     # a builder's output is as large as the filters, so there are no more builders than run at once
     builders = max(1, keys.sparkSession.sparkContext.defaultParallelism)
-    blocks = keys.coalesce(builders).mapInArrow(build, "block int, once binary, twice binary")
+    blocks = keys.coalesce(builders).mapInArrow(tidy(build), "block int, once binary, twice binary")
     merged = blocks.groupBy("block").applyInArrow(merge, "block int, twice binary")
     packed = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import sliced
-from .held import LONGEST_KEY, held
+from .held import LONGEST_KEY, held, tidy
 
 #: Code points of a chunk, and how far it reads into the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Matches at the end of a cut chunk that more text could change.
 UNSURE = 2
 #: Pre-tokens remembered in a worker.
-MEMORY = 200_000
+MEMORY = 300_000
 #: Bytes of a pre-token up to which pairs are scanned and not kept in a heap; above every rank.
 SHORT, NEVER = 48, 1 << 60
 
@@ -268,8 +268,8 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = C
         return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "ids": pa.array([ids], pa.binary())})
 
     ddl = "doc_id long, row long, number int, size int, part string, ends array<int>, counts array<int>, ids binary"
-    stitched = cut.mapInArrow(apart, ddl).groupBy("row").applyInArrow(together, "doc_id long, ids binary")
-    return short.mapInArrow(whole, "doc_id long, ids binary").unionByName(stitched)
+    stitched = cut.mapInArrow(tidy(apart, "byte_bpe"), ddl).groupBy("row").applyInArrow(together, "doc_id long, ids binary")
+    return short.mapInArrow(tidy(whole, "byte_bpe"), "doc_id long, ids binary").unionByName(stitched)
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -283,7 +283,7 @@ def decode_corpus(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(decode), "doc_id long, ids binary, decoded binary")
 
 
 def digest_columns(decoded: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+import ctypes
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 
@@ -25,6 +26,31 @@ def held(mark: Hashable, build: Callable[[], object]) -> object:
     return _HELD[mark]
 
 
+def _make_room(mark: Hashable) -> None:
+    for other in [m for m in _HELD if m != mark and not (isinstance(m, tuple) and m[0] == mark)]:
+        del _HELD[other]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterable], Iterator], mark: Hashable = None) -> Callable[[Iterable], Iterator]:
+    """``work`` over a task's batches; what other operators left in the worker goes before, and freed memory goes back to the system after."""
+
+    def run(batches: Iterable) -> Iterator:
+        _make_room(mark)
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 class Remembered(dict):
     """What ``compute`` gives for a word; forgets all when ``most`` words are known."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .batches import sliced
 from .components import components
-from .held import Remembered, held
+from .held import Remembered, held, tidy
 from .scratch import Scratch
 from .skew import spread_join
 
@@ -162,7 +162,7 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
             own = [shingles(t, size) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["shingle"])
 
-    counted = part.select(F.col("text").cast("binary")).mapInArrow(emit, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counted = part.select(F.col("text").cast("binary")).mapInArrow(tidy(emit, "words"), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     top = counted.where(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).collect()
     return np.sort(np.array([r.shingle for r in top], np.int64).view(np.uint64))
 
@@ -183,7 +183,7 @@ def _sets(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), _row_key(), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, ddl)
+    return docs.select(F.monotonically_increasing_id().alias("row"), _row_key(), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(build, "words"), ddl)
 
 
 def _row_key():
@@ -238,7 +238,7 @@ def _members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int)
     asked = classes.join(wanted, "id", "left_semi").select("id", "n", "class_key", "row_key")
     keys = asked.select("row_key").distinct().hint("shuffle_hash")  # the same plan at every size
     texts = docs.select(_row_key(), F.col("text").cast("binary").alias("text")).join(keys, "row_key", "left_semi")
-    found = texts.select("text").mapInArrow(read, "class_key binary, own binary, bits binary").groupBy("class_key").agg(F.first("own").alias("own"), F.first("bits").alias("bits"))
+    found = texts.select("text").mapInArrow(tidy(read, "words"), "class_key binary, own binary, bits binary").groupBy("class_key").agg(F.first("own").alias("own"), F.first("bits").alias("bits"))
     return found.join(asked.select("id", "n", "class_key"), "class_key").select("id", "n", "own", "bits")
 
 
@@ -255,7 +255,7 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
     left, right = (bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     both = spread_join(pairs.join(right, "b"), left, "a", "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(tidy(check), "a long, b long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets = sets.select("id", "own").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
     right = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b"))
-    return spread_join(pairs.join(right, "b"), left, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
+    return spread_join(pairs.join(right, "b"), left, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(tidy(check), "a long, b long")
 
 
 def _groups(members: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def _crossing(groups: DataFrame, bits: DataFrame, percent: int, scratch: Scratch
     large = scratch.keep(spread_join(groups, mixed.where(~fits).select("shingle"), "shingle", "id"), "large")
     large = _dealt(large, percent, scratch).select(columns)
     tiles = small.unionByName(large).join(bits, "id").repartition("tile").sortWithinPartitions("tile", "side", "id")
-    return tiles.select(*columns, "n", "bits").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
+    return tiles.select(*columns, "n", "bits").mapInArrow(tidy(_tile_pairs(percent)), "a long, b long").distinct()
 
 
 def _dealt(groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import sliced
-from .held import Remembered
+from .held import tidy
 from .sampling import sampled_by
-from .subwords import buckets, in_fold, in_process, ngrams, unglued
+from .subwords import in_fold, in_process, unglued
 
 #: Labelled rows of each language that training collects at most, their length in code points, and the words it fits.
 MOST_ROWS, LONGEST_TEXT, MOST_WORDS = 200, 1 << 15, 120_000
@@ -61,15 +61,44 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
 
 def letters(token: str) -> str:
     """A token's letters, empty if it has none."""
+    if token.isalpha():
+        return token.lower()
     return NOT_LETTERS.sub("", token).lower() if LETTER.search(token) else ""
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a word of letters."""
-    names = [f"={word}", *(f"^{word[:n]}" for n in (1, 2, 3)), *(f"{word[-n:]}$" for n in (1, 2, 3)), *ngrams(word, 3, 3)]
-    if word in lexicon:
-        names.append(f"lexicon:{lexicon[word]}")
-    return buckets(names, FEATURES)
+def _hashed(parts: list[np.ndarray], kind: int) -> np.ndarray:
+    """Feature numbers of tuples of code points (columns of equal length) of one kind."""
+    total = np.full(len(parts[0]), kind, np.uint64)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            total = (total ^ p) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(32)
+    return (total & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of words of letters, and where each word's begin: the word, its affixes, trigrams with its bounds, its lexicon."""
+    size = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size + 2) - size - 2
+    owner = np.repeat(np.arange(len(words)), size)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    at = start[owner] + inside  # of each word's places the one before
+    with np.errstate(over="ignore"):
+        whole = np.add.reduceat(codes[at + 1] * (np.uint64(0x100000001B3) ** (inside.astype(np.uint64) + np.uint64(1))), np.cumsum(size) - size)
+    found, owners = [_hashed([whole], 1), _hashed([codes[at], codes[at + 1], codes[at + 2]], 2)], [np.arange(len(words)), owner]
+    none = np.zeros(len(words), np.uint64)
+    first = [np.where(size > i, codes[start + 1 + np.minimum(i, size - 1)], none) for i in range(3)]
+    last = [np.where(size > i, codes[start + size - np.minimum(i, size - 1)], none) for i in range(3)]
+    for n in (1, 2, 3):
+        found += [_hashed(first[:n], 2 * n + 1), _hashed(last[:n], 2 * n + 2)]
+        owners += [np.arange(len(words))] * 2
+    listed = np.array([lexicon.get(w, -1) for w in words], np.int64)
+    found.append(_hashed([listed[listed >= 0].astype(np.uint64)], 9))
+    owners.append(np.flatnonzero(listed >= 0))
+    every = np.concatenate(owners)
+    order = np.argsort(every, kind="stable")
+    return np.concatenate(found)[order], np.searchsorted(every[order], np.arange(len(words)))
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,45 +130,49 @@ class Model:
         self.forget()
 
     def forget(self) -> None:
-        self.known = Remembered(self.place, 1 << 60)
-        self.words = Remembered(self.row_of, 1 << 60)
-        self.table = np.zeros((1 << 12, len(self.labels)), np.float32)
-        self.used = 0
-
-    def place(self, token: str) -> int:
-        """Row of a token's scores, -1 without letters."""
-        word = letters(token)
-        return self.words[word] if word else -1
-
-    def row_of(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = self.weights[features(word, self.lexicon)].sum(0)
-        self.used += 1
-        return self.used - 1
+        #: Row of a token's scores (-1 without letters), and of a word's.
+        self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.labels)), np.float32)
+
+    def learn(self, tokens: set[str]) -> None:
+        """Scores of tokens not met before, all at once."""
+        read = {t: letters(t) for t in tokens}
+        new = [w for w in dict.fromkeys(read.values()) if w and w not in self.words]
+        if new:
+            ids, first = features(new, self.lexicon)
+            self.words.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, np.add.reduceat(self.weights[ids], first).astype(np.float32)])
+        self.known.update((t, self.words[w] if w else -1) for t, w in read.items())
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and mean posterior of each text; a text of any length is read in stretches, and only sums of its words are kept."""
         total, size = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64)
-        group: list[np.ndarray] = []
+        group: list[list[str]] = []
         owners: list[int] = []
         held = 0
         for number, text in enumerate(texts if self.labels else []):
             for part in stretches(text or ""):
-                own = tokens(part)
-                rows = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-                group.append(rows[rows >= 0])
+                group.append(tokens(part))
                 owners.append(number)
-                held += len(own)
+                held += len(group[-1])
                 if held >= GROUP:
-                    self._add(group, owners, total, size)
+                    self._read(group, owners, total, size)
                     group, owners, held = [], [], 0
-                    if len(self.known) > MEMORY:
-                        self.forget()
-        self._add(group, owners, total, size)
+        self._read(group, owners, total, size)
         share = total / np.maximum(size, 1)[:, None]
         return [(self.labels[share[i].argmax()], float(min(1.0, share[i].max()))) if n else (UNKNOWN, 0.0) for i, n in enumerate(size)]
 
+    def _read(self, group: list[list[str]], owners: list[int], total: np.ndarray, size: np.ndarray) -> None:
+        """The stretches' tokens as rows of scores; what is known is forgotten before it grows too large."""
+        new = set().union(*group).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.forget()
+            new = set().union(*group)
+        self.learn(new)
+        rows = [np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)) for own in group]
+        self._add([r[r >= 0] for r in rows], owners, total, size)
+
     def _add(self, group: list[np.ndarray], owners: list[int], total: np.ndarray, size: np.ndarray) -> None:
         """Adds the posteriors of each stretch's words, chain by chain, to its owner's sums."""
         words = np.array([len(g) for g in group], np.int64)
@@ -197,10 +230,8 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     weights, transitions = np.zeros((FEATURES, len(labels))), np.zeros((len(labels), len(labels)))
     if not number:
         return Model(labels, lexicon, weights, transitions)
-    own = [features(w, lexicon) for w in number]
-    table = np.concatenate(own)
-    first = np.concatenate([[0], np.cumsum([len(f) for f in own])[:-1]])
-    spread = np.repeat(np.arange(len(own)), [len(f) for f in own])
+    table, first = features(list(number), lexicon)
+    spread = np.repeat(np.arange(len(number)), np.diff([*first, len(table)]))
     inside = np.arange(at.shape[1]) < lengths[:, None]
     gold = np.eye(len(labels))[want] * inside[:, :, None]
     both = inside[:, 1:]
@@ -212,7 +243,7 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
         scores = np.add.reduceat(weights[table], first)
         posterior, pairs = forward_backward(scores[at], lengths, transitions)
         error = (posterior * inside[:, :, None] - gold)[inside]
-        to_word = np.stack([np.bincount(at[inside], error[:, k], len(own)) for k in range(len(labels))], 1)
+        to_word = np.stack([np.bincount(at[inside], error[:, k], len(number)) for k in range(len(labels))], 1)
         to_weight = np.stack([np.bincount(table, to_word[spread, k], FEATURES) for k in range(len(labels))], 1)
         for value, grad, seen in zip((weights, transitions), (to_weight / total + 1e-6 * weights, (pairs - gold_pairs) / total), square, strict=True):
             seen += grad * grad
@@ -255,4 +286,4 @@ def identify(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, c
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
 
     own = [f for f in rows.schema.fields if carry or f.name != "text"]
-    return rows.mapInArrow(label, T.StructType([*own, T.StructField(names[-2], T.StringType()), T.StructField(names[-1], T.DoubleType())]))
+    return rows.mapInArrow(tidy(label, "language"), T.StructType([*own, T.StructField(names[-2], T.StringType()), T.StructField(names[-1], T.DoubleType())]))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from .batches import sliced
 from .bloom import KEY, contains, filter_shape, of_slice, positions, twice_filter
+from .held import tidy
 from .scratch import Scratch
 from .skew import spread_join
 
@@ -60,7 +61,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["__id", "__mark", "lines"])
 
     texts = docs.select(*_owner(docs), docs["text"].cast("binary").alias("text"))
-    lines = scratch.keep(texts.mapInArrow(digests, "__id long, __mark long, lines binary").where("length(lines) > 0"), "lines")
+    lines = scratch.keep(texts.mapInArrow(tidy(digests), "__id long, __mark long, lines binary").where("length(lines) > 0"), "lines")
     keys = lines.agg(F.sum(F.length("lines") / KEY).cast("long")).first()[0] or 0
     bits, slices = filter_shape(keys)
     suspects = scratch.keep(_suspects(lines, bits, 0, slices), "suspects-0")
@@ -92,7 +93,7 @@ def _suspects(lines: DataFrame, bits: int, number: int, slices: int) -> DataFram
             picked = pa.array([joined[i : i + KEY] for i in range(0, len(joined), KEY)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(owner[hit])) for c in batch.columns[:2]), picked], ["__id", "__mark", "line"])
 
-    return lines.mapInArrow(pick, "__id long, __mark long, line binary")
+    return lines.mapInArrow(tidy(pick), "__id long, __mark long, line binary")
 
 
 def line_dedup(docs: DataFrame, shortest: int = SHORTEST, carry: bool = False) -> DataFrame:
@@ -135,4 +136,4 @@ def line_dedup(docs: DataFrame, shortest: int = SHORTEST, carry: bool = False) -
             yield pa.RecordBatch.from_arrays(out + batch.columns[3:], ["doc_id", "n_lines", "n_dropped", "kept_text"] + batch.schema.names[3:])
 
     schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_text string")
-    return fields.mapInArrow(rewrite, T.StructType(schema.fields + [docs.schema[c] for c in rest]))
+    return fields.mapInArrow(tidy(rewrite), T.StructType(schema.fields + [docs.schema[c] for c in rest]))

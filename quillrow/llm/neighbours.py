@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .held import tidy
 from .hilbert import Curves
 from .sampling import sampled
 from .scratch import Scratch
@@ -82,7 +83,7 @@ def _order(classes: DataFrame, queries: DataFrame, curves: Curves, longest: floa
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number, np.int32)), pa.array(keys), *batch.columns[:2]], ["curve", "key", "role", "id"])
 
     both = classes.select(F.lit(0).alias("role"), "id", "vector").unionByName(queries.select(F.lit(1).alias("role"), "id", "vector"))
-    keyed = both.mapInArrow(place, "curve int, key long, role int, id long")
+    keyed = both.mapInArrow(tidy(place), "curve int, key long, role int, id long")
     ordered = keyed.repartitionByRange("curve", "key", "id", "role").sortWithinPartitions("curve", "key", "id", "role")
     placed = ordered.select("curve", "role", "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     placed = scratch.keep(placed, "placed")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import sliced
-from .held import Remembered
+from .held import Remembered, tidy
 from .sampling import sampled
 from .subwords import GLUE, buckets, in_fold, in_process, ngrams, unglued
 
@@ -39,7 +39,7 @@ CLEAN_SHARE = 0.6
 THRESHOLD = 0.3
 #: Longer words are cut into pieces about as long as a usual word.
 LONGEST_WORD, PIECE = 40, 8
-MEMORY = 200_000
+MEMORY = 400_000
 EDGES = regex.compile(rf"^{GLUE.pattern}|{GLUE.pattern}$")
 
 
@@ -225,5 +225,5 @@ def toxicity(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["doc_id", "held_out", "score"])
 
     rows = docs.select(docs["doc_id"].alias("doc_id"), in_fold(docs["doc_id"], folds, held_out).alias("held_out"), docs["text"].alias("text"))
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(tidy(score, "toxicity"), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

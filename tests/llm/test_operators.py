@@ -369,6 +369,16 @@ def test_language_of_awkward_rows(awkward, empty, spark):
     assert {r.lang_pred for r in language.identify(awkward, language.fit(empty)).collect()} == {"und"}
 
 
+def test_language_features_of_many_words_are_those_of_each():
+    words = ["a", "ab", "abc", "abcd", "straße", "日本語", "x" * 30, "ab"]
+    ids, first = language.features(words, {"abc": 1, "ab": 0})
+    ends = [*first[1:], len(ids)]
+    for w, a, b in zip(words, first, ends, strict=True):
+        assert sorted(ids[a:b]) == sorted(language.features([w], {"abc": 1, "ab": 0})[0])
+        assert b - a == 7 + len(w) + (w in ("ab", "abc"))
+    assert len({int(language.features([w], {})[0][0]) for w in words}) == len(set(words))
+
+
 def test_language_reads_unspaced_text_whole():
     rng = random.Random(8)
     words = {"xx": ["lorem", "ipsum", "dolor", "amet", "elit"], "yy": ["kwik", "zwart", "bjork", "hvad", "fjord"]}
@@ -406,7 +416,7 @@ def brute_posteriors(model, text):
     """Sums over stretches and chains of each word's posterior, word by word in plain Python."""
     total, count = [0.0] * len(model.labels), 0
     for part in language.stretches(text):
-        scores = [model.weights[language.features(w, model.lexicon)].sum(0) for t in language.tokens(part) if (w := language.letters(t))]
+        scores = [model.weights[language.features([w], model.lexicon)[0]].sum(0) for t in language.tokens(part) if (w := language.letters(t))]
         for at in range(0, len(scores), language.CHAIN):
             chain = scores[at : at + language.CHAIN]
             step = np.exp(model.transitions)
