@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import PARTS
 
 #: Weights of the sources in code point order, repeating.
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
@@ -89,7 +90,10 @@ def mix_sources(
         F.monotonically_increasing_id().alias("row"),
         *(docs[c].alias(f"__carry_{i}") for i, c in enumerate(carry)),
     )
-    weighed = narrow.where("doc_id is not null").join(weights, "doc_id", "left").unionByName(narrow.where("doc_id is null").withColumn("weight", F.lit(None).cast("double")))
+    # rows without id find no weight; the second key spreads them over the join's partitions
+    apart = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("row"), F.lit(PARTS))).otherwise(0)
+    keys = {"__id": F.coalesce("doc_id", F.lit(0)), "__apart": apart}
+    weighed = narrow.withColumns(keys).join(weights.select(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__apart"), "weight"), list(keys), "left").drop(*keys)
     drawn = (
         weighed.withColumn("key", -F.log("uniform") / F.coalesce("weight", F.lit(1.0)))
         .withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int"))
