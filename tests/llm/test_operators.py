@@ -486,11 +486,11 @@ def test_forward_backward_against_enumeration():
 # n-gram Jaccard
 
 
-def brute_jaccard(docs):
+def brute_jaccard(docs, size=5, percent=80):
     sets = []
     for _, t in docs:
         w = (t or "").encode().lower().split()
-        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)]))
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]))
     root = list(range(len(docs)))
 
     def find(x):
@@ -501,7 +501,7 @@ def brute_jaccard(docs):
     for a in range(len(docs)):
         for b in range(a):
             shared = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+            if sets[a] and sets[b] and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
                 root[find(a)] = find(b)
     least = {}
     for n, (i, _) in enumerate(docs):
@@ -515,6 +515,20 @@ def test_jaccard(awkward, empty):
     assert jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("size, percent", [(5, 100), (5, 60), (2, 90), (1, 50)])
+def test_jaccard_of_other_sizes_and_bounds(spark, size, percent):
+    rng = random.Random(size * percent)
+    docs = []
+    for i in range(120):
+        base = random.Random(i % 30)
+        own = [f"w{base.randrange(300)}" for _ in range(base.randrange(1, 40))]
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(300)}"
+        docs.append((i, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert table_rows(jaccard_components(frame, size, percent)) == brute_jaccard(docs, size, percent)
+
+
 def test_jaccard_near_copies_and_chains(spark):
     rng = random.Random(9)
     docs, words = [], [f"word{i}" for i in range(400)]
