@@ -466,3 +466,81 @@ def hook_events(spark, sf_dir):
     steps = [FunctionStep("check", check, ["a"], reads=["c_custkey"]), ColumnStep("then", {"b": lambda row, prior: prior["a"]}, depends_on=["check"])]
     Pipeline(steps).run(table(spark, sf_dir, "customer"), hooks=hooks)
     return spark.createDataFrame(list(seen.items()), "event string, n long")
+
+
+# what is refused, with the name that is at fault
+
+_FAULTS = {
+    "graph": "'step ''one'' depends on unknown steps: ' || n_name",
+    "names": "'step names must differ: ' || n_name",
+    "cycle": "'the steps ' || least(n_name, 'MM') || ', ' || greatest(n_name, 'MM') || ' depend on each other in a cycle'",
+    "predicates": "'step ''' || n_name || ''': run_if and skip_if exclude each other'",
+    "sources": "'step ''s'': sources field ''' || n_name || ''' is also a declared field'",
+    "field type": "'unknown field type ''' || n_name || '''; known: String, Number, Boolean, Date, List[String], JSON'",
+    "grounding": "'unknown grounding options: ' || n_name",
+    "csv": "'f.csv lacks the columns Field, Prompt'",
+    "category": "'no category ''' || n_name || '''; there are a'",
+    "on_error": "'on_error must be ''continue'' or ''raise'''",
+    "search size": "'search_context_size is one of low, medium, high'",
+    "columns": "'not among the input''s columns: ' || n_name",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, n_name, {message} AS message FROM nation" for kind, message in _FAULTS.items()))
+def refusals_of_wrong_settings(spark, sf_dir):
+    def csv_file(folder, first, *more):
+        path = os.path.join(folder, "f.csv")
+        with open(path, "w", encoding="utf-8", newline="") as file:
+            csv.writer(file).writerows([first, *more])
+        return path
+
+    one = ColumnStep("one", {"x": F.lit(1)})
+    nations = table(spark, sf_dir, "nation")
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:
+        for name in [r.n_name for r in nations.collect()]:
+            wrong = {
+                "graph": lambda: Pipeline([ColumnStep("one", {}, depends_on=[name])]),
+                "names": lambda: Pipeline([ColumnStep(name, {}), ColumnStep(name, {})]),
+                "cycle": lambda: Pipeline([ColumnStep(name, {}, depends_on=["MM"]), ColumnStep("MM", {}, depends_on=[name])]),
+                "predicates": lambda: ColumnStep(name, {}, run_if=F.lit(True), skip_if=F.lit(True)),
+                "sources": lambda: LLMStep("s", {name: "x"}, grounding=True, sources_field=name),
+                "field type": lambda: to_specs({"a": {"prompt": "x", "type": name}}),
+                "grounding": lambda: LLMStep("s", {"a": "x"}, grounding={name: 1}),
+                "csv": lambda: FieldManager(csv_file(folder, ["Category", name])),
+                "category": lambda: FieldManager(csv_file(folder, ["Category", "Field", "Prompt"], ["a", "b", "c"])).get_category_fields(name),
+                "on_error": lambda: EnrichmentConfig(on_error=name),
+                "search size": lambda: web_search("q", search_context_size=name),
+                "columns": lambda: Pipeline([one]).run(nations, columns=[name]),
+            }
+            for kind, attempt in wrong.items():
+                try:
+                    attempt()
+                    rows.append((kind, name, None))
+                except Exception as refused:
+                    rows.append((kind, name, str(refused).replace(f"{folder}/", "")))
+    return spark.createDataFrame(rows, "kind string, n_name string, message string")
+
+
+@query("SELECT c_mktsegment, count(*) AS n_rows, true AS same, true AS by_rows, true AS by_steps FROM customer GROUP BY c_mktsegment")
+def checkpoint_identity(spark, sf_dir):
+    """A run's fingerprint: the same for the rows in any order, another for other rows, and marks that follow a step's settings."""
+    from .config import EnrichmentConfig as Config
+    from .hooks import EnrichmentHooks as Hooks
+    from .plans.pipeline import _Run
+
+    customers = table(spark, sf_dir, "customer")
+    rows = []
+
+    def run(frame, version="1"):
+        step = FunctionStep("s", lambda ctx: {"a": "x"}, ["a"], cache_version=version, reads=[])
+        return _Run(Pipeline([step]), frame, Config(), Hooks(), "spark", None)
+
+    for segment in [r.c_mktsegment for r in customers.select("c_mktsegment").distinct().collect()]:
+        own = customers.where(F.col("c_mktsegment") == segment)
+        n = own.count()
+        mark = run(own)._fingerprint(n)
+        same = mark == run(own.orderBy(F.desc("c_custkey")))._fingerprint(n)
+        other = mark != run(own.withColumn("c_acctbal", F.col("c_acctbal") + 1))._fingerprint(n)
+        rows.append((segment, n, same, other, run(own)._marks() == run(own)._marks() != run(own, "2")._marks()))
+    return spark.createDataFrame(rows, "c_mktsegment string, n_rows long, same boolean, by_rows boolean, by_steps boolean")
