@@ -405,7 +405,7 @@ def checkpoint_of_other_rows(spark, sf_dir):
     return Pipeline(steps(False)).run(other, config, data_identifier="orders", columns=["o_orderkey"]).data.select("o_orderkey", "doubled", "after")
 
 
-@query("SELECT count(*) AS n_rows, sum(o_custkey * 2) AS total, true AS some_kept, true AS some_made, CAST(0 AS BIGINT) AS wrong FROM orders")
+@query("SELECT count(*) AS n_rows, sum(o_custkey * 2) AS total, true AS all_marked, true AS some_made, CAST(0 AS BIGINT) AS wrong FROM orders")
 def checkpoint_parts(spark, sf_dir):
     """A worker dies inside a level; answers of finished parts carry the first run's mark, all others the second's."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -429,7 +429,7 @@ def checkpoint_parts(spark, sf_dir):
     kept, made = F.count_if(F.col("mark") == "first"), F.count_if(F.col("mark") == "second")
     # parts before the fatal one are kept, if it isn't the first; then nothing is
     wrong = F.count_if((F.col("o_orderkey") == fatal) & (F.col("mark") == "first"))
-    found = done.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doubled").alias("total"), (kept + made == F.count(F.lit(1))).alias("some_kept"), (made > 0).alias("some_made"), wrong.alias("wrong"))
+    found = done.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doubled").alias("total"), (kept + made == F.count(F.lit(1))).alias("all_marked"), (made > 0).alias("some_made"), wrong.alias("wrong"))
     return found
 
 
