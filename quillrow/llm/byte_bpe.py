@@ -56,10 +56,17 @@ class Splitter:
         strict = regex.sub(r"\\p\{[LN]\}(?!\\|\])", lambda m: rf"(?:(?![{YOUNG}]){m[0]})", strict)
         self.strict = regex.compile(strict)
 
+    def _has_young(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")  # the first young code point lies far above, and this tells faster
+        except UnicodeEncodeError:
+            return self.young.search(text) is not None
+        return False
+
     def pieces(self, text: str) -> list[str]:
-        if text.isascii() or not self.young.search(text):
-            return self.usual.findall(text)
-        return self.strict.findall(text)
+        return (self.strict if self._has_young(text) else self.usual).findall(text)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
