@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, pii, secrets, span_sql, toxicity
+from . import byte_bpe, language, lm_scoring, pii, ranked, secrets, span_sql, toxicity, whitening
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .line_dedup import line_dedup
@@ -64,7 +64,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_neighbours, op5_toxicity, op6_jaccard_join, op7_byte_bpe, op8_language, op9_exact_dedup, op10_personal_data)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest_columns(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_line_dedup, op4_neighbours, op5_toxicity, op6_jaccard_join, op7_byte_bpe, op8_language, op9_exact_dedup, op10_personal_data, op11_whitening, op12_lm_scoring, op13_ranked_search)}
 
 ORACLE_SQL = {
     "op1_secret_scan": span_sql.secrets_sql(),
@@ -120,6 +132,33 @@ WITH split AS (
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY row_no, doc_id
+""",
+    "op13_ranked_search": r"""
+WITH words AS (
+    SELECT row_number() OVER () AS row_no, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), docs AS (SELECT row_no, doc_id, CAST(len(terms) AS HUGEINT) AS n, terms FROM words WHERE len(terms) > 0
+), totals AS (SELECT CAST(count(*) AS HUGEINT) AS big_n, CAST(sum(n) AS HUGEINT) AS big_l FROM docs
+), items AS (
+    SELECT row_number() OVER () AS item_no, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), wanted AS (SELECT item_no, item_id, term, count(*) AS times FROM items GROUP BY ALL
+), flat AS (SELECT row_no, doc_id, n, unnest(terms) AS term FROM docs
+), postings AS (
+    SELECT row_no, doc_id, n, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weighed AS (
+    SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS HUGEINT) AS w
+    FROM postings, totals GROUP BY term, big_n
+), scored AS (
+    SELECT item_no, item_id, row_no, doc_id,
+           sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // big_l)))) AS score
+    FROM wanted JOIN postings USING (term) JOIN weighed USING (term), totals GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE place <= 10
 """,
     "op9_exact_dedup": r"""
 WITH normal AS (
