@@ -12,8 +12,8 @@ from .errors import ConfigurationError
 class EnrichmentConfig:
     """Settings of one run.
 
-    ``max_workers`` bounds the rows in flight over the whole cluster; it is
-    divided among the tasks that run at once.  ``checkpoint_interval`` rows of
+    ``max_workers`` bounds the calls in flight over the whole cluster: tasks
+    get a lease from the driver for each, however the rows are partitioned.  ``checkpoint_interval`` rows of
     a level, 0 for all, are stored at a time when checkpoints are on.  A run
     logs at ``log_level`` and draws its progress on a terminal if
     ``enable_progress_bar`` says so.  Checkpoints need an explicit

@@ -95,5 +95,12 @@ def render(template: str, columns: dict[str, Column]) -> Column:
 
 
 def list_cell(cell: Column) -> Column:
-    """A comma-separated cell as an array: trimmed, without empty parts."""
-    return F.filter(F.transform(F.split(cell, ","), lambda x: F.trim(x)), lambda x: x != "")
+    """A cell as an array of texts: a JSON array's elements as they are, else the comma-separated parts, trimmed, without empty ones.
+
+    Elements that are not texts come as their JSON text; a cell that only
+    begins like an array is split at its commas.
+    """
+    parts = F.filter(F.transform(F.split(cell, ","), lambda x: F.trim(x)), lambda x: x != "")
+    plain = F.trim(cell)
+    whole = F.when(plain.startswith("["), F.try_variant_get(F.try_parse_json(plain), "$", "array<variant>"))
+    return F.coalesce(F.transform(whole, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("null"))), parts)

@@ -12,6 +12,7 @@ from ..clients.base import LLMAPIError, LLMResponse
 from ..errors import FieldValidationError, PipelineError, StepError
 from ..functions.answers import parse, response_schema
 from ..functions.prompts import USER_TURN, Prompt, correction
+from ..plans.budget import current_gate
 from ..records import GroundingConfig, StepContext, StepResult, UsageInfo
 from ..spec import canonical_json, to_specs
 from .steps import PythonStep, one_predicate
@@ -125,6 +126,8 @@ class LLMStep(PythonStep):
                 if attempt == attempts:
                     raise StepError(f"the model can't be reached: {failure}", self.name) from failure
                 wait = max(base * 2**attempt, failure.retry_after or 0.0)
+                if failure.retry_after and (gate := current_gate.get()):
+                    gate.pause(failure.retry_after)  # the service asks all tasks, not only this row
                 await asyncio.sleep(wait * (1 + random.random() / 4))
         raise AssertionError
 

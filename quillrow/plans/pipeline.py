@@ -18,7 +18,7 @@ from functools import cached_property
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,9 +32,10 @@ from ..records import CostSummary, StepUsage
 from ..sources.cache import CacheManager
 from ..sources.checkpoints import CheckpointData, CheckpointManager
 from ..spec import canonical_json
+from .budget import BudgetService
 from .graph import last_writers, levels
-from .skew import spread_join
-from .storage import shared_root, stored
+from .skew import spread_join, spread_left_join
+from .storage import Files, shared_root, stored
 from .worker import StepPlan, level_function
 
 log = logging.getLogger("quillrow")
@@ -178,10 +179,44 @@ class _Run:
         self.frame = frame if ROW in frame.columns else frame.withColumn(ROW, F.monotonically_increasing_id())
         self.input_schema = frame.drop(ROW).schema
         self.identifier = identifier
-        self.place = f"{shared_root(self.spark)}/quillrow/run-{uuid.uuid4().hex}"
+        self.name = f"run-{uuid.uuid4().hex}"
+        self.place = f"{shared_root(self.spark)}/quillrow/{self.name}"
         self.cache = CacheManager(self.spark, config.cache_dir, config.cache_ttl) if config.enable_caching else None
         self.watching = any(vars(hooks).values())
         self.persisted: list[DataFrame] = []
+        self.files = Files(self.spark)
+        #: Counters of steps that were observed while their level was stored.
+        self.counted: dict[str, Any] = {}
+
+    def close(self) -> None:
+        """Frees what the run keeps in memory and in the shared folder."""
+        for frame in self.persisted:
+            frame.unpersist()
+        self.persisted = []
+        self.files.delete(self.place)
+
+    def _store(self, frame: DataFrame, number: int, steps: list[Any]) -> DataFrame:
+        """A level's frame in the run's folder, its counters taken while it is written; earlier levels go."""
+        name = f"level-{number}"
+        self.files.delete_on_exit(self.place)
+        frame = self._observed(frame, steps, lambda f: stored(f, f"{self.place}/{name}"))
+        for other in self.files.names(self.place):
+            if other != name:
+                self.files.delete(f"{self.place}/{other}")
+        for earlier in self.persisted:
+            earlier.unpersist()
+        self.persisted = []
+        return frame
+
+    def _observed(self, frame: DataFrame, steps: list[Any], store: Any) -> DataFrame:
+        if not steps:
+            return store(frame)
+        seen = Observation(f"level of {', '.join(s.name for s in steps)}")
+        frame = store(frame.observe(seen, F.struct(*(usage_column(s, self.config.enable_caching) for s in steps)).alias("all")))
+        found = seen.get.get("all")
+        if found:  # an empty input's plan may have lost the node
+            self.counted |= {s.name: found[s.name] for s in steps}
+        return frame
 
     def execute(self) -> PipelineResult:
         began = time.time()
@@ -194,14 +229,15 @@ class _Run:
         try:
             result = self._levels(count)
             return result
-        except StepError:
-            failed = 1
+        except Exception as problem:
+            failed = int(isinstance(problem, StepError))
+            self.close()
             raise
         finally:
             log.setLevel(before)
             if self.watching:
                 cost = result.cost if result else CostSummary()
-                errors = result.errors.count() if result else failed
+                errors = result.error_count if result else failed
                 self.hooks.fire("on_pipeline_end", PipelineEndEvent(count, errors, cost, time.time() - began))
 
     def _marks(self) -> dict[str, str]:
@@ -247,10 +283,10 @@ class _Run:
             else:
                 self.frame = self._pruned(self._level_frame(self.frame, todo), all_levels[number + 1 :])
                 if manager and not last:
-                    self.frame = manager.store(run, number, self.frame)
+                    self.frame = self._observed(self.frame, todo, lambda f: manager.store(run, number, f))
                 elif manager or any(s.external or self.cache and s.cache for s in python):
                     # never persisted beside a cache: appending to the cache would make Spark recompute what was read from it
-                    self.frame = stored(self.frame, f"{self.place}/level-{number}")
+                    self.frame = self._store(self.frame, number, todo)
                 elif python:
                     self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
                     self.persisted.append(self.frame)
@@ -265,7 +301,7 @@ class _Run:
         self.spark.sparkContext.setJobDescription(None)
         if manager:
             if self.config.checkpoint_interval and python:  # the last level's frame lies among the checkpoints
-                self.frame = stored(self.frame, f"{self.place}/level-{number}")
+                self.frame = self._store(self.frame, number, [])
             manager.cleanup(run)
         self._progress(len(all_levels), all_levels)
         return PipelineResult(self)
@@ -377,8 +413,9 @@ class _Run:
             frame = frame.withColumn(verdict, self._verdict(step))
         if self.cache and step.cache:
             key, hit = f"__k_{step.name}", f"__h_{step.name}"
-            known = self.cache.entries(step.name).select(F.col("key").alias(key), F.col("value").alias(hit))
-            frame = frame.withColumn(key, self._key(frame, step)).join(known, key, "left")
+            frame = frame.withColumn(key, self._key(frame, step))
+            known = self.cache.entries(step.name, keys=frame.select(key)).select(F.col("key").alias(key), F.col("value").alias(hit))
+            frame = spread_left_join(frame, known, key, ROW)
         reads = step.reads if step.reads is not None else self.inputs
         prior = [(output(d), self.pipeline.get_step(d).fields) for d in step.depends_on]
         specs = {n: s.as_dict() for n, s in step.specs.items() if not n.startswith("__")}
@@ -400,15 +437,12 @@ class _Run:
 
     def _mapped(self, frame: DataFrame, plans: list[StepPlan]) -> DataFrame:
         """Adds the outputs of a level by one Arrow function of the columns that its steps read; the others stay in the JVM."""
-        slots = max(1, self.spark.sparkContext.defaultParallelism)
-        if any(p.step.external for p in plans) and self.config.max_workers < slots:
-            frame = frame.repartition(self.config.max_workers)  # a shuffle, so that what lies below keeps its tasks
-        in_flight = max(1, self.config.max_workers // slots)
+        budget = BudgetService.of(self.spark).budget(self.name, self.config.max_workers)
         helpers = [n for p in plans for n in (p.verdict, p.hit) if n]
         needed = [*dict.fromkeys([*(c for p in plans for c in p.reads), *(n for p in plans for n, _ in p.prior)]), *helpers]
         given = F.struct(*(F.col(quoted(c)) for c in needed)) if needed else F.struct(F.lit(True).alias("__none"))
         kind = T.StructType([T.StructField(p.output, record_type(p.step)) for p in plans])
-        level = F.arrow_udf(level_function(plans, self.config, in_flight), kind).asNondeterministic()
+        level = F.arrow_udf(level_function(plans, self.config, budget), kind).asNondeterministic()
         kept = [F.col(quoted(c)) for c in frame.columns if c not in helpers]
         return frame.select(*kept, level(given).alias("__level")).select(*kept, *(F.col(quoted("__level", p.output)).alias(p.output) for p in plans))
 
@@ -433,6 +467,8 @@ class _Run:
         return frame.drop(*(f"__k_{s.name}" for s in steps))
 
     def _raise_first(self, steps: list[PythonStep]) -> None:
+        if all(s.name in self.counted and not self.counted[s.name].failed for s in steps):
+            return
         first = errors_of(self.frame, [s.name for s in steps]).orderBy("row_id", "step_name").first()
         if first:
             raise StepError(f"{first.error_type}: {first.message}", first.step_name, first.row_id)
@@ -440,15 +476,22 @@ class _Run:
     def _level_events(self, steps: list[Any], count: int, seconds: float) -> None:
         if not self.watching:
             return
-        usage = step_usage(self.frame, steps, self.config.enable_caching)
+        counted = self.counters(steps)
+        usage = usage_of(counted, self.config.enable_caching)
         for s in steps:
             out = F.col(quoted(output(s.name)))
             if self.hooks.on_row_complete:
                 for r in self.frame.select(ROW, out["values"].alias("v"), out["error"].alias("e"), out["from_cache"].alias("c")).orderBy(ROW).toLocalIterator():
                     values = r.v.asDict(True) if r.v else dict.fromkeys(s.fields)
                     self.hooks.fire("on_row_complete", RowCompleteEvent(s.name, r[ROW], values, r.e.message if r.e else None, r.c))
-            failed = errors_of(self.frame, [s.name]).count()
-            self.hooks.fire("on_step_end", StepEndEvent(s.name, count, failed, usage.get(s.name), seconds))
+            self.hooks.fire("on_step_end", StepEndEvent(s.name, count, counted[s.name].failed, usage.get(s.name), seconds))
+
+    def counters(self, steps: list[Any]) -> dict[str, Any]:
+        """Each step's counters: those observed, the others by one aggregate over the frame."""
+        if missing := [s for s in steps if s.name not in self.counted]:
+            found = self.frame.agg(F.struct(*(usage_column(s, self.config.enable_caching) for s in missing)).alias("all")).first()["all"]
+            self.counted |= {s.name: found[s.name] for s in missing}
+        return {s.name: self.counted[s.name] for s in steps}
 
 
 def errors_of(frame: DataFrame, names: list[str]) -> DataFrame:
@@ -458,26 +501,27 @@ def errors_of(frame: DataFrame, names: list[str]) -> DataFrame:
     return found.select("row_id", "x.step_name", F.col("x.error.type").alias("error_type"), F.col("x.error.message").alias("message"))
 
 
-def step_usage(frame: DataFrame, steps: list[Any], caching: bool) -> dict[str, StepUsage]:
-    """Token sums and counters of each step, by one aggregate; steps without any are left out."""
-    parts = []
-    for s in steps:
-        out = F.col(quoted(output(s.name)))
-        usage = out["usage"]
-        fresh = ~out["skipped"] & out["error"].isNull() & ~out["from_cache"] & F.lit(bool(caching and s.cache))
-        sums = [F.coalesce(F.sum(usage[k]), F.lit(0)).alias(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")]
-        counts = [
-            F.count_if(usage.isNotNull()).alias("used"), F.count_if(out["skipped"]).alias("skipped"), F.count_if(out["from_cache"]).alias("hits"),
-            F.count_if(fresh).alias("misses"), F.min_by(usage["model"], F.when(usage["model"].isNotNull(), F.col(ROW))).alias("model"),
-        ]
-        parts.append(F.struct(*sums, *counts).alias(s.name))
-    found = frame.agg(F.struct(*parts).alias("all")).first()["all"]
+def usage_column(step: Any, caching: bool) -> Column:
+    """Token sums and counters of a step, as one aggregate named after it."""
+    out = F.col(quoted(output(step.name)))
+    usage = out["usage"]
+    fresh = ~out["skipped"] & out["error"].isNull() & ~out["from_cache"] & F.lit(bool(caching and step.cache))
+    sums = [F.coalesce(F.sum(usage[k]), F.lit(0)).alias(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    counts = [
+        F.count_if(usage.isNotNull()).alias("used"), F.count_if(out["skipped"]).alias("skipped"), F.count_if(out["from_cache"]).alias("hits"),
+        F.count_if(fresh).alias("misses"), F.count_if(out["error"].isNotNull()).alias("failed"),
+        F.min_by(usage["model"], F.when(usage["model"].isNotNull(), F.col(ROW))).alias("model"),
+    ]
+    return F.struct(*sums, *counts).alias(step.name)
+
+
+def usage_of(counters: dict[str, Any], caching: bool) -> dict[str, StepUsage]:
+    """Reports of the steps that used, skipped or looked up anything."""
     report = {}
-    for s in steps:
-        r = found[s.name]
+    for name, r in counters.items():
         if r.used or r.skipped or r.hits or r.misses:
             processed = r.hits + r.misses if caching else r.used
-            report[s.name] = StepUsage(r.prompt_tokens, r.completion_tokens, r.total_tokens, processed, r.skipped, r.model, r.hits, r.misses)
+            report[name] = StepUsage(r.prompt_tokens, r.completion_tokens, r.total_tokens, processed, r.skipped, r.model, r.hits, r.misses)
     return report
 
 
@@ -534,9 +578,9 @@ class PipelineResult:
         return errors_of(self._run.frame, self._run.pipeline.step_names)
 
     def close(self) -> None:
-        """Frees what the run keeps in memory; the data must not be read any more."""
-        for frame in self._run.persisted if self._run else ():
-            frame.unpersist()
+        """Frees what the run keeps in memory and in the shared folder; the data must not be read any more."""
+        if self._run:
+            self._run.close()
 
     def row_errors(self) -> list[RowError]:
         return [RowError(r.row_id, r.step_name, r.message, r.error_type) for r in self.errors.orderBy("row_id", "step_name").collect()]
@@ -546,10 +590,18 @@ class PipelineResult:
         if self._run is None:
             return CostSummary()
         run = self._run
-        steps = step_usage(run.frame, [run.pipeline.get_step(n) for n in run.pipeline.step_names], run.config.enable_caching)
+        steps = usage_of(run.counters([run.pipeline.get_step(n) for n in run.pipeline.step_names]), run.config.enable_caching)
         total = [sum(getattr(u, k) for u in steps.values()) for k in ("prompt_tokens", "completion_tokens", "total_tokens")]
         return CostSummary(*total, steps)
 
+    @property
+    def error_count(self) -> int:
+        """Errors of all rows and steps."""
+        if self._run is None:
+            return 0
+        pipeline = self._run.pipeline
+        return sum(c.failed for c in self._run.counters([pipeline.get_step(n) for n in pipeline.step_names]).values())
+
     @cached_property
     def _counts(self) -> tuple[int, int, int]:
         """Rows, errors, rows with an error."""

@@ -20,3 +20,10 @@ def spread_join(rows: DataFrame, summary: DataFrame, key: str | list[str], by: s
     dealt = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
     placed = dealt.select(*keys, "__part").distinct().join(summary, keys)
     return dealt.join(placed, [*keys, "__part"]).drop("__part")
+
+
+def spread_left_join(rows: DataFrame, summary: DataFrame, key: str, by: str) -> DataFrame:
+    """As ``spread_join``, but rows whose key the summary lacks stay, with nulls."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    placed = dealt.select(key, "__part").distinct().join(summary, key)
+    return dealt.join(placed, [key, "__part"], "left").drop("__part")

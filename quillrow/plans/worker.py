@@ -6,6 +6,7 @@ import asyncio
 import inspect
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 from ..functions.answers import to_column
 from ..operators.steps import PythonStep
 from ..records import StepContext
+from .budget import Budget, Gate, current_gate
 
 #: Rows whose Python objects live at the same time.
 ROWS = 1024
@@ -49,7 +51,18 @@ async def _wanted(step: PythonStep, row: dict, prior: dict, verdict: bool | None
     return True
 
 
-async def _one(plan: StepPlan, row: dict, prior: dict, verdict: bool | None, hit: str | None, config: Any) -> dict[str, Any]:
+async def _called(plan: StepPlan, context: StepContext, gate: Gate | None) -> Any:
+    """The step's answer, given while this task holds a lease of the run's call budget."""
+    if gate is None:
+        return await plan.step.run(context)
+    lease = await gate.take()
+    try:
+        return await plan.step.run(context)
+    finally:
+        gate.give(lease)
+
+
+async def _one(plan: StepPlan, row: dict, prior: dict, verdict: bool | None, hit: str | None, config: Any, gate: Gate | None = None) -> dict[str, Any]:
     """A row's output record; whatever the step raises becomes its error."""
     out = {"values": None, "error": None, "skipped": False, "from_cache": False, "usage": None}
     try:
@@ -58,7 +71,7 @@ async def _one(plan: StepPlan, row: dict, prior: dict, verdict: bool | None, hit
         elif hit is not None:
             out |= {"values": _typed(plan.step, json.loads(hit)), "from_cache": True}
         else:
-            result = await plan.step.run(StepContext(row, plan.fields, prior, config))
+            result = await _called(plan, StepContext(row, plan.fields, prior, config), gate)
             out["values"] = _typed(plan.step, result.values)
             out["usage"] = vars(result.usage) if result.usage else None
     except Exception as problem:
@@ -81,8 +94,8 @@ def _waits(step: PythonStep) -> bool:
     return not plain or any(inspect.iscoroutinefunction(p) for p in (step.run_if, step.skip_if))
 
 
-def level_function(plans: list[StepPlan], config: Any, in_flight: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
-    """All steps of a level in one pass, at most ``in_flight`` rows waiting at a time.
+def level_function(plans: list[StepPlan], config: Any, budget: Budget | None) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """All steps of a level in one pass; calls that wait do so under the run's budget.
 
     Takes structs of the columns that the steps read and gives structs of their
     outputs, so that other columns stay in the JVM.
@@ -91,8 +104,12 @@ def level_function(plans: list[StepPlan], config: Any, in_flight: int) -> Callab
     def work(structs: Iterator[pa.Array]) -> Iterator[pa.Array]:
         waiting = [p for p in plans if _waits(p.step)]
         loop = asyncio.new_event_loop() if waiting else None
+        gate = Gate(budget) if waiting and budget else None
         kind = pa.struct([pa.field(p.output, p.kind) for p in plans])
         try:
+            if gate:
+                loop.set_default_executor(ThreadPoolExecutor(budget.limit))  # plain external calls wait in threads
+                loop.run_until_complete(gate.open())
             for whole in structs:
                 done = []
                 for start in range(0, len(whole), ROWS):
@@ -103,11 +120,14 @@ def level_function(plans: list[StepPlan], config: Any, in_flight: int) -> Callab
                         if p not in waiting:
                             found[p.output] = [_now(_one(p, *job, config)) for job in jobs[p.output]]
                     if waiting:
-                        found |= loop.run_until_complete(_together(waiting, jobs, config, in_flight))
+                        found |= loop.run_until_complete(_together(waiting, jobs, config, gate))
                     done.append(pa.StructArray.from_arrays([pa.array(found[p.output], p.kind) for p in plans], fields=list(kind)))
                 yield pa.concat_arrays(done) if done else pa.array([], kind)
         finally:
+            if gate and gate.writer:
+                gate.close()
             if loop:
+                loop.run_until_complete(asyncio.sleep(0))  # lets what was closed end
                 loop.close()
 
     return work
@@ -127,12 +147,10 @@ def _inputs(plan: StepPlan, batch: pa.RecordBatch) -> Iterator[tuple]:
         yield row, prior, verdicts[i], hits[i]
 
 
-async def _together(plans: list[StepPlan], jobs: dict[str, list], config: Any, in_flight: int) -> dict[str, list]:
-    gate = asyncio.Semaphore(in_flight)
-
-    async def gated(plan: StepPlan, job: tuple) -> dict[str, Any]:
-        async with gate:
-            return await _one(plan, *job, config)
-
-    tasks = [asyncio.gather(*(gated(p, job) for job in jobs[p.output])) for p in plans]
-    return {p.output: list(done) for p, done in zip(plans, await asyncio.gather(*tasks), strict=True)}
+async def _together(plans: list[StepPlan], jobs: dict[str, list], config: Any, gate: Gate | None) -> dict[str, list]:
+    current_gate.set(gate)
+    tasks = [asyncio.gather(*(_one(p, *job, config, gate) for job in jobs[p.output])) for p in plans]
+    done = await asyncio.gather(*tasks)
+    if gate:
+        await gate.settle()
+    return {p.output: list(found) for p, found in zip(plans, done, strict=True)}

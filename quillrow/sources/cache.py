@@ -1,20 +1,29 @@
-"""The result cache: append-only Parquet below one folder per step.
+"""The result cache: append-only Parquet, one folder per step and generation, cut into buckets of keys.
 
 Rows are appended by the driver's plan after a level is stored, never by
-workers; the newest entry of a key counts.  A lookup is a left join on the
-content hash, so it scales with the cluster and not with a lock.
+workers; the newest entry of a key counts.  A lookup reads the buckets that the
+keys asked for fall into, and no others.  Compaction writes the live entries as
+the next generation; a generation counts from its success marker on, so a job
+lost on the way leaves the one before in place.
 """
 
 from __future__ import annotations
 
 import time
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import Files, shared_root
 
 SCHEMA = "key string, value string, created_at double, expires_at double"
+#: Folders that a step's entries are dealt to by their keys; a lookup brings so many numbers to the driver at most.
+BUCKETS = 256
+
+
+def bucket_of(key: Column) -> Column:
+    return (F.crc32(key.cast("binary")) % BUCKETS).cast("int")
 
 
 class CacheManager:
@@ -27,12 +36,28 @@ class CacheManager:
     def _path(self, step: str) -> str:
         return f"{self.root}/step={step}"
 
-    def entries(self, step: str, now: float | None = None) -> DataFrame:
-        """key, value of the live entries of a step, one a key."""
-        if not self.files.exists(self._path(step)):
-            return self.spark.createDataFrame([], SCHEMA).select("key", "value")
+    def _generations(self, step: str) -> list[int]:
+        """Finished generations, the newest last."""
+        found = [int(n.removeprefix("gen-")) for n in self.files.names(self._path(step)) if n.startswith("gen-")]
+        return sorted(g for g in found if self.files.exists(f"{self._path(step)}/gen-{g}/_SUCCESS"))
+
+    def table(self, step: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """All entries of a step as they were written, or only those in some buckets; None if there are none."""
+        if not (found := self._generations(step)):
+            return None
+        stored = self.spark.read.schema(SCHEMA + ", bucket int").parquet(f"{self._path(step)}/gen-{found[-1]}")
+        return stored if buckets is None else stored.where(F.col("bucket").isin(buckets))
+
+    def entries(self, step: str, now: float | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """key, value of the live entries of a step, one a key; of those only that ``keys`` (one column) may need, if given."""
+        buckets = None
+        if keys is not None and self._generations(step):
+            buckets = [r[0] for r in keys.select(bucket_of(F.col(keys.columns[0]))).distinct().collect()]
+        stored = self.table(step, buckets)
+        if stored is None:
+            return self.spark.createDataFrame([], "key string, value string")
         now = time.time() if now is None else now
-        live = self.spark.read.schema(SCHEMA).parquet(self._path(step)).where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
+        live = stored.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
         return live.groupBy("key").agg(F.max_by("value", "created_at").alias("value"))
 
     def append(self, step: str, rows: DataFrame, now: float | None = None) -> None:
@@ -40,20 +65,27 @@ class CacheManager:
         now = time.time() if now is None else now
         until = F.lit(now + self.ttl if self.ttl else None).cast("double")
         one = rows.groupBy("key").agg(F.min("value").alias("value"))
-        one.select("key", "value", F.lit(now).alias("created_at"), until.alias("expires_at")).write.mode("append").parquet(self._path(step))
+        self._write(step, (self._generations(step) or [0])[-1], one.select("key", "value", F.lit(now).alias("created_at"), until.alias("expires_at")), "append")
+
+    def _write(self, step: str, generation: int, rows: DataFrame, mode: str) -> None:
+        # whole buckets together, so that each gets few files, but a large one may be split
+        dealt = rows.withColumn("bucket", bucket_of(F.col("key"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "key")
+        dealt.write.mode(mode).partitionBy("bucket").parquet(f"{self._path(step)}/gen-{generation}")
 
     def get(self, step: str, key: str) -> str | None:
-        found = self.entries(step).where(F.col("key") == key).first()
-        return found.value if found else None
+        stored = self.table(step, [zlib.crc32(key.encode()) % BUCKETS])
+        if stored is None:
+            return None
+        live = stored.where((F.col("key") == key) & (F.col("expires_at").isNull() | (F.col("expires_at") >= time.time())))
+        return live.agg(F.max_by("value", "created_at")).first()[0]
 
     def set(self, step: str, key: str, value: str) -> None:
         self.append(step, self.spark.createDataFrame([(key, value)], "key string, value string"))
 
     def delete_step(self, step: str) -> int:
         """Number of keys deleted."""
-        if not self.files.exists(self._path(step)):
-            return 0
-        count = self.spark.read.schema(SCHEMA).parquet(self._path(step)).select("key").distinct().count()
+        stored = self.table(step)
+        count = stored.select("key").distinct().count() if stored is not None else 0
         self.files.delete(self._path(step))
         return count
 
@@ -64,18 +96,25 @@ class CacheManager:
         return sum(self.delete_step(s) for s in self.steps())
 
     def cleanup_expired(self, now: float | None = None) -> int:
-        """Rewrite each step's table with its live entries; number of entries removed."""
+        """Compacts the steps that hold expired entries; number of entries that had expired."""
         now = time.time() if now is None else now
         removed = 0
         for step in self.steps():
-            table = self.spark.read.schema(SCHEMA).parquet(self._path(step))
-            expired = table.where(F.col("expires_at") < now).count()
+            stored = self.table(step)
+            expired = stored.where(F.col("expires_at") < now).count() if stored is not None else 0
             if expired:
-                table.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now)).write.mode("overwrite").parquet(f"{self.root}/rewritten={step}")
-                self.spark.read.schema(SCHEMA).parquet(f"{self.root}/rewritten={step}").write.mode("overwrite").parquet(self._path(step))
-                self.files.delete(f"{self.root}/rewritten={step}")
+                self.compact(step, now)
                 removed += expired
         return removed
 
-    def close(self) -> None:
-        """Nothing is held open."""
+    def compact(self, step: str, now: float | None = None) -> None:
+        """Writes the newest live entry of each key as the next generation, in few files; older generations go after."""
+        now = time.time() if now is None else now
+        found = self._generations(step)
+        if not found:
+            return
+        live = self.table(step).where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
+        newest = live.groupBy("key").agg(F.max_by(F.struct("value", "created_at", "expires_at"), "created_at").alias("e")).select("key", "e.*")
+        self._write(step, found[-1] + 1, newest, "overwrite")
+        for g in found:
+            self.files.delete(f"{self._path(step)}/gen-{g}")

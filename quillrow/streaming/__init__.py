@@ -18,12 +18,17 @@ def enrich_stream(
     """Run the pipeline over every micro-batch and hand its result to ``sink(result, batch_id)``.
 
     Python levels are stored per batch like in a batch run, so a sink may read
-    data, errors and cost without repeating calls.  A batch that is replayed
+    data, errors and cost without repeating calls, but not after it returns:
+    what the batch kept in memory and in the shared folder then goes.  A batch that is replayed
     after a failure has the same id; with caching its answers are reused.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(pipeline.run(batch, config), number)
+        result = pipeline.run(batch, config)
+        try:
+            sink(result, number)
+        finally:
+            result.close()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
