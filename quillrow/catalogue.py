@@ -21,13 +21,16 @@ from .spec import to_specs
 
 QUERIES: dict[str, Any] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries of what the driver does before or after a run; the tests run them, but they are no work for a cluster.
+DRIVER_QUERIES: dict[str, Any] = {}
+DRIVER_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, on_driver: bool = False):
     def register(f):
-        QUERIES[f.__name__] = f
+        (DRIVER_QUERIES if on_driver else QUERIES)[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            (DRIVER_SQL if on_driver else ORACLE_SQL)[f.__name__] = sql
         return f
 
     return register
@@ -420,7 +423,7 @@ def cost_rollup(spark, sf_dir):
 
 
 @query("""SELECT * FROM (VALUES ('size', 'Measure it' || chr(10) || 'Be brief', 'Number', NULL, 0, '0'), ('level', 'Pick one', 'String', 'Low', 3, NULL),
-       ('news', 'Find news', 'String', NULL, 0, NULL)) AS t(name, prompt, kind, first_option, n_options, fallback)""")
+       ('news', 'Find news', 'String', NULL, 0, NULL)) AS t(name, prompt, kind, first_option, n_options, fallback)""", on_driver=True)
 def field_csv(spark, sf_dir):
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "fields.csv")

@@ -25,7 +25,7 @@ from .spec import canonical_json, to_specs
 # sources, graph, runner
 
 
-@query("SELECT n_nationkey, upper(n_name) AS loud, CAST(row_number() OVER (ORDER BY n_nationkey DESC) AS BIGINT) AS place FROM nation")
+@query("SELECT n_nationkey, upper(n_name) AS loud, CAST(row_number() OVER (ORDER BY n_nationkey DESC) AS BIGINT) AS place FROM nation", on_driver=True)
 def list_source_and_sink(spark, sf_dir):
     rows = [r.asDict() for r in table(spark, sf_dir, "nation").orderBy(F.desc("n_nationkey")).collect()]
     done = Pipeline([ColumnStep("loud", {"loud": lambda row, prior: F.upper(row["n_name"])})]).run(rows, spark=spark).data
@@ -34,7 +34,7 @@ def list_source_and_sink(spark, sf_dir):
 
 @query("""SELECT r_name AS category, n_name AS field, 'Describe ' || n_name || chr(10) || 'Key ' || n_nationkey AS prompt,
        CASE WHEN n_nationkey % 2 = 0 THEN 'Number' ELSE 'String' END AS kind, count(*) OVER (PARTITION BY r_name) AS n_fields
-FROM nation JOIN region ON n_regionkey = r_regionkey""")
+FROM nation JOIN region ON n_regionkey = r_regionkey""", on_driver=True)
 def field_categories(spark, sf_dir):
     both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     with tempfile.TemporaryDirectory() as folder:
@@ -49,7 +49,7 @@ def field_categories(spark, sf_dir):
 
 
 @query("""SELECT r_name AS step, CAST(0 AS BIGINT) AS level, true AS known FROM region
-UNION ALL SELECT n_name, 1, true FROM nation UNION ALL SELECT 'end', 2, true""")
+UNION ALL SELECT n_name, 1, true FROM nation UNION ALL SELECT 'end', 2, true""", on_driver=True)
 def graph_levels(spark, sf_dir):
     regions = {r.r_regionkey: f"{r.r_name}" for r in table(spark, sf_dir, "region").collect()}
     nations = table(spark, sf_dir, "nation").collect()
@@ -163,7 +163,7 @@ def prompt_replaced_with_prior(spark, sf_dir):
 
 
 @query("""SELECT p_brand AS field, 'About ' || p_brand || '. Format: ' || n || ' parts. Examples: x; ' || p_brand AS description, CASE WHEN n % 2 = 0 THEN 'number' ELSE 'string' END AS kind,
-       true AS required, false AS more FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)""")
+       true AS required, false AS more FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)""", on_driver=True)
 def answer_schema(spark, sf_dir):
     brands = {r.p_brand: r["count"] for r in table(spark, sf_dir, "part").groupBy("p_brand").count().collect()}
     fields = {b: {"prompt": f"About {b}", "format": f"{n} parts", "examples": ["x", b], "type": "String" if n % 2 else "Number"} for b, n in brands.items()}
@@ -437,7 +437,7 @@ def checkpoint_parts(spark, sf_dir):
 
 
 @query("""SELECT event, n FROM (SELECT count(*) AS c, count(*) FILTER (WHERE c_custkey % 7 = 0) AS bad FROM customer),
-    LATERAL (VALUES ('pipeline start', c), ('step start', 2 * c), ('row', 2 * c), ('row error', bad), ('step end errors', bad), ('pipeline end errors', bad), ('failed hook', 1)) AS e(event, n)""")
+    LATERAL (VALUES ('pipeline start', c), ('step start', 2 * c), ('row', 2 * c), ('row error', bad), ('step end errors', bad), ('pipeline end errors', bad), ('failed hook', 1)) AS e(event, n)""", on_driver=True)
 def hook_events(spark, sf_dir):
     seen: dict[str, int] = {}
 
@@ -486,7 +486,7 @@ _FAULTS = {
 }
 
 
-@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, n_name, {message} AS message FROM nation" for kind, message in _FAULTS.items()))
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, n_name, {message} AS message FROM nation" for kind, message in _FAULTS.items()), on_driver=True)
 def refusals_of_wrong_settings(spark, sf_dir):
     def csv_file(folder, first, *more):
         path = os.path.join(folder, "f.csv")

@@ -19,7 +19,7 @@ from ..plans.storage import Files, shared_root
 
 SCHEMA = "key string, value string, created_at double, expires_at double"
 #: Folders that a step's entries are dealt to by their keys; a lookup brings so many numbers to the driver at most.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket_of(key: Column) -> Column:
@@ -48,11 +48,15 @@ class CacheManager:
         stored = self.spark.read.schema(SCHEMA + ", bucket int").parquet(f"{self._path(step)}/gen-{found[-1]}")
         return stored if buckets is None else stored.where(F.col("bucket").isin(buckets))
 
+    @staticmethod
+    def buckets(keys: DataFrame) -> list[int]:
+        """The buckets that some keys (one column) fall into."""
+        found = keys.select(bucket_of(F.col(keys.columns[0])).alias("bucket")).where("bucket is not null")
+        return sorted(r[0] for r in found.distinct().collect())
+
     def entries(self, step: str, now: float | None = None, keys: DataFrame | None = None) -> DataFrame:
         """key, value of the live entries of a step, one a key; of those only that ``keys`` (one column) may need, if given."""
-        buckets = None
-        if keys is not None and self._generations(step):
-            buckets = [r[0] for r in keys.select(bucket_of(F.col(keys.columns[0]))).distinct().collect()]
+        buckets = self.buckets(keys) if keys is not None and self._generations(step) else None
         stored = self.table(step, buckets)
         if stored is None:
             return self.spark.createDataFrame([], "key string, value string")
@@ -68,8 +72,8 @@ class CacheManager:
         self._write(step, (self._generations(step) or [0])[-1], one.select("key", "value", F.lit(now).alias("created_at"), until.alias("expires_at")), "append")
 
     def _write(self, step: str, generation: int, rows: DataFrame, mode: str) -> None:
-        # whole buckets together, so that each gets few files, but a large one may be split
-        dealt = rows.withColumn("bucket", bucket_of(F.col("key"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "key")
+        # a task writes whole buckets, so that a bucket gets one file an append; keys are hashes, so buckets are even
+        dealt = rows.withColumn("bucket", bucket_of(F.col("key"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "key")
         dealt.write.mode(mode).partitionBy("bucket").parquet(f"{self._path(step)}/gen-{generation}")
 
     def get(self, step: str, key: str) -> str | None:

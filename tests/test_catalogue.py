@@ -2,8 +2,9 @@ import pytest
 from compare import database, same
 from conftest import SMALL
 
-import quillrow.catalogue_parts  # noqa: F401
-from quillrow.catalogue import ORACLE_SQL, QUERIES
+import quillrow.catalogue_parts
+import quillrow.catalogue_runs  # noqa: F401
+from quillrow.catalogue import DRIVER_QUERIES, DRIVER_SQL, ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,11 @@ def test_query_matches_sql(spark, con, name):
     same(QUERIES[name](spark, SMALL), ORACLE_SQL[name], con)
 
 
+@pytest.mark.parametrize("name", sorted(DRIVER_QUERIES))
+def test_driver_part_matches_sql(spark, con, name):
+    same(DRIVER_QUERIES[name](spark, SMALL), DRIVER_SQL[name], con)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
