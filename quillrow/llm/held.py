@@ -31,7 +31,8 @@ def _make_room(mark: Hashable) -> None:
         del _HELD[other]
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Freed memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:
@@ -46,7 +47,7 @@ def tidy(work: Callable[[Iterable], Iterator], mark: Hashable = None) -> Callabl
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            give_back()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import sliced
-from .held import Remembered, tidy
+from .held import Remembered, give_back, tidy
 from .scratch import Scratch
 from .subwords import in_fold
 
@@ -32,9 +32,9 @@ ORDER = 2
 #: Training documents whose counts are deleted to learn the weights: one in so many.
 DELETED = 20
 #: Bytes of the texts of a block, unless one text alone has more.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 #: Distinct n-grams of all blocks that one counting task takes, about.
-PART_KEYS = 1 << 22
+PART_KEYS = 1 << 20
 #: Bits of a context's frequency, each a bucket; frequencies beyond share the last.
 BUCKETS = 24
 ROUNDS = 12
@@ -198,6 +198,7 @@ def _count(table: pa.Table) -> pa.Table:
     A block of deleted documents gets the counts without all deleted ones.
     ``types`` holds, on one row of the part, how many n-grams training texts have.
     """
+    give_back()  # what the part before has left
     rows = table.to_pylist()
     hashes = [np.cumsum(_unpacked(r["hashes"], np.uint64), dtype=np.uint64) for r in rows]
     often = [_unpacked(r["often"], np.uint32).astype(np.int64) for r in rows]
@@ -216,6 +217,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _token_counts(block: pa.Table, answers: pa.Table, order: int) -> tuple[dict, np.ndarray, list[np.ndarray]]:
     """A block's row, its text lengths, and for each order the count of the n-gram at each token."""
+    give_back()  # what the block before has left
     row = block.to_pylist()[0]
     lengths, found, _ = _distinct(row, order)
     parts: dict[int, list] = {k: [] for k in range(1, order + 1)}
