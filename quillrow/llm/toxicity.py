@@ -10,6 +10,7 @@ n-grams with words that were seen.
 
 from __future__ import annotations
 
+import hashlib
 from array import array
 from collections.abc import Iterator
 
@@ -48,9 +49,19 @@ def words(text: str | None) -> list[str]:
     return unglued((text or "").split(), LONGEST_WORD, PIECE, LONGEST - 1)
 
 
+def normal(token: str) -> str:
+    """What makes a word the same word: not its case and not what stands at its edges."""
+    return EDGES.sub("", token.lower())
+
+
+def name(token: str) -> int:
+    """A number that a word has in every text."""
+    return int.from_bytes(hashlib.blake2b(normal(token).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def features(token: str) -> list[int]:
     """Feature numbers of a token; one without letters or digits has none."""
-    word = EDGES.sub("", token.lower())
+    word = normal(token)
     return buckets([f"={word}", *ngrams(word, SHORTEST, LONGEST)], FEATURES) if word else []
 
 
@@ -74,21 +85,22 @@ class Model:
     def __init__(self, feature_scores: np.ndarray, bias: float):
         self.feature_scores, self.bias = feature_scores, bias
         self.listed = feature_scores.tolist()
-        self.known = Remembered(self.word, MEMORY)
+        self.known, self.names = Remembered(self.word, MEMORY), Remembered(name, MEMORY)
 
     def word(self, token: str) -> float:
         own = features(token)
         return sum(map(self.listed.__getitem__, own)) / len(own) if own else 0.0
 
-    def values(self, text: str | None) -> np.ndarray:
+    def values(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """What each word adds, and which word it is."""
         own = words(text)
-        return np.fromiter(map(self.known.__getitem__, own), np.float64, len(own))
+        return np.fromiter(map(self.known.__getitem__, own), np.float64, len(own)), np.fromiter(map(self.names.__getitem__, own), np.int64, len(own))
 
-    def score(self, values: np.ndarray) -> float:
-        """Probability of a text from its words' numbers."""
-        logit = self.bias
+    def score(self, found: tuple[np.ndarray, np.ndarray]) -> float:
+        """Probability of a text from its words' values and names; a word that a window repeats counts once in it."""
+        logit, (values, names) = self.bias, found
         if len(values):
-            logit += float(windows(values, values).max() / WINDOW)
+            logit += float(windows(values, names).max() / WINDOW)
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
@@ -99,7 +111,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(FEATURES), float(np.log(rate / (1 - rate))))
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
+    docs = [np.array([number.setdefault(normal(w), len(number)) for w in words(t)], np.int32) for t in texts]
     flat_table, amounts = array("i"), array("i")
     for w in number:
         own = features(w) or [FEATURES]
