@@ -132,6 +132,23 @@ WITH split AS (
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY row_no, doc_id
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE worded AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM worded
+), flat AS (SELECT r, unnest(s) AS shingle FROM sets
+), pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM flat a JOIN flat b USING (shingle) WHERE a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+    SELECT x, y FROM pairs JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE 100 * n >= 80 * (len(a.s) + len(b.s) - n)
+), reached AS (SELECT r AS x, r AS y FROM sets UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x)
+SELECT a.doc_id, CAST(len(a.s) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id
+FROM reached JOIN sets a ON a.r = x JOIN sets b ON b.r = y GROUP BY a.r, a.doc_id, a.s
 """,
     "op13_ranked_search": r"""
 WITH words AS (
