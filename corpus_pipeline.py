@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrow.llm import byte_bpe, language
+from quillrow.llm.carried import apart, quoted
 from quillrow.llm.jaccard import keep_one_of_each
-from quillrow.llm.line_dedup import line_dedup
+from quillrow.llm.line_dedup import without_repeats
 from quillrow.llm.mixing import mixed_corpus, quality_weights
 from quillrow.llm.scratch import Scratch
 
@@ -27,11 +28,12 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents whose language can't be told: null, empty and letterless texts, and scores below LEAST_SCORE.
 
     Every row is judged for itself, so repeated rows and rows without id fare
-    alike; without any labelled row all go.  Long texts are read whole.
+    alike; without any labelled row all go.  Long texts are read whole.  Extra
+    columns may have any name and type, here and in the stages after.
     """
-    labelled = language.identify(docs, language.fit(docs), carry=True)
-    accepted = (F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)
-    return labelled.where(accepted).drop("__lang", "__score")
+    named, restore = apart(docs, ("doc_id", "text", "lang"))
+    labelled = language.identify(named, language.fit(named), carry=True)
+    return restore(labelled.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     No row goes.  Rows that repeat an id are one document, rows without id one
     after all others; a null text becomes empty.
     """
-    kept = line_dedup(docs, carry=True).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(docs.columns)
+    kept = without_repeats(docs)
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    return kept.select(*(n_chars if c == "n_chars" else kept[quoted(c)] for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,9 +34,9 @@ def filter_shape(keys: int) -> tuple[int, int]:
     return min(MOST_BITS, max(BLOCK * 8, 1 << max(1, share * BITS_PER_KEY - 1).bit_length())), slices
 
 
-def of_slice(keys: np.ndarray, number: int, slices: int) -> np.ndarray:
-    """Which keys (rows of two 64-bit words) belong to a slice."""
-    return ((keys[:, 1] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32) == number
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The slice that each key (a row of two 64-bit words) belongs to."""
+    return (((keys[:, 1] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int32)
 
 
 def positions(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -59,14 +59,13 @@ def insert(packed: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(packed, at.ravel() >> 3, _bit(at.ravel()))
 
 
-def twice_filter(keys: DataFrame, bits: int, number: int, slices: int) -> np.ndarray:
-    """The packed twice-seen filter of one slice of ``keys``: one binary column, each row the distinct keys of one document, joined."""
+def twice_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """The packed twice-seen filter of a slice's ``keys``: one binary column, each row the distinct keys of one document, joined."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2)
-            found = found[of_slice(found, number, slices)]
             if len(found):
                 distinct, count = np.unique(found[:, 0], return_counts=True)
                 at = positions(distinct[:, None], bits)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .batches import sliced
 from .components import components
 from .held import Remembered, held, tidy
+from .carried import apart, row_hash
 from .scratch import Scratch
 from .skew import spread_join
 
@@ -465,8 +466,11 @@ def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     Of each component the row with the smallest id stays, a row without id only
     where none has one; of rows repeated in full one stays.  Texts without
-    words stay, each row of them.  An empty table gives an empty result.
+    words stay, each row of them.  Of rows with equal id and text the one whose
+    hash of all columns is smallest stays.  Extra columns may have any name and
+    type.  An empty table gives an empty result.
     """
+    docs, restore = apart(docs, ("doc_id", "text"))
     scratch, rows, classes, final = _resolved(docs, size, percent)
     best = F.min(F.struct("no_id", "doc_id", "row_key")).alias("best")
     stays = classes.join(final, "id", "left").groupBy(F.coalesce("label", "id")).agg(best).select("best.row_key")
@@ -478,5 +482,5 @@ def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     kept = docs.where(worded).withColumn("__key", F.xxhash64("doc_id", "text")).join(stays, "__key")
     once = kept.where("__often = 1").select(docs.columns)
     same = ["__key", F.col("doc_id").alias("__same_id"), F.xxhash64("text", F.lit(1)).alias("__same_text")]
-    many = kept.where("__often > 1").groupBy(*same).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return once.unionByName(many).unionByName(bare)
+    many = kept.where("__often > 1").groupBy(*same).agg(F.min_by(F.struct(*docs.columns), row_hash(docs)).alias("__row")).select("__row.*")
+    return restore(once.unionByName(many).unionByName(bare))

@@ -14,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import sliced
-from .bloom import KEY, contains, filter_shape, of_slice, positions, twice_filter
+from .bloom import KEY, contains, filter_shape, positions, slice_of, twice_filter
+from .carried import quoted
 from .held import tidy
 from .scratch import Scratch
 from .skew import spread_join
@@ -28,6 +30,8 @@ from .skew import spread_join
 STRIPPED = b" \t\n\x0b\x0c\r"
 #: Code points of a key from which a line can be a repeat.
 SHORTEST = 10
+#: Tasks that write a slice of the digests.
+WRITERS = 16
 
 
 def line_key(line: bytes, shortest: int = SHORTEST) -> bytes | None:
@@ -52,8 +56,11 @@ def _owner(docs: DataFrame) -> list:
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFrame:
-    """__id, __mark, drops: the digests of the lines that a document loses."""
-    spark = docs.sparkSession
+    """__id, __mark, drops: the digests of the lines that a document loses.
+
+    All slices together read the digests twice, whatever their number: more
+    than one slice are dealt out first, so that each has files of its own.
+    """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -64,9 +71,15 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFram
     lines = scratch.keep(texts.mapInArrow(tidy(digests), "__id long, __mark long, lines binary").where("length(lines) > 0"), "lines")
     keys = lines.agg(F.sum(F.length("lines") / KEY).cast("long")).first()[0] or 0
     bits, slices = filter_shape(keys)
-    suspects = scratch.keep(_suspects(lines, bits, 0, slices), "suspects-0")
-    for number in range(1, slices):
-        suspects = suspects.unionByName(scratch.keep(_suspects(lines, bits, number, slices), f"suspects-{number}"))
+    if slices > 1:
+        lines = scratch.keep(_dealt(lines, slices), "slices", by="slice")
+        scratch.discard("lines")
+    for number in range(slices):
+        own = lines if slices == 1 else lines.where(F.col("slice") == number).drop("slice")
+        shared = docs.sparkSession.sparkContext.broadcast(twice_filter(own.select("lines"), bits))  # MOST_BITS / 8 bytes at most
+        scratch.keep(_suspects(own, bits, shared), f"suspects/slice={number}")
+        shared.destroy()
+    suspects = scratch.read("suspects", "__id long, __mark long, line binary")
     first = (
         suspects.groupBy("line")
         .agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.max(F.isnull("__id")).alias("no_id"))
@@ -78,17 +91,35 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, shortest: int) -> DataFram
     return lost.groupBy("__id", "__mark").agg(F.collect_set("line").alias("drops"))
 
 
-def _suspects(lines: DataFrame, bits: int, number: int, slices: int) -> DataFrame:
-    """__id, __mark, line: the digests of one slice that its twice-seen filter may hold."""
-    shared = lines.sparkSession.sparkContext.broadcast(twice_filter(lines.select("lines"), bits, number, slices))  # MOST_BITS / 8 bytes at most
+def _dealt(lines: DataFrame, slices: int) -> DataFrame:
+    """Each document's digests cut by slices of the hash range, a slice's rows in few tasks that write it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            raw = batch.column(2).to_pylist()
+            owner = np.repeat(np.arange(len(raw)), [len(x) // KEY for x in raw])
+            found = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2)
+            place = slice_of(found, slices)
+            order = np.lexsort((owner, place))
+            pairs, starts = np.unique(np.stack([place[order], owner[order]]), axis=1, return_index=True)
+            joined, ends = found[order].tobytes(), [*starts[1:].tolist(), len(order)]
+            parts = [joined[a * KEY : e * KEY] for a, e in zip(starts.tolist(), ends, strict=True)]
+            mine = pa.array(pairs[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(mine), batch.column(1).take(mine), pa.array(parts, pa.binary()), pa.array(pairs[0], pa.int32())], ["__id", "__mark", "lines", "slice"])
+
+    cut = lines.mapInArrow(tidy(deal), "__id long, __mark long, lines binary, slice int")
+    return cut.repartition("slice", F.pmod(F.xxhash64("__id", "__mark"), F.lit(WRITERS)))
+
+
+def _suspects(lines: DataFrame, bits: int, shared: Broadcast) -> DataFrame:
+    """__id, __mark, line: the digests that their slice's twice-seen filter may hold."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
             owner = np.repeat(np.arange(len(raw)), [len(x) // KEY for x in raw])
             found = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2)
-            hit = np.flatnonzero(of_slice(found, number, slices))
-            hit = hit[contains(shared.value, positions(found[hit], bits))]
+            hit = np.flatnonzero(contains(shared.value, positions(found, bits)))
             joined = found[hit].tobytes()
             picked = pa.array([joined[i : i + KEY] for i in range(0, len(joined), KEY)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(owner[hit])) for c in batch.columns[:2]), picked], ["__id", "__mark", "line"])
@@ -108,15 +139,21 @@ def line_dedup(docs: DataFrame, shortest: int = SHORTEST, carry: bool = False) -
     ``carry`` the other columns of ``docs`` follow.  An empty table gives an
     empty result.
     """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    kept = _rewritten(docs, shortest, rest)
+    return kept.select("doc_id", "n_lines", "n_dropped", "kept_text", *(F.col(f"__rest_{i}").alias(c) for i, c in enumerate(rest)))
+
+
+def _rewritten(docs: DataFrame, shortest: int, rest: list[str]) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text, then the columns of ``rest`` as __rest_0, __rest_1 and so on, whatever their names and types."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     drops = repeated_lines(docs.select("doc_id", "text"), scratch, shortest)
     drops = drops.select(F.col("__id").alias("__owner"), F.col("__mark").alias("__owner_mark"), "drops")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
     same = F.col("__id").eqNullSafe(F.col("__owner")) & (F.col("__mark") == F.col("__owner_mark"))
     fields = (
-        docs.select(*_owner(docs), docs["text"].cast("binary").alias("__text"), *(docs[c].alias(f"__rest_{i}") for i, c in enumerate(rest)))
+        docs.select(*_owner(docs), docs["text"].cast("binary").alias("__text"), *(docs[quoted(c)].alias(f"__rest_{i}") for i, c in enumerate(rest)))
         .join(drops, same, "left")
-        .select("__id", "__text", "drops", *(F.col(f"__rest_{i}").alias(c) for i, c in enumerate(rest)))
+        .select("__id", "__text", "drops", *(f"__rest_{i}" for i in range(len(rest))))
     )
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,4 +173,12 @@ def line_dedup(docs: DataFrame, shortest: int = SHORTEST, carry: bool = False) -
             yield pa.RecordBatch.from_arrays(out + batch.columns[3:], ["doc_id", "n_lines", "n_dropped", "kept_text"] + batch.schema.names[3:])
 
     schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_text string")
-    return fields.mapInArrow(tidy(rewrite), T.StructType(schema.fields + [docs.schema[c] for c in rest]))
+    return fields.mapInArrow(tidy(rewrite), T.StructType(schema.fields + [T.StructField(f"__rest_{i}", docs.schema[c].dataType) for i, c in enumerate(rest)]))
+
+
+def without_repeats(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but ``text``, which lacks the lines that an earlier document holds."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = _rewritten(docs, shortest, rest)
+    places = {c: f"__rest_{i}" for i, c in enumerate(rest)} | {"doc_id": "doc_id", "text": "kept_text"}
+    return kept.select(*(F.col(places[c]).alias(c) for c in docs.columns))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import apart, row_hash
 from .scratch import Scratch
 from .skew import PARTS
 
@@ -127,14 +128,16 @@ def mix_sources(
 def mixed_corpus(docs: DataFrame, weights: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, all columns as they are.
 
-    Rows meet their count by two hashes of all their columns; rows repeated in
-    full share one total.  Null ids, texts and sources are as in ``mix_sources``.
+    Rows meet their count by two hashes of all their columns, maps by their
+    JSON text; rows repeated in full share one total.  Extra columns may have
+    any name and type.  Null ids, texts and sources are as in ``mix_sources``.
     """
+    docs, restore = apart(docs, ("doc_id", "text", "source"))
     marks = ["__mark_1", "__mark_2"]
-    marked = docs.withColumns({m: F.xxhash64(*docs.columns, F.lit(m)) for m in marks})
+    marked = docs.withColumns({m: row_hash(docs, m) for m in marks})
     plan = mix_sources(marked, weights, share, most, carry=tuple(marks))
     total = plan.groupBy(*marks).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
     taken = marked.join(total, marks)
-    many = taken.where("__rows > 1").groupBy(*marks).agg(F.min(F.struct(*docs.columns)).alias("__row"), F.min("__copies").alias("__copies"))
+    many = taken.where("__rows > 1").groupBy(*marks).agg(F.first(F.struct(*docs.columns)).alias("__row"), F.min("__copies").alias("__copies"))
     each = taken.where("__rows = 1").select(*docs.columns, "__copies").unionByName(many.select("__row.*", "__copies"))
-    return each.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    return restore(each.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))))

@@ -23,15 +23,20 @@ class Scratch:
         self.root = f"{shared_root(spark)}/quillrow/{label}-{uuid.uuid4().hex}"
         self.names: list[str] = []
 
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        """Write ``frame`` and return the stored rows, lineage cut."""
+    def keep(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``frame``, in folders of the values of ``by`` if given, and return the stored rows, lineage cut."""
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(path)
+        out = frame.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
         if not self.names:
             Files(self.spark).delete_on_exit(self.root)
         self.names.append(name)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def read(self, name: str, schema: str) -> DataFrame:
+        """What lies below a folder that several tables were kept in."""
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}")
+
     def discard(self, *names: str) -> None:
         """Delete tables that no lazy result reads any more."""
         files = Files(self.spark)

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 from conftest import SMALL
+from pyspark.sql import functions as F
 from test_operators import awkward, brute_jaccard, brute_lines, empty, plain, sha, tokenizer  # noqa: F401
 
 import corpus_pipeline
@@ -45,6 +46,36 @@ def test_stages_on_awkward_rows(spark, awkward, empty, monkeypatch):  # noqa: F8
         assert stage(spark, empty, SMALL).count() == 0
 
 
+CLASHES = [
+    "n_lines", "n_dropped", "kept_text", "drops", "slice", "size", "copies", "taken", "row", "key", "bucket", "weight", "held_out", "n_tokens", "label", "id", "class_key",
+    "__rows", "__copies", "__copy", "__row", "__mark", "__mark_1", "__mark_2", "__key", "__often", "__same_id", "__lang", "__score", "__id", "__text", "__rest_0",
+    "__rest_1", "__carry_0", "__part", "__deal", "__owner", "__column_0", "a.b", "with `tick`",
+]
+
+
+def test_stages_on_columns_of_any_name_and_type(spark):
+    """Every internal name as an extra column, and maps: each stage keeps them, with their values by the row."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(80)
+    odd = docs.select("*", *(F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")).alias(c) for i, c in enumerate(CLASHES)), F.create_map(F.lit("k"), "doc_id").alias("a_map"))
+    odd = odd.unionByName(odd.limit(5)).select(*(f"`{c.replace('`', '``')}`" for c in reversed(odd.columns))).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, odd, SMALL)
+        assert done.columns == odd.columns and [f.dataType for f in done.schema] == [f.dataType for f in odd.schema], name
+        rows = [r.asDict() for r in done.collect()]
+        assert rows and all(r[c] == f"{i}-{r['doc_id']}" for r in rows for i, c in enumerate(CLASHES)) and all(r["a_map"] == {"k": r["doc_id"]} for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SMALL).count() == odd.count()
+
+
+def test_mixing_takes_rows_as_often_as_it_says(spark, awkward):  # noqa: F811
+    """The mixing stage's rows, counted, on awkward rows: those of mix_sources, by id."""
+    weights = quality_weights(spark.read.parquet(f"{SMALL}/labels.parquet"))
+    want = Counter()
+    for r in mix_sources(awkward, weights).collect():
+        want[(r.doc_id, r.source)] += r.copies
+    got = Counter((r.doc_id, r.source) for r in corpus_pipeline.STAGES[3][1](spark, awkward, SMALL).collect())
+    assert got == +want
+
+
 def test_run_keeps_only_its_last_table(spark):
     import glob
 
