@@ -26,8 +26,10 @@ from .held import LONGEST_KEY, held, tidy
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Matches at the end of a cut chunk that more text could change.
 UNSURE = 2
+#: Bytes of texts, or of ids, that are Python objects at the same time.
+SLICE = 1 << 20
 #: Pre-tokens remembered in a worker.
-MEMORY = 300_000
+MEMORY = 100_000
 #: Bytes of a pre-token up to which pairs are scanned and not kept in a heap; above every rank.
 SHORT, NEVER = 48, 1 << 60
 
@@ -234,7 +236,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = C
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(ranks.value, pattern)
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE):
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -286,7 +288,7 @@ def decode_corpus(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.value.splitlines())}
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE):
             texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
