@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ UNSURE = 2
 #: Bytes of texts, or of ids, that are Python objects at the same time.
 SLICE = 1 << 20
 #: Pre-tokens remembered in a worker.
-MEMORY = 100_000
+MEMORY = 250_000
 #: Bytes of a pre-token up to which pairs are scanned and not kept in a heap; above every rank.
 SHORT, NEVER = 48, 1 << 60
 
@@ -134,7 +135,8 @@ class Encoder(dict):
         self.splitter = Splitter(pattern)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        found = merge(piece.encode(), self.ranks)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= LONGEST_KEY:
             if len(self) >= MEMORY:
                 self.clear()
