@@ -62,7 +62,7 @@ async def _called(plan: StepPlan, context: StepContext, gate: Gate | None) -> An
         gate.give(lease)
 
 
-async def _one(plan: StepPlan, row: dict, prior: dict, verdict: bool | None, hit: str | None, config: Any, gate: Gate | None = None) -> dict[str, Any]:
+async def one_row(plan: StepPlan, row: dict, prior: dict, verdict: bool | None, hit: str | None, config: Any, gate: Gate | None = None) -> dict[str, Any]:
     """A row's output record; whatever the step raises becomes its error."""
     out = {"values": None, "error": None, "skipped": False, "from_cache": False, "usage": None}
     try:
@@ -118,7 +118,7 @@ def level_function(plans: list[StepPlan], config: Any, budget: Budget | None) ->
                     found: dict[str, list] = {}
                     for p in plans:
                         if p not in waiting:
-                            found[p.output] = [_now(_one(p, *job, config)) for job in jobs[p.output]]
+                            found[p.output] = [_now(one_row(p, *job, config)) for job in jobs[p.output]]
                     if waiting:
                         found |= loop.run_until_complete(_together(waiting, jobs, config, gate))
                     done.append(pa.StructArray.from_arrays([pa.array(found[p.output], p.kind) for p in plans], fields=list(kind)))
@@ -149,7 +149,7 @@ def _inputs(plan: StepPlan, batch: pa.RecordBatch) -> Iterator[tuple]:
 
 async def _together(plans: list[StepPlan], jobs: dict[str, list], config: Any, gate: Gate | None) -> dict[str, list]:
     current_gate.set(gate)
-    tasks = [asyncio.gather(*(_one(p, *job, config, gate) for job in jobs[p.output])) for p in plans]
+    tasks = [asyncio.gather(*(one_row(p, *job, config, gate) for job in jobs[p.output])) for p in plans]
     done = await asyncio.gather(*tasks)
     if gate:
         await gate.settle()
