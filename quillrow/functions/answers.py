@@ -126,12 +126,18 @@ def parse(content: str, specs: dict[str, FieldSpec], strict: bool, schema: Any =
     return {n: specs[n].default if specs[n].has_default and is_refusal(v) else v for n, v in values.items()}
 
 
+def _text(value: str) -> str:
+    """The text; halves of surrogate pairs are an error here, of this row, and not of the whole batch."""
+    value.encode()
+    return value
+
+
 def to_column(value: Any, kind: str) -> Any:
     """A Python value as one of a column of a simple Spark type; what doesn't fit is an error."""
     if value is None:
         return None
     if kind == "string":
-        return value if isinstance(value, str) else canonical_json(value) if isinstance(value, (dict, list)) else str(value)
+        return _text(value if isinstance(value, str) else canonical_json(value) if isinstance(value, (dict, list)) else str(value))
     if kind in ("double", "float"):
         return float(value)
     if kind in ("bigint", "long", "int"):
@@ -141,5 +147,5 @@ def to_column(value: Any, kind: str) -> Any:
     if kind == "boolean" and not isinstance(value, bool):
         raise ValueError(f"{value!r} is not true or false")
     if kind == "array<string>":
-        return [x if x is None or isinstance(x, str) else str(x) for x in value]
+        return [x if x is None else _text(x if isinstance(x, str) else str(x)) for x in value]
     return value

@@ -94,6 +94,14 @@ def render(template: str, columns: dict[str, Column]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def whole_json(text: Column) -> Column:
+    """Text as a variant; null where it isn't JSON, or JSON with more behind it, which Spark's parser would not look at."""
+    mark = F.sha2(text, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    read = (F.try_variant_get(both, "$[1]", "string") == mark) & (F.size(F.try_variant_get(both, "$", "array<variant>")) == 2)
+    return F.when(read, F.try_variant_get(both, "$[0]", "variant"))
+
+
 def list_cell(cell: Column) -> Column:
     """A cell as an array of texts: a JSON array's elements as they are, else the comma-separated parts, trimmed, without empty ones.
 
@@ -102,5 +110,5 @@ def list_cell(cell: Column) -> Column:
     """
     parts = F.filter(F.transform(F.split(cell, ","), lambda x: F.trim(x)), lambda x: x != "")
     plain = F.trim(cell)
-    whole = F.when(plain.startswith("["), F.try_variant_get(F.try_parse_json(plain), "$", "array<variant>"))
+    whole = F.when(plain.startswith("["), F.try_variant_get(whole_json(plain), "$", "array<variant>"))
     return F.coalesce(F.transform(whole, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("null"))), parts)
