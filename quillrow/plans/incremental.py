@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EnrichmentConfig
+from ..errors import PipelineError
 from ..operators.steps import ColumnStep, PythonStep
 from ..sources.checkpoints import CheckpointManager
 from .pipeline import ROW, Pipeline, quoted
@@ -39,16 +40,22 @@ class IncrementalTable:
     failed are not remembered, so they run again.  Answers whose content left
     the input are forgotten.  Equal rows share an answer; each run writes the
     next generation of answers and only then drops the one before.
+
+    With ``key``, the columns that name a row from run to run, content holds the
+    key too: a row that changed is called for even if another row once had the
+    values that it has now.
     """
 
-    def __init__(self, pipeline: Pipeline, path: str):
-        self.pipeline, self.path = pipeline, path.rstrip("/")
+    def __init__(self, pipeline: Pipeline, path: str, key: list[str] | None = None):
+        self.pipeline, self.path, self.key = pipeline, path.rstrip("/"), list(key or [])
 
     def _steps(self) -> list[Any]:
         return [self.pipeline.get_step(n) for n in self.pipeline.step_names]
 
     def _looked_at(self, columns: list[str]) -> list[str]:
-        wanted: set[str] = set()
+        if missing := [c for c in self.key if c not in columns]:
+            raise PipelineError(f"not among the input's columns: {', '.join(missing)}")
+        wanted = set(self.key)
         for step in self._steps():
             open_ended = isinstance(step, ColumnStep) or step.reads is None or step.run_if is not None or step.skip_if is not None
             wanted |= set(columns if open_ended else step.reads)

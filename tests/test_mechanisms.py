@@ -327,6 +327,15 @@ def test_last_before_of_empty_tables(spark):
     assert last_before(left.limit(0), right, ("k", "k"), ("t", "t"), ["n"]).count() == 0
 
 
+def test_a_changed_row_with_another_rows_old_values_is_called_for(spark, tmp_path):
+    path, runs = str(tmp_path / "answers"), []
+    for day, rows in (("one", [(1, 5), (2, 6), (3, 9)]), ("two", [(1, 6), (2, 7), (3, 9)])):
+        step = FunctionStep("s", lambda ctx, day=day: {"out": f"{day} {ctx.row['v']}"}, ["out"], reads=["v"])
+        runs.append(IncrementalTable(Pipeline([step]), path, ["id"]).run(spark.createDataFrame(rows, "id int, v int")))
+    assert sorted(r.out for r in runs[1].data.collect()) == ["one 9", "two 6", "two 7"]
+    assert [(r.called, r.reused, r.forgotten) for r in runs] == [(3, 0, 0), (2, 1, 2)]
+
+
 def test_sessions_are_cut_at_gaps_and_at_their_bound(spark):
     rows = [("a", day(0, s), i) for i, s in enumerate([0, 10, 70, 71, 72, 73, 74])] + [("b", day(0), 1), ("b", day(0), 0), (None, day(0), 5), ("c", None, 1)]
     found = sessions(spark.createDataFrame(rows, "k string, t timestamp_ntz, n int"), "k", "t", 60, ["n"], order="n", most=3)
