@@ -44,6 +44,8 @@ KEYS = (
     Key("default", "default", "the value for a field that stays unknown"),
 )
 TASK = "You complete rows of a table. Below are the fields to fill, one row, and what earlier steps found out about it."
+#: As ``json.dumps`` writes, but made once.
+_PLAIN = json.JSONEncoder(default=str)
 UNKNOWN = "A field that row, earlier results and general knowledge leave open is {instead}."
 USER_TURN = "Fill in the fields for this row."
 
@@ -84,7 +86,7 @@ class Prompt:
 
     def build(self, row: dict[str, Any], prior: dict[str, Any] | None = None) -> str:
         def tagged(tag: str, value: Any) -> str:
-            return f"<{tag}>\n{json.dumps(value, default=str)}\n</{tag}>"
+            return f"<{tag}>\n{_PLAIN.encode(value)}\n</{tag}>"
 
         return "\n\n".join([self.head, tagged("row_data", row), self.fields, *([tagged("prior_results", prior)] if prior else []), self.tail])
 

@@ -22,6 +22,8 @@ from pyspark.sql import SparkSession
 
 #: Seconds for which a task passes a lease on among its own calls before others get a turn.
 SLICE = 0.05
+#: Seconds over which a task looks whether its calls wait, before it asks for more leases.
+WATCH = 0.004
 #: The gate of the task whose step is running, for steps that want all tasks to pause.
 current_gate: contextvars.ContextVar[Gate | None] = contextvars.ContextVar("gate", default=None)
 
@@ -154,12 +156,23 @@ class BudgetService:
 
 
 class Gate:
-    """A task's side: ``take`` a lease before a call, ``give`` it after, ``settle`` when no call is left for now."""
+    """A task's side: ``take`` a lease before a call, ``give`` it after, ``settle`` when no call is left for now.
+
+    Calls that never wait need one lease, one after the other, and leave the
+    rest to other tasks; a task asks for more only while its calls wait.
+    """
 
     def __init__(self, budget: Budget):
         self.budget = budget
         self.waiters: deque[asyncio.Future] = deque()
         self.asked = 0
+        self.held = 0
+        #: Leases at hand between the calls of a task that is still starting some, each with the time since when.
+        self.spare: list[float] = []
+        self.keeping = False
+        #: Leases that the task may hold or ask for; grows while its calls leave the processor idle.
+        self.wanted = 1
+        self.watch: asyncio.TimerHandle | None = None
         self.not_before = 0.0
         self.writer: asyncio.StreamWriter | None = None
         self.settled: asyncio.Future | None = None
@@ -180,6 +193,7 @@ class Gate:
             word, _, rest = line.decode().strip().partition(" ")
             if word == "go":
                 self.asked -= 1
+                self.held += 1
                 self._pass_on(time.monotonic())
             elif word == "hold":
                 self.not_before = max(self.not_before, time.monotonic() + float(rest))
@@ -197,15 +211,30 @@ class Gate:
             if not waiter.done():
                 waiter.set_result(since)
                 return
+        self._back()
+
+    def _back(self) -> None:
+        self.held -= 1
         self._say("give")
 
     def _ask(self) -> None:
-        if self.asked < min(len(self.waiters), self.budget.limit):
+        while self.asked < min(len(self.waiters), self.budget.limit) and self.asked + self.held < self.wanted:
             self.asked += 1
             self._say("take")
+        if self.waiters and self.wanted < self.budget.limit and self.watch is None:
+            self.watch = asyncio.get_running_loop().call_later(WATCH, self._grow, time.monotonic(), time.process_time())
+
+    def _grow(self, began: float, used: float) -> None:
+        """Twice as many leases, if the calls have waited for most of the time since."""
+        self.watch = None
+        if self.held and time.process_time() - used < (time.monotonic() - began) / 2:
+            self.wanted = min(2 * self.wanted, self.budget.limit)
+        self._ask()
 
     async def take(self) -> float:
         """Waits for a lease; its value goes to ``give``."""
+        if self.spare:
+            return self.spare.pop()
         waiter = asyncio.get_running_loop().create_future()
         self.waiters.append(waiter)
         self._ask()
@@ -213,19 +242,41 @@ class Gate:
 
     def give(self, since: float) -> None:
         now = time.monotonic()
-        if now - since < SLICE and now >= self.not_before:
-            self._pass_on(since)
-        else:
-            self._say("give")
+        if now - since >= SLICE or now < self.not_before:
+            self._back()
             self._ask()
+        elif self.keeping and not self.waiters:
+            self.spare.append(since)
+        else:
+            self._pass_on(since)
+
+    async def ready(self) -> None:
+        """Before a task starts one more call: a lease at hand, unless calls under way have those there are."""
+        self.keeping = True
+        if not self.held and not self.waiters:
+            self.spare.append(await self.take())
+
+    def started(self) -> None:
+        """No more calls are to start for now."""
+        self.keeping = False
+        while self.spare:
+            self.spare.pop()
+            self._back()
 
     def pause(self, seconds: float) -> None:
         """No task begins a call for so long."""
         self.not_before = max(self.not_before, time.monotonic() + seconds)
+        while self.spare:
+            self.spare.pop()
+            self._back()
         self._say(f"hold {seconds:f}")
 
     async def settle(self) -> None:
         """Takes back what was asked for, so that no lease is on its way to a task that doesn't listen."""
+        self.started()
+        if self.watch:
+            self.watch.cancel()
+            self.watch = None
         self.settled = asyncio.get_running_loop().create_future()
         self._say("drop")
         await self.settled

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,6 +17,7 @@ SPARK_TYPES = {
     "List[String]": "array<string>",
     "JSON": "string",
 }
+_CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), default=str)
 _UNSET: Any = type("Unset", (), {"__repr__": lambda s: "UNSET", "__reduce__": lambda s: "_UNSET"})()
 
 
@@ -104,6 +106,4 @@ def typed_default(spec: FieldSpec) -> Any:
 
 def canonical_json(value: Any) -> str:
     """JSON with sorted keys and no spaces; other objects as text."""
-    import json
-
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)
+    return _CANONICAL.encode(value)

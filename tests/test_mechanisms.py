@@ -107,6 +107,27 @@ def test_leases_are_not_kept_by_a_task_that_has_settled():
     asyncio.run(play())
 
 
+def test_a_busy_task_leaves_leases_to_others():
+    budget = BudgetService("127.0.0.1").budget("busy", 4)
+
+    async def play():
+        one, two = Gate(budget), Gate(budget)
+        await one.open()
+        await two.open()
+        waiting = [asyncio.ensure_future(one.take()) for _ in range(10)]
+        one.give(await asyncio.wait_for(waiting[0], 2))
+        two.give(await asyncio.wait_for(two.take(), 2))  # while nine calls of the other task wait
+        assert one.held == 1
+        for w in waiting[1:]:
+            one.give(await asyncio.wait_for(w, 2))
+        for gate in (one, two):
+            await gate.settle()
+            assert gate.held == 0
+            gate.close()
+
+    asyncio.run(play())
+
+
 def test_a_pause_holds_all_tasks():
     budget = BudgetService("127.0.0.1").budget("pause", 4)
 
