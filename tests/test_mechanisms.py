@@ -15,6 +15,7 @@ from quillrow.functions.asof import last_before
 from quillrow.functions.sessions import sessions
 from quillrow.plans.budget import BudgetService, Gate
 from quillrow.plans.incremental import IncrementalTable
+from quillrow.plans.skew import spread_join, spread_left_join
 from quillrow.plans.storage import shared_root
 from quillrow.sources.cache import BUCKETS, CacheManager
 from quillrow.streaming import enrich_stream
@@ -357,6 +358,16 @@ def test_a_changed_row_with_another_rows_old_values_is_called_for(spark, tmp_pat
     assert [(r.called, r.reused, r.forgotten) for r in runs] == [(3, 0, 0), (2, 1, 2)]
 
 
+@pytest.mark.parametrize("join", [spread_join, spread_left_join])
+def test_lookups_send_no_keys_through_the_driver(spark, tmp_path, join):
+    spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("key")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    found = join(rows, rows.where("id < 10").select("key", F.col("id").alias("known")), "key", "id")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.known for r in found.where("known is not null").collect()) == list(range(10))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sessions_are_cut_at_gaps_and_at_their_bound(spark):
     rows = [("a", day(0, s), i) for i, s in enumerate([0, 10, 70, 71, 72, 73, 74])] + [("b", day(0), 1), ("b", day(0), 0), (None, day(0), 5), ("c", None, 1)]
     found = sessions(spark.createDataFrame(rows, "k string, t timestamp_ntz, n int"), "k", "t", 60, ["n"], order="n", most=3)
