@@ -358,3 +358,18 @@ def test_filter_goes_below_python_steps(spark, calls):
     f, count = calls
     assert Pipeline([doubled(f)]).run(numbers(spark), where=F.col("x") > 7).data.count() == 2
     assert count() == 2
+
+
+def test_layouts_of_calls_in_flight_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    from quillrow import catalogue_runs
+
+    together, plain = threading.Barrier(3, timeout=60), Pipeline.run
+
+    def run(self, *given, **more):
+        together.wait()  # breaks unless all three are under way
+        return plain(self, *given, **more)
+
+    monkeypatch.setattr(catalogue_runs.Pipeline, "run", run)
+    assert all(r.within for r in catalogue_runs.calls_in_flight(spark, "/root/testdata/sf0.001").collect())
