@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from quillrow import ColumnStep, FunctionStep, PipelineError
+from quillrow import ColumnStep, EnrichmentConfig, FunctionStep, PipelineError
 from quillrow.streaming.memory import remembered
 
 DAY = dt.datetime(2024, 1, 1)
@@ -89,3 +89,24 @@ def test_refusals(spark, tmp_path):
             remembered(stream, plain, key, "at", seconds, "0 seconds")
     with pytest.raises(PipelineError):
         remembered(stream, FunctionStep("ask", lambda ctx: {}, ["answer"], run_if=stream["id"] > 1), ["who"], "at", 60, "0 seconds")
+
+
+def test_rows_that_find_the_answer_share_its_record(monkeypatch):
+    import types
+
+    from pyspark.sql import Row
+
+    from quillrow.streaming import memory
+
+    asked, plain = [], memory.one_row
+    monkeypatch.setattr(memory, "one_row", lambda *given: asked.append(given) or plain(*given))
+    kept = []
+    state = types.SimpleNamespace(get=lambda: kept[-1], exists=lambda: bool(kept), update=kept.append)
+    handle = types.SimpleNamespace(getValueState=lambda *given: state, registerTimer=lambda at: None)
+    one = memory._Memory(FunctionStep("s", lambda ctx: {"out": "x"}, ["out"], reads=["k"]), ["k"], EnrichmentConfig())
+    one.init(handle)
+    rows = [Row(row=Row(k=1, n=i)) for i in range(50)]
+    got = list(one.handleInputRows((1, 10), iter(rows), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    one.close()
+    assert [r.row.n for r in got] == list(range(50)) and [r.made["from_cache"] for r in got] == [False] + [True] * 49
+    assert {r.made["values"]["out"] for r in got} == {"x"} and len(asked) == 2
