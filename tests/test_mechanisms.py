@@ -17,7 +17,7 @@ from quillrow.plans.budget import BudgetService, Gate
 from quillrow.plans.incremental import IncrementalTable
 from quillrow.plans.skew import spread_join, spread_left_join
 from quillrow.plans.storage import shared_root
-from quillrow.sources.cache import BUCKETS, CacheManager
+from quillrow.sources.cache import BUCKETS, CacheManager, size_for
 from quillrow.streaming import enrich_stream
 
 
@@ -268,6 +268,26 @@ def test_cache_buckets_and_generations(spark, tmp_path):
     assert os.listdir(tmp_path / "step=s") == ["gen-1"] or sorted(x for x in os.listdir(tmp_path / "step=s") if not x.startswith(".")) == ["gen-1"]
 
 
+def test_a_lookup_of_few_keys_leaves_files_of_a_large_cache_out(spark, tmp_path):
+    cache = CacheManager(spark, str(tmp_path), ttl=0)
+    rows = spark.range(70_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.col("id").cast("string").alias("value"))
+    cache.append("s", rows)
+    asked = rows.where("value % 109 = 0")
+    cache.compact("s", lookups=asked.select("key"))
+    all_files = len(cache.table("s").inputFiles())
+    assert cache.table("s", cache.buckets(asked.select("key"), "s")).select(F.input_file_name()).distinct().count() < all_files
+    # an append of another size beside it: every key is found, the newest value counts
+    cache.append("s", asked.where("value < 1000").withColumn("value", F.concat("value", F.lit(" new"))))
+    key = rows.where("value = 109").first().key
+    assert cache.get("s", key) == "109 new"
+    found = cache.entries("s", keys=asked.select("key")).join(asked.withColumnRenamed("value", "asked"), "key")
+    assert found.count() == 643 and found.where("value <> asked").count() == 10
+    cache.compact("s")
+    assert cache.table("s").count() == 70_000 and len(cache.table("s").inputFiles()) == BUCKETS
+    assert cache.get("s", key) == "109 new" and cache.table("s", []).count() == 0
+    assert size_for(70_000) == 64 and size_for(64 * 65_536 + 1) == 128 and size_for(1, 643) == 256
+
+
 def test_a_lost_compaction_leaves_the_table(spark, tmp_path):
     cache = CacheManager(spark, str(tmp_path), ttl=0)
     cache.set("s", "a", "1")
