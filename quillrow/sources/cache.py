@@ -75,7 +75,13 @@ class CacheManager:
         sizes = self._sizes(step, found[-1]) if found else [BUCKETS]
         most = sizes[-1]  # a key's place among the most buckets says where it is among fewer
         places = keys.select((F.crc32(F.col(keys.columns[0]).cast("binary")) % most).cast("int").alias("place")).where("place is not null")
-        return sorted({r[0] % size + size - BUCKETS for r in places.distinct().collect() for size in sizes})
+        # a large batch's first keys mostly fall into all buckets; then the others need no pass of their own
+        enough = int(most * (math.log(most) + 8))
+        first = places.take(enough)
+        fallen = {r[0] for r in first}
+        if len(first) == enough and len(fallen) < most:
+            fallen = {r[0] for r in places.distinct().collect()}
+        return sorted({place % size + size - BUCKETS for place in fallen for size in sizes})
 
     def entries(self, step: str, now: float | None = None, keys: DataFrame | None = None) -> DataFrame:
         """key, value of the live entries of a step, one a key; of those only that ``keys`` (one column) may need, if given."""

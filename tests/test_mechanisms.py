@@ -288,6 +288,32 @@ def test_a_lookup_of_few_keys_leaves_files_of_a_large_cache_out(spark, tmp_path)
     assert size_for(70_000) == 64 and size_for(64 * 65_536 + 1) == 128 and size_for(1, 643) == 256
 
 
+def test_the_buckets_of_a_large_batch_are_told_by_its_first_keys(spark, tmp_path):
+    cache = CacheManager(spark, str(tmp_path), ttl=0)
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(key):
+        seen.add(1)
+        return key
+
+    key = F.udf(noted, "string")(F.col("id").cast("string"))
+    assert cache.buckets(spark.range(0, 40_000, 1, 8).select(key.alias("key"))) == list(range(BUCKETS))
+    assert seen.value < 20_000
+    # a batch whose first keys are one and the same is gone through to its end
+    same = F.when(F.col("id") < 39_000, F.lit("one")).otherwise(F.col("id").cast("string"))
+    assert cache.buckets(spark.range(0, 40_000, 1, 8).select(same.alias("key"))) == list(range(BUCKETS))
+    assert len(cache.buckets(spark.range(30).select(F.col("id").cast("string").alias("key")))) < 31
+
+
+def test_a_run_without_fresh_answers_adds_no_files(spark, tmp_path):
+    config = EnrichmentConfig(enable_caching=True, cache_dir=str(tmp_path))
+    pipeline = Pipeline([FunctionStep("s", lambda ctx: {"x": str(ctx.row["id"])}, ["x"], reads=["id"])])
+    pipeline.run(spark.range(200), config)
+    before = {(f, os.stat(f).st_mtime_ns) for f in map(str, tmp_path.rglob("*"))}
+    assert pipeline.run(spark.range(200), config).cost.steps["s"].cache_hits == 200
+    assert {(f, os.stat(f).st_mtime_ns) for f in map(str, tmp_path.rglob("*"))} == before
+
+
 def test_a_lost_compaction_leaves_the_table(spark, tmp_path):
     cache = CacheManager(spark, str(tmp_path), ttl=0)
     cache.set("s", "a", "1")
