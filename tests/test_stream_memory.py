@@ -110,3 +110,63 @@ def test_rows_that_find_the_answer_share_its_record(monkeypatch):
     one.close()
     assert [r.row.n for r in got] == list(range(50)) and [r.made["from_cache"] for r in got] == [False] + [True] * 49
     assert {r.made["values"]["out"] for r in got} == {"x"} and len(asked) == 2
+
+
+def test_a_buckets_keys_share_their_messages_to_the_state(monkeypatch):
+    import types
+
+    from pyspark.sql import Row
+
+    from quillrow.streaming import memory
+
+    said, lists = [], {}
+
+    def told(name, do=lambda *given: None):
+        return lambda *given: said.append(name) or do(*given)
+
+    entries = lists.setdefault("answers", [])
+    state = types.SimpleNamespace(exists=told("exists", lambda: bool(entries)), get=told("get", lambda: iter(entries)), appendValue=told("append", entries.append))
+    handle = types.SimpleNamespace(getListState=lambda *given: state, registerTimer=told("timer"))
+    step = FunctionStep("s", lambda ctx: {"out": f"{ctx.row['k']} {time.time_ns()}"}, ["out"], reads=["k"])
+    early, past = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 10)
+
+    def batch(ends, keys, now=early):
+        said.clear()
+        one = memory._Memories(step, ["k"], EnrichmentConfig())
+        one.init(handle)
+        got = list(one.handleInputRows((7, ends), iter([Row(row={"k": k}, mark=f'["{k}"]') for k in keys]), now))
+        one.close()
+        return [r.made["values"] and r.made["values"]["out"] for r in got], [r.made["from_cache"] for r in got], [r.late for r in got]
+
+    first, known, _ = batch(10, [*range(100), *range(100), *range(100)])
+    assert said == ["exists", "append", "timer"] and known == [False] * 100 + [True] * 200
+    assert first[:100] == first[100:200] == first[200:] and len(set(first)) == 100
+    again, known, _ = batch(10, [3, 200, 200, 3])
+    assert said == ["exists", "get", "append"] and known == [True, False, True, True]
+    assert again[0] == again[3] == first[3] and again[1] == again[2]
+    assert batch(10, [200, 3])[0] == [again[1], first[3]] and said == ["exists", "get"]
+    assert batch(10, [3, 4], past) == ([None, None], [False, False], [True, True]) and said == []
+    lone, known, late = batch(None, [5, 5])
+    assert lone[0] != lone[1] and not any(known) and not any(late) and said == []
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "timestamp", "decimal(9,3)"])
+def test_keys_of_one_bucket_keep_apart(spark, tmp_path, kind):
+    values = {
+        "string": ["a", "null", None, 'b", "c', ""], "double": [0.5, float("nan"), None, 0.0, -0.0],
+        "timestamp": [at(1), at(1) + dt.timedelta(microseconds=1), None, at(2), at(3)], "decimal(9,3)": ["1", "1.001", None, "2", "-1"],
+    }[kind]
+    os.makedirs(f"{tmp_path}/in")
+    fields = "id bigint, k string, at timestamp" if kind == "decimal(9,3)" else f"id bigint, k {kind}, at timestamp"
+    rows = lambda more: spark.createDataFrame([(i + more, k, at(0.1)) for i, k in enumerate(values)], fields).selectExpr("id", f"cast(k as {kind}) k", "at")
+    stream = spark.readStream.schema(rows(0).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    step = FunctionStep("ask", lambda ctx: {"answer": f"{time.time_ns()}"}, ["answer"])
+    made = remembered(stream, step, ["k"], "at", 3600, "0 seconds", buckets=1)
+    for more in (0, 5):
+        rows(more).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.01)
+    query = made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    found = {r["id"]: r for r in spark.read.schema(made.schema).parquet(f"{tmp_path}/out").collect()}
+    assert len(found) == 10 and all(found[i]["answer"] == found[i + 5]["answer"] and found[i + 5]["from_memory"] for i in range(5))
+    assert len({r["answer"] for r in found.values()}) == (4 if kind == "double" else 5)
